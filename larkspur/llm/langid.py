@@ -8,16 +8,15 @@ down to one, and scores by their mean log frequency.  A document's scores are su
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slabs
-
 ORDER = 5
 LETTERS = regex.compile(r"\p{L}+")
 SMOOTH = 0.5
@@ -98,7 +97,7 @@ def word_score(model: Model, word: str) -> np.ndarray:
     return np.zeros(len(model.langs))
 
 
-def predict_texts(model: Model, texts: list[str], store: dict[str, np.ndarray]) -> tuple[list[str], list[float]]:
+def predict_texts(model: Model, texts: list[str], store: dict) -> tuple[list[str], list[float]]:
     langs, scores = [], []
     for t in texts:
         seen = Counter(LETTERS.findall(t.lower()))
@@ -127,6 +126,20 @@ def predict_texts(model: Model, texts: list[str], store: dict[str, np.ndarray])
     return langs, scores
 
 
+def language(spark: SparkSession, model: Model, text: Column) -> Column:
+    """Column ``struct<lang_pred, score>`` of a text column; see ``predict``."""
+    sent = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        store: dict[str, np.ndarray] = {}
+        for col in batches:
+            langs, scores = predict_texts(sent.value, col.tolist(), store)
+            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+
+    return find(F.coalesce(text, F.lit("")))
+
+
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return ``(id_col, lang_pred, score)``, one row per row of ``docs``; no shuffle.
 
@@ -134,19 +147,15 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     text, one without letters, and every text where the model knows no language is ``und`` with
     score 0; ties go to the language first in code point order; other columns are ignored.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    found = docs.select(F.col(id_col), language(docs.sparkSession, model, F.col(text_col)).alias("found"))
+    return found.select(id_col, "found.lang_pred", "found.score")
 
-    def run(batches):
-        store: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for a, b in slabs(texts, 4_000_000):
-                langs, scores = predict_texts(sent.value, texts[a:b], store)
-                yield pd.DataFrame({"id": pdf["id"].iloc[a:b].reset_index(drop=True), "lang_pred": langs, "score": scores})
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """``docs`` without rows whose language is ``und`` or has a score below ``least``; all columns stay as they are."""
+    name = "found_" + "_".join(docs.columns)
+    found = docs.withColumn(name, language(docs.sparkSession, model, F.col(text_col)))
+    return found.where((F.col(name)["lang_pred"] != "und") & (F.col(name)["score"] >= least)).drop(name)
 
 
 def held_out(id_col: str = "doc_id"):
