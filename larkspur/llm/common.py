@@ -40,7 +40,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def seeds(seed: int, n: int) -> np.ndarray:
     """``n`` reproducible 64-bit constants."""
-    return mix64((np.arange(1, n + 1, dtype=U64) + U64(seed)) * U64(0x9E3779B97F4A7C15))
+    return mix64((np.arange(1, n + 1, dtype=U64) + (U64(seed) << U64(32))) * U64(0x9E3779B97F4A7C15))
 
 
 def slabs(texts, limit: int):

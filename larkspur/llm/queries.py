@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, langid, mixing, ngram_join, secret_scan, token_counts
+from . import bpe_codec, fingerprints, langid, mixing, ngram_join, secret_scan, token_counts
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), width=5, threshold=0.8, recall=0.9999)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"), samples=128)
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_epochs=3)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -47,6 +51,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
+    "op3_fingerprints": op3_fingerprints,
     "op4_source_mixing": op4_source_mixing,
     "op5_token_counts": op5_token_counts,
     "op6_language_id": op6_language_id,
