@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, fingerprints, langid, mixing, ngram_join, secret_scan, token_counts
+from . import bpe_codec, fingerprints, langid, media, mixing, ngram_join, secret_scan, token_counts
 from .common import table
 
 
+def op1_media_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_features(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), width=5, threshold=0.8, recall=0.9999)
 
@@ -50,6 +54,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media_store": op1_media_store,
     "op2_ngram_join": op2_ngram_join,
     "op3_fingerprints": op3_fingerprints,
     "op4_source_mixing": op4_source_mixing,
