@@ -78,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe_codec": op10_bpe_codec,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_source_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_source_mixing": mixing.SQL, "op8_url_filter": url_filter.sql(URL_RULES)}

@@ -111,3 +111,39 @@ def judge(
     judged = rows.join(tree, ["host", "shape"])
     decision = F.coalesce("given", F.when(F.col("block_share") > reject, "block").otherwise("allow"))
     return judged.select(F.col("id").alias(id_col), "host", "path", "rule", decision.alias("verdict"), "template", "block_share")
+
+
+def sql(rules: Sequence[tuple[str, str]], depth: int = 4, fan_out: int = 20, rare: float = 0.05, z: float = 1.96, shift: float = 0.2, weight: float = 5.0, reject: float = 0.5) -> str:
+    """``judge`` over the pages table in DuckDB's SQL."""
+    fits, verdicts = [], []
+    for decision, text in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
+        name, slash, rest = text.partition("/")
+        test = f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash}{rest}')"
+        fits.append(f"WHEN {test} THEN '{text}'")
+        verdicts.append(f"WHEN {test} THEN '{decision}'")
+    stem, tail = (f"regexp_extract(s, '^(.*?)(\\.[A-Za-z]{{1,5}})?$', {k})" for k in (1, 2))
+    shape = f"""CASE WHEN regexp_matches({stem}, '^[0-9]+$') THEN '<number>' WHEN regexp_matches({stem}, '^[0-9]{{4}}-[0-9]{{2}}(-[0-9]{{2}})?$') THEN '<date>'
+      WHEN regexp_matches({stem}, '^[0-9a-fA-F]{{8,}}$|^[0-9a-fA-F-]{{32,}}$') THEN '<hex>'
+      WHEN regexp_matches({stem}, '([0-9].*){{4}}') OR length({stem}) > 40 THEN '<slug>' ELSE {stem} END || {tail}""".replace("\\\\", "\\")
+    smooth = f"(sum(blocked) OVER (PARTITION BY host, template) + {weight} * share) / (sum(labelled) OVER (PARTITION BY host, template) + {weight})"
+    levels, last = [], "t0"
+    for k in range(1, depth + 1):
+        sums = ", ".join(f"sum({c}) OVER {w} AS {c}_{w}" for c in ("n", "labelled", "blocked", "plain") for w in ("child", "node"))
+        levels.append(f"""s{k} AS (SELECT *, coalesce(shape[{k}], '') AS segment, CASE WHEN starts_with(coalesce(shape[{k + 1}], ''), '<') THEN 0 ELSE n END AS plain FROM {last}),
+a{k} AS (SELECT host, shape, n, labelled, blocked, template, segment, {smooth} AS share, {sums}, (row_number() OVER (PARTITION BY host, template, segment ORDER BY shape) = 1)::INT AS once
+  FROM s{k} WINDOW child AS (PARTITION BY host, template, segment), node AS (PARTITION BY host, template)),
+b{k} AS (SELECT *, sum(once) OVER (PARTITION BY host, template) AS children, blocked_node / greatest(labelled_node, 1) AS rate FROM a{k}),
+t{k} AS (SELECT host, shape, n, labelled, blocked, share, CASE WHEN segment = '' THEN template WHEN starts_with(segment, '<') THEN template || '/' || segment
+  WHEN (children > {fan_out} AND n_child < {rare} * n_node) OR ((labelled_child = 0 OR abs(blocked_child / greatest(labelled_child, 1) - rate) <= {z} * sqrt(rate * (1 - rate) / greatest(labelled_child, 1)))
+    AND abs(plain_child / n_child - plain_node / n_node) <= {shift}) THEN template || '/*' ELSE template || '/' || segment END AS template FROM b{k})""")
+        last = f"t{k}"
+    return f"""WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosts AS (SELECT page_id, coalesce(rest, '') AS rest, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS h FROM cut),
+parts AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM hosts),
+ruled AS (SELECT *, CASE {' '.join(fits)} END AS rule, CASE {' '.join(verdicts)} END AS given, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda s: {shape})[1:{depth + 1}] AS shape FROM parts),
+g AS (SELECT host, shape, count(*)::DOUBLE AS n, count(given)::DOUBLE AS labelled, count(*) FILTER (given = 'block')::DOUBLE AS blocked FROM ruled GROUP BY 1, 2),
+t0 AS (SELECT *, ((SELECT sum(blocked) FROM g) + 1) / ((SELECT sum(labelled) FROM g) + 2) AS share, '' AS template FROM g),
+{", ".join(levels)},
+leaves AS (SELECT host, shape, template, {smooth} AS block_share FROM {last})
+SELECT page_id, r.host, path, rule, coalesce(given, CASE WHEN block_share > {reject} THEN 'block' ELSE 'allow' END) AS verdict, template, block_share
+FROM ruled r JOIN leaves l ON r.host = l.host AND r.shape = l.shape"""
