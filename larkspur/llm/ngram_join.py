@@ -258,3 +258,22 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame
     found = near_duplicates(docs, id_col=id_col, **options)
     gone = found.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+
+
+#: ``near_duplicates`` over the documents table by comparing all texts that share an n-gram: for small tables only.
+SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, trim(coalesce(text, '')) AS t, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] WHEN t <> '' THEN ['=' || t] ELSE [] END) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+pairs AS (SELECT a.doc_id AS one, b.doc_id AS two, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT one, two FROM pairs JOIN sizes x ON x.doc_id = one JOIN sizes y ON y.doc_id = two WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+both_ways AS (SELECT one, two FROM links UNION SELECT two, one FROM links),
+reach AS (SELECT one, two FROM both_ways UNION SELECT r.one, b.two FROM reach r JOIN both_ways b ON r.two = b.one),
+classes AS (SELECT one, min(two) AS least FROM reach GROUP BY 1),
+counts AS (SELECT one, count(*) AS n_links FROM both_ways GROUP BY 1)
+SELECT d.doc_id, least(d.doc_id, coalesce(k.least, d.doc_id)) AS class_id, coalesce(n.n_links, 0) AS n_links
+FROM documents d LEFT JOIN classes k ON k.one = d.doc_id LEFT JOIN counts n ON n.one = d.doc_id
+"""

@@ -78,4 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe_codec": op10_bpe_codec,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_source_mixing": mixing.SQL, "op8_url_filter": url_filter.sql(URL_RULES)}
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": ngram_join.SQL,
+    "op4_source_mixing": mixing.SQL,
+    "op7_suffix_dedup": suffix_dedup.SQL,
+    "op8_url_filter": url_filter.sql(URL_RULES),
+}

@@ -339,3 +339,19 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     done = repeated_spans(docs, id_col=id_col, text_col=text_col, length=length).mapInPandas(run, shape)
     nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast(kind).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(None).cast("array<struct<start:long,stop:long>>").alias("spans"))
     return done.union(nameless.mapInPandas(run, shape)).withColumnRenamed("id", id_col)
+
+
+#: ``remove_repeats`` over the documents table, every string looked up by itself: for small tables only.
+SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+strings AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS i FROM h WHERE n >= 100)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM strings) WHERE k > 1),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM late),
+numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked),
+spans AS (SELECT doc_id, k, min(i) AS a, max(i) + 100 AS b FROM numbered GROUP BY 1, 2),
+gaps AS (SELECT doc_id, k, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0) AS from_ FROM spans),
+kept AS (SELECT g.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY k) || substr(any_value(x), 2 * max(b) + 1) AS y
+  FROM gaps g JOIN h ON g.doc_id = h.doc_id GROUP BY 1)
+SELECT h.doc_id, h.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
+FROM h LEFT JOIN kept ON h.doc_id = kept.doc_id
+"""
