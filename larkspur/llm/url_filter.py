@@ -84,9 +84,7 @@ def judge(
     rows = rows.select("id", "host", "path", rule.alias("rule"), verdict.alias("given"), F.slice(segment_shapes(F.col("path")), 1, depth + 1).alias("shape"))
     label = F.when(F.col("given") == "block", 1).when(F.col("given") == "allow", 0)
     tree = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count(label).alias("labelled"), F.coalesce(F.sum(label), F.lit(0)).alias("blocked"))
-    every = tree.agg(F.sum("blocked").alias("all_blocked"), F.sum("labelled").alias("all_labelled"))  # one row
-    tree = tree.crossJoin(F.broadcast(every))
-    prior = (F.coalesce("all_blocked", F.lit(0)) + 1) / (F.coalesce("all_labelled", F.lit(0)) + 2)
+    prior = tree.agg(((F.coalesce(F.sum("blocked"), F.lit(0)) + 1) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2)).alias("share")).scalar()
     tree = tree.select("host", "shape", "n", "labelled", "blocked", prior.alias("share"), F.lit("").alias("template"))
     smooth = lambda w: (F.sum("blocked").over(w) + weight * F.col("share")) / (F.sum("labelled").over(w) + weight)
     for level in range(1, depth + 1):
