@@ -50,6 +50,7 @@ def poisson_mass(k: Column, rate: float) -> Column:
 def welch_t(df: DataFrame, value: str, group: str, one, two) -> DataFrame:
     """t statistic and degrees of freedom of the difference in means of two groups of unequal variance."""
     g = lambda k, f: f(F.when(F.col(group) == k, F.col(value).cast("double")))
-    a, b = df.agg(*[f(k).alias(n) for k, s in ((one, "a"), (two, "b")) for f, n in ((lambda k: g(k, F.avg), "m" + s), (lambda k: g(k, F.var_samp), "v" + s), (lambda k: g(k, F.count), "n" + s))]), None
+    made = [f(k).alias(n + s) for k, s in ((one, "a"), (two, "b")) for f, n in ((lambda k: g(k, F.avg), "m"), (lambda k: g(k, F.var_samp), "v"), (lambda k: g(k, F.count), "n"))]
+    a = df.agg(*made)
     ra, rb = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
     return a.select(((F.col("ma") - F.col("mb")) / F.sqrt(ra + rb)).alias("t"), ((ra + rb) * (ra + rb) / (ra * ra / (F.col("na") - 1) + rb * rb / (F.col("nb") - 1))).alias("df"))

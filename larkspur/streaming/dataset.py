@@ -8,6 +8,7 @@ range, each range is counted, and ranks follow from the counts.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
@@ -78,6 +79,16 @@ class Dataset:
         inner = F.col(self.order) if reshuffle_seed is None else F.xxhash64(F.lit(reshuffle_seed) + F.col("epoch"), F.col(self.order))
         return Dataset(rows.withColumn("epoch_order", F.struct("epoch", inner.alias("place"), F.col(self.order).alias("item"))), "epoch_order")
 
+    @contextmanager
+    def abortable(self, tag: str):
+        """Jobs that start inside carry the tag; ``spark.interruptTag(tag)`` from elsewhere stops them."""
+        spark = self.df.sparkSession
+        spark.addTag(tag)
+        try:
+            yield self
+        finally:
+            spark.removeTag(tag)
+
     def prefetched(self) -> Iterator:
         """Rows in order on the driver, the next partition read ahead."""
         return self.df.orderBy(self.order).toLocalIterator(prefetchPartitions=True)
