@@ -254,7 +254,7 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each class of near duplicates, the one of least id; rows of one id stay or go together."""
+    """``docs`` with one document of each class of near duplicates, the one of least id; rows of one id stay or go together, rows without an id stay."""
     found = near_duplicates(docs, id_col=id_col, **options)
     gone = found.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
