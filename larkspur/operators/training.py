@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from . import vectors as V
+from .coordinates import Cells
 
 # --- losses, as aggregates ---
 
@@ -61,6 +62,26 @@ def geglu(x: Column, gate: Column) -> Column:
     return F.zip_with(x, gate, lambda a, b: a * scalar.gelu_tanh(b))
 
 
+def rotary(x: Column, position: Column, base: float = 10_000.0) -> Column:
+    """Rotary position embedding of a vector of even size: its halves turned by angles that fall with the index."""
+    half = F.floor(F.size(x) / 2).cast("int")
+    angle = lambda i: position.cast("double") * F.pow(F.lit(base), -2.0 * (i % half) / F.size(x))
+    partner = lambda i: F.when(i < half, -F.get(x, i + half)).otherwise(F.get(x, i - half))
+    return F.transform(x, lambda v, i: v * F.cos(angle(i)) + partner(i) * F.sin(angle(i)))
+
+
+def attention(query: Cells, key: Cells, value: Cells) -> Cells:
+    """softmax(Q K' / sqrt(d)) V of matrices in coordinate form: two joins with sums and a window along the keys."""
+    turned = key.permute(*range(len(key.shape) - 2), len(key.shape) - 1, len(key.shape) - 2)
+    return query.matmul(turned).combine("div", float(np.sqrt(query.shape[-1]))).softmax(-1).matmul(value)
+
+
+def dropout(x: Column, share: float, seed: int, row: Column) -> Column:
+    """Zeroes a share of elements, chosen by a hash of seed, row and place, and scales the rest."""
+    keep = lambda i: F.pmod(F.xxhash64(F.lit(seed), row, i), F.lit(1 << 30)) >= int(share * (1 << 30))
+    return F.transform(x, lambda v, i: F.when(keep(i), v / (1 - share)).otherwise(F.lit(0.0)))
+
+
 # --- optimizers ---
 
 
@@ -110,8 +131,8 @@ class RMSprop:
         return w - self.rate * g / (np.sqrt(self.state) + self.eps)
 
 
-def fit(df: DataFrame, columns: list[str], target: str, optimizer, *, logistic: bool = False, rounds: int = 100, schedule: Callable[[int], float] | None = None) -> np.ndarray:
-    """Weights (the last is the intercept) of a linear or logistic model; each round is one pass of sums."""
+def fit(df: DataFrame, columns: list[str], target: str, optimizer, *, logistic: bool = False, rounds: int = 100, schedule: Callable[[int], float] | None = None, report: Callable[[dict], None] | None = None) -> np.ndarray:
+    """Weights (the last is the intercept) of a linear or logistic model; each round is one pass of sums.  ``report`` gets an event a round."""
     rows = df.select(*[F.col(c).cast("double") for c in columns], F.col(target).cast("double").alias("__y")).persist()
     w, base = np.zeros(len(columns) + 1), getattr(optimizer, "rate", None)
     for k in range(rounds):
@@ -124,6 +145,8 @@ def fit(df: DataFrame, columns: list[str], target: str, optimizer, *, logistic:
         if schedule:
             optimizer.rate = base * schedule(k)
         w = optimizer.step(w, g)
+        if report:
+            report({"round": k, "gradient_norm": float(np.linalg.norm(g)), "rate": getattr(optimizer, "rate", None)})
     rows.unpersist()
     return w
 

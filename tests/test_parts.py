@@ -204,3 +204,21 @@ def test_dataset(spark):
     vectors = Dataset(spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0])], "o long, v array<double>"), "o")
     with pytest.raises(Exception, match="differ"):
         vectors.batch(2, collate_vectors("v")).collect()
+
+
+def test_layers(spark):
+    rng = np.random.default_rng(12)
+    q, k, v = rng.normal(size=(3, 4)), rng.normal(size=(5, 4)), rng.normal(size=(5, 2))
+    e = np.exp(q @ k.T / 2)
+    assert np.allclose(array(training.attention(cells(spark, q), cells(spark, k), cells(spark, v))), e / e.sum(1, keepdims=True) @ v)
+    x = rng.normal(size=4)
+    df = vec(spark, x)
+    turned = one(df, training.rotary(F.col("v"), F.lit(3)))
+    angles = 3 * 10_000.0 ** (-np.arange(2) / 2)
+    assert np.allclose(turned, np.concatenate([x[:2] * np.cos(angles) - x[2:] * np.sin(angles), x[2:] * np.cos(angles) + x[:2] * np.sin(angles)]))
+    assert np.allclose(one(df, training.linear(F.col("v"), np.eye(4)[:2], np.ones(2))), x[:2] + 1)
+    assert np.allclose(one(df, training.layer_norm(F.col("v"))), (x - x.mean()) / np.sqrt(x.var() + 1e-5))
+    dropped = one(vec(spark, np.ones(2000)), training.dropout(F.col("v"), 0.25, 1, F.lit(7)))
+    assert set(np.round(dropped, 6)) == {0.0, 1.333333} and abs(np.mean(np.array(dropped) == 0) - 0.25) < 0.05
+    labels = spark.createDataFrame([([1.0, 2.0, 0.5], 1)], "z array<double>, y int")
+    assert labels.agg(training.cross_entropy(F.col("z"), F.col("y"))).first()[0] == pytest.approx(np.log(np.exp([1, 2, 0.5]).sum()) - 2)
