@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import U64, checkpointed, mix64, seeds
 
 GRAM = 32
+DIGEST = np.dtype([("a", "<i8"), ("b", "<i8")])
 #: Starts that are hashed at a time, contexts of an anchor that one shard takes, and bytes of a shard.
 PIECE, SPLIT, SHARD_BYTES = 1 << 19, 4096, 2_000_000
 BYTE_CODES = seeds(31, 256)
@@ -159,9 +160,10 @@ def common_prefixes(order: np.ndarray, word: np.ndarray, most: int, lane: int =
     return out[order]
 
 
-def shard_repeats(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Repeats within one shard of contexts, and the first start of each string for anchors dealt over shards."""
+def shard_repeats(pdf: pd.DataFrame, length: int, buckets: int) -> pd.DataFrame:
+    """Repeats within one shard of contexts; of anchors dealt over shards also the first start of each string, as a sorted list for each bucket of digests."""
     pdf = pdf.sort_values(["id", "start"], kind="stable").reset_index(drop=True)
+    shard = int(pdf["shard"].iloc[0])
     sizes = pdf["bytes"].map(len).to_numpy()
     text = np.frombuffer(b"".join(pdf["bytes"]), np.uint8)
     order, word = suffix_array(text)
@@ -177,20 +179,22 @@ def shard_repeats(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     owner, offset, part, order = owner[by], offset[by], part[by], order[by]
     first = np.ones(len(part), bool)
     first[1:] = part[1:] != part[:-1]
-    ids, starts, keys, dealt = pdf["id"], pdf["start"].to_numpy(), pdf["key"].to_numpy(), pdf["dealt"].to_numpy()
+    ids, starts, dealt = pdf["id"].to_numpy(), pdf["start"].to_numpy(), pdf["dealt"].to_numpy()
     gone = owner[~first]
-    out = pd.DataFrame({"id": ids.iloc[gone].to_numpy(), "start": starts[gone] + offset[~first], "stop": starts[gone] + offset[~first] + length})
-    out = join_spans(out)
-    out = out.assign(high=pd.array([None] * len(out), "Int64"), low=pd.array([None] * len(out), "Int64"), shard=0, route=0)
+    spans = join_spans(pd.DataFrame({"id": ids[gone], "start": starts[gone] + offset[~first], "stop": starts[gone] + offset[~first] + length}))
+    rows = [(i, a, b, shard, shard % buckets, None, None, None, None) for i, a, b in zip(spans["id"].tolist(), spans["start"].tolist(), spans["stop"].tolist())]
     lead = np.flatnonzero(first & (dealt[owner] > 1))
     if len(lead):
         raw = text.tobytes()
-        digest = [hashlib.blake2b(raw[p : p + length], digest_size=16).digest() for p in order[lead].tolist()]
-        halves = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-        who = owner[lead]
-        lists = pd.DataFrame({"id": ids.iloc[who].to_numpy(), "start": starts[who] + offset[lead], "stop": starts[who] + offset[lead] + length, "high": pd.array(halves[:, 0], "Int64"), "low": pd.array(halves[:, 1], "Int64"), "shard": int(pdf["shard"].iloc[0]), "route": halves[:, 0]})
-        out = pd.concat([out, lists]) if len(out) else lists
-    return out.astype({"start": "int64", "stop": "int64", "shard": "int64", "route": "int64"})
+        digest = np.frombuffer(b"".join(hashlib.blake2b(raw[p : p + length], digest_size=16).digest() for p in order[lead].tolist()), DIGEST)
+        bucket = digest["a"] % buckets
+        by = np.lexsort((digest["b"], digest["a"], bucket))
+        digest, bucket, who = digest[by], bucket[by], lead[by]
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for a, b in zip(cuts, [*cuts[1:], len(by)]):
+            w = who[a:b]
+            rows.append((None, None, None, shard, int(bucket[a]), digest["a"][a:b].tolist(), digest["b"][a:b].tolist(), ids[owner[w]].tolist(), (starts[owner[w]] + offset[w]).tolist()))
+    return pd.DataFrame(rows, columns=["id", "start", "stop", "shard", "bucket", "highs", "lows", "ids", "starts"], dtype=object)
 
 
 def join_spans(rows: pd.DataFrame) -> pd.DataFrame:
@@ -203,32 +207,27 @@ def join_spans(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(stop=top).groupby(new.cumsum().to_numpy()).agg({"id": "first", "start": "first", "stop": "max"}).reset_index(drop=True)
 
 
-def merge_shards(pdf: pd.DataFrame) -> pd.DataFrame:
+def merge_shards(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     """Spans as they are; of the shards' lists of first starts, all but the earliest of each string."""
-    spans = pdf[pdf["high"].isna()][["id", "start", "stop"]]
-    lists = pdf[pdf["high"].notna()]
-    if lists.empty:
-        return spans
-    digest = np.empty(len(lists), [("a", "<i8"), ("b", "<i8")])
-    digest["a"], digest["b"] = lists["high"].astype("int64"), lists["low"].astype("int64")
-    lists = lists.assign(row=np.arange(len(lists)))
-    merged, earliest = np.empty(0, digest.dtype), np.empty(0, np.int64)
-    ids, starts = lists["id"].tolist(), lists["start"].tolist()
-    gone: list[int] = []
-    for _, part in lists.groupby("shard"):
-        rows = part["row"].to_numpy()
-        rows = rows[np.argsort(digest[rows], order=("a", "b"), kind="stable")]
-        place = np.searchsorted(merged, digest[rows])
-        known = place < len(merged)
-        known[known] = merged[place[known]] == digest[rows][known]
-        for i, r in zip(place[known].tolist(), rows[known].tolist()):
-            e = int(earliest[i])
-            late, early = (r, e) if (ids[e], starts[e]) < (ids[r], starts[r]) else (e, r)
-            gone.append(late)
-            earliest[i] = early
-        merged = np.insert(merged, place[~known], digest[rows][~known])
-        earliest = np.insert(earliest, place[~known], rows[~known])
-    return pd.concat([spans, lists.iloc[gone][["id", "start", "stop"]]])
+    spans = pdf[pdf["highs"].isna()]
+    out = list(zip(spans["id"].tolist(), spans["start"].astype("int64").tolist(), spans["stop"].astype("int64").tolist()))
+    merged, owners = np.empty(0, DIGEST), np.empty(0, np.int64)  # digests in order, and the earliest start of each in ``places``
+    places: list[tuple] = []
+    for r in pdf[pdf["highs"].notna()].sort_values("shard").itertuples():
+        digest = np.empty(len(r.highs), DIGEST)
+        digest["a"], digest["b"] = r.highs, r.lows
+        mine = len(places) + np.arange(len(digest))
+        places += zip(r.ids, r.starts)
+        at = np.searchsorted(merged, digest)
+        known = at < len(merged)
+        known[known] = merged[at[known]] == digest[known]
+        for i, m in zip(at[known].tolist(), mine[known].tolist()):
+            late, early = (m, int(owners[i])) if places[owners[i]] < places[m] else (int(owners[i]), m)
+            out.append((places[late][0], int(places[late][1]), int(places[late][1]) + length))
+            owners[i] = early
+        merged = np.insert(merged, at[~known], digest[~known])
+        owners = np.insert(owners, at[~known], mine[~known])
+    return pd.DataFrame(out, columns=["id", "start", "stop"])
 
 
 def _context_rows(docs: DataFrame, kind: str, length: int) -> DataFrame:
@@ -298,10 +297,10 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     pieces = texts.join(wanted, "id").mapInPandas(cut, f"id {kind}, key long, start long, dealt int, bytes binary")
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("key", F.pmod(F.xxhash64("id"), F.col("dealt"))), F.lit(shards)))
-    local = pieces.groupBy("shard").applyInPandas(lambda pdf: shard_repeats(pdf, length), f"id {kind}, start long, stop long, high long, low long, shard long, route long")
+    shape = f"id {kind}, start long, stop long, shard long, bucket long, highs array<long>, lows array<long>, ids array<{kind}>, starts array<long>"
+    local = pieces.groupBy("shard").applyInPandas(lambda pdf: shard_repeats(pdf, length, shards), shape)
     settled = found.where("NOT first").select("id", "start", (F.col("start") + F.col("starts") - 1 + length).alias("stop"))
-    bucket = F.when(F.col("high").isNull(), F.pmod(F.xxhash64("id"), F.lit(shards))).otherwise(F.pmod("route", F.lit(shards)))
-    merged = local.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(merge_shards, f"id {kind}, start long, stop long")
+    merged = local.groupBy("bucket").applyInPandas(lambda pdf: merge_shards(pdf, length), f"id {kind}, start long, stop long")
     spans = settled.union(merged).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return texts.join(spans, "id", "left")
 
