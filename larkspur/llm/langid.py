@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 ORDER = 5
 LETTERS = regex.compile(r"\p{L}+")
 SMOOTH = 0.5
@@ -73,8 +75,9 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 yield pd.DataFrame({"lang": lang, "word": list(seen.keys()), "n": list(seen.values())})
 
     shape = "lang string, word string, n long"
-    per_word = chosen.select("lang", "text").mapInPandas(count_words, shape).groupBy("word", "lang").agg(F.sum("n").alias("n"))
-    per_gram = per_word.mapInPandas(count_grams, shape).groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    # both are read several times
+    per_word = checkpointed(chosen.select("lang", "text").mapInPandas(count_words, shape).groupBy("word", "lang").agg(F.sum("n").alias("n")))
+    per_gram = checkpointed(per_word.mapInPandas(count_grams, shape).groupBy("word", "lang").agg(F.sum("n").alias("n")))
 
     def top(counts: DataFrame, most: int, at_least: int) -> tuple[dict[str, int], np.ndarray]:
         by_lang = F.map_from_entries(F.collect_list(F.struct("lang", "n")))
