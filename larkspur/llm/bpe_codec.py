@@ -27,7 +27,7 @@ from .token_counts import byte_alphabet
 #: The tokenizer's word pattern and the suffix that ends a word.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "</w>"
-NONE, LONG, STORE = 1 << 30, 300, 250_000
+NONE, LONG, STORE = 1 << 30, 300, 100_000
 
 
 def pack(ids: list[int]) -> bytes:

@@ -27,6 +27,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let no Arrow batch of this session hold more than ``rows`` rows, so that workers of small executors hold few texts at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: spreads every input bit over all output bits."""
     x = x.astype(U64, copy=True)

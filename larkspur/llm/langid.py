@@ -23,7 +23,7 @@ ORDER = 5
 LETTERS = regex.compile(r"\p{L}+")
 SMOOTH = 0.5
 #: Words outside the model whose scores a task keeps.
-STORE = 200_000
+STORE = 50_000
 
 
 @dataclass
