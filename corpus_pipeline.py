@@ -22,7 +22,7 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out documents without a letter and those whose best language has a score below one half."""
+    """Leaves out documents without a letter, those whose best language has a score below one half, and those whose words are unlike that language's (``langid.checked``)."""
     bounded_batches(spark)
     return langid.keep_known(docs, langid.fit(docs), least=0.5)
 

@@ -3,13 +3,17 @@
 A word of the model scores by its log frequency in each language.  A word the model doesn't know
 falls back to its longest character n-grams of which the model knows any, from ``ORDER`` characters
 down to one, and scores by their mean log frequency.  A document's scores are summed over its words.
+
+These sums say which language is likeliest, not whether any is likely: the longer a text, the nearer
+the best share is to 1.  ``checked`` adds a measure that doesn't grow with the text, the mean over its
+words of the mean log frequency of their 3-grams.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -21,6 +25,8 @@ from .common import checkpointed
 
 ORDER = 5
 LETTERS = regex.compile(r"\p{L}+")
+#: Letters that don't touch digits: no pieces of keys and hex strings.
+WHOLE = regex.compile(r"(?<![\p{L}\p{N}])\p{L}+(?![\p{L}\p{N}])")
 SMOOTH = 0.5
 #: Words outside the model whose scores a task keeps.
 STORE = 50_000
@@ -33,6 +39,10 @@ class Model:
     grams: list[dict[str, int]]
     word_scores: np.ndarray
     gram_scores: list[np.ndarray]
+    #: Log frequency of a 3-gram that was never seen, by language.
+    unseen: np.ndarray
+    #: Least mean log frequency of a text's 3-grams, by language; the second half of ``word_scores`` has those of the words.
+    usual: np.ndarray | None = None
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -52,7 +62,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], {}, [{} for _ in range(ORDER)], np.zeros((0, 0)), [np.zeros((0, 0))] * ORDER)
+        return Model([], {}, [{} for _ in range(ORDER)], np.zeros((0, 0)), [np.zeros((0, 0))] * ORDER, np.zeros(0))
     cut = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(1_000_000 * min(1, max_docs_per_lang / sizes[lang])))])
     chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < cut[F.col("lang")])
 
@@ -79,16 +89,38 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     per_word = checkpointed(chosen.select("lang", "text").mapInPandas(count_words, shape).groupBy("word", "lang").agg(F.sum("n").alias("n")))
     per_gram = checkpointed(per_word.mapInPandas(count_grams, shape).groupBy("word", "lang").agg(F.sum("n").alias("n")))
 
-    def top(counts: DataFrame, most: int, at_least: int) -> tuple[dict[str, int], np.ndarray]:
+    def top(counts: DataFrame, most: int, at_least: int) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
         by_lang = F.map_from_entries(F.collect_list(F.struct("lang", "n")))
         wide = counts.groupBy("word").agg(F.sum("n").alias("total"), by_lang.alias("by_lang"))
         got = wide.where(F.col("total") >= at_least).orderBy(F.desc("total"), "word").limit(most).collect()
         table = np.array([[r["by_lang"].get(lang, 0) for lang in langs] for r in got], float).reshape(len(got), len(langs))
-        return {r["word"]: i for i, r in enumerate(got)}, np.log((table + SMOOTH) / (table.sum(0) + SMOOTH * max(1, len(got))))
+        whole = table.sum(0) + SMOOTH * max(1, len(got))
+        return {r["word"]: i for i, r in enumerate(got)}, np.log((table + SMOOTH) / whole), np.log(SMOOTH / whole)
 
-    words, word_scores = top(per_word, max_words, 2)
+    words, word_scores, _ = top(per_word, max_words, 2)
     orders = [top(per_gram.where(F.char_length("word") == k), max_grams, 1) for k in range(1, ORDER + 1)]
-    return Model(langs, words, [o[0] for o in orders], word_scores, [o[1] for o in orders])
+    return Model(langs, words, [o[0] for o in orders], word_scores, [o[1] for o in orders], orders[2][2])
+
+
+def word_level(model: Model, word: str) -> np.ndarray:
+    """Mean log frequency of a word's 3-grams, unseen ones included."""
+    known = [i for g in grams_of(word, 3) if (i := model.grams[2].get(g)) is not None]
+    return (model.gram_scores[2][known].sum(0) + (len(word) - len(known)) * model.unseen) / len(word)
+
+
+def checked(model: Model, depth: float = 0.5) -> Model:
+    """A model that finds ``und`` with score 0 also where a text's words are unlike those of its best language.
+
+    They are unlike where their mean log frequency of 3-grams is more than the part ``depth`` of the
+    way down from the mean over the 3-grams learned from to that of a 3-gram never seen.  Letters beside
+    digits are not held against a text that has other words.
+    """
+    if not model.langs:
+        return model
+    grams = model.gram_scores[2]
+    mean = (np.exp(grams) * grams).sum(0) / np.exp(grams).sum(0)
+    levels = np.array([word_level(model, w) for w in model.words]).reshape(len(model.words), len(model.langs))
+    return replace(model, word_scores=np.hstack([model.word_scores, levels]), usual=mean + depth * (model.unseen - mean))
 
 
 def word_score(model: Model, word: str) -> np.ndarray:
@@ -108,22 +140,29 @@ def predict_texts(model: Model, texts: list[str], store: dict) -> tuple[list[str
             langs.append("und")
             scores.append(0.0)
             continue
-        rows, weights, total = [], [], np.zeros(len(model.langs))
+        rows, weights, total = [], [], np.zeros(model.word_scores.shape[1])
         for w, n in seen.items():
             i = model.words.get(w)
             if i is None:
                 if (s := store.get(w)) is None:
-                    s = store[w] = word_score(model, w)
+                    s = word_score(model, w)
+                    s = store[w] = s if model.usual is None else np.concatenate([s, word_level(model, w)])
                 total += s * n
             else:
                 rows.append(i)
                 weights.append(n)
         if rows:
             total += np.array(weights, float) @ model.word_scores[rows]
+        total, level = total[: len(model.langs)], total[len(model.langs) :]
         p = np.exp(total - total.max())
         best = int(p.argmax())
-        langs.append(model.langs[best])
-        scores.append(float(p[best] / p.sum()))
+        known = model.usual is None or level[best] / seen.total() >= model.usual[best]
+        if not known and (whole := Counter(WHOLE.findall(t.lower()))):  # all of them are in seen
+            column = len(model.langs) + best
+            level = sum(n * (store[w] if (i := model.words.get(w)) is None else model.word_scores[i])[column] for w, n in whole.items())
+            known = level / whole.total() >= model.usual[best]
+        langs.append(model.langs[best] if known else "und")
+        scores.append(float(p[best] / p.sum()) if known else 0.0)
         if len(store) > STORE:
             store.clear()
     return langs, scores
@@ -155,7 +194,8 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """``docs`` without rows whose language is ``und`` or has a score below ``least``; all columns stay as they are."""
+    """``docs`` without rows whose language is ``und`` or has a score below ``least``, by the ``checked`` model; all columns stay as they are."""
+    model = checked(model)
     name = "found_" + "_".join(docs.columns)
     found = docs.withColumn(name, language(docs.sparkSession, model, F.col(text_col)))
     return found.where((F.col(name)["lang_pred"] != "und") & (F.col(name)["score"] >= least)).drop(name)

@@ -184,6 +184,20 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predict(df, blank).collect()} == {"und"}
 
 
+def test_language_unlike_the_learned(spark):
+    words = {"en": "the of and with from house water river green", "de": "der die und mit von haus wasser fluss grün"}
+    rng = random.Random(11)
+    rows = [(i, lang, " ".join(rng.choice(words[lang].split()) for _ in range(rng.choice([2, 20, 200])))) for i in range(300) for lang in [rng.choice(list(words))]]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    letters = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    other = [(1000 + n, None, letters(n)) for n in (5, 20, 100, 1000)]
+    other += [(2000, None, "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan"), (2001, None, "все люди рождаются свободными")]
+    # words of the language that were not learned stay
+    new = [(3000, None, "greenhouse riverhouse"), (3001, None, "Hauswasser und Grünfluss"), (3002, None, "water 4f0e7bc9d2a86b1c3d5e7f9a0b2c4d6e8f1a3b5c7d9e0f2a river")]
+    kept = langid.keep_known(spark.createDataFrame(rows + other + new, "doc_id long, lang string, text string"), model)
+    assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows + new}
+
+
 def brute_repeats(rows, length=100):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):
