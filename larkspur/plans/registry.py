@@ -388,8 +388,9 @@ def least_squares(spark, sf_dir):
 
 @query("small_matrices")
 def small_matrices(spark, sf_dir):
-    v = F.slice(F.col("embedding").cast("array<double>"), 1, 9)
-    return _t(spark, sf_dir, "embeddings").select("vec_id", *[linalg.each_matrix(n, v, F.lit(3)).alias(n) for n in ("det", "inv", "rank", "singular_values")])
+    v = F.col("embedding").cast("array<double>")
+    rows = F.sqrt(F.size(v)).cast("int")  # the whole vector as a square matrix
+    return _t(spark, sf_dir, "embeddings").select("vec_id", *[linalg.each_matrix(n, v, rows).alias(n) for n in ("det", "inv", "rank", "singular_values")])
 
 
 @query(

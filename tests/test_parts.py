@@ -222,3 +222,17 @@ def test_layers(spark):
     assert set(np.round(dropped, 6)) == {0.0, 1.333333} and abs(np.mean(np.array(dropped) == 0) - 0.25) < 0.05
     labels = spark.createDataFrame([([1.0, 2.0, 0.5], 1)], "z array<double>, y int")
     assert labels.agg(training.cross_entropy(F.col("z"), F.col("y"))).first()[0] == pytest.approx(np.log(np.exp([1, 2, 0.5]).sum()) - 2)
+
+
+def test_small_matrices_take_whole_vectors(spark, tmp_path):
+    from larkspur.plans.registry import QUERIES
+
+    rng = np.random.default_rng(3)
+    vectors = {i: rng.normal(size=64).tolist() for i in range(5)}
+    spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r for r in QUERIES["small_matrices"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(vectors)
+    for i, v in vectors.items():
+        m = np.array(v).reshape(8, 8)
+        assert np.allclose(got[i].det, np.linalg.det(m)) and np.allclose(got[i].inv, np.linalg.inv(m).ravel())
+        assert list(got[i]["rank"]) == [8] and np.allclose(got[i].singular_values, np.linalg.svd(m, compute_uv=False))
