@@ -1,98 +1,115 @@
 """Document fingerprints by consistent weighted sampling.
 
 A document is a bag of terms weighted by their frequency.  Sample k draws for every term, from its hash
-and k alone, two gamma variates r and c and a uniform b; a term of weight w has
+and k alone, two gamma variates r and c of shape 2 and a uniform b; a term of weight w has
 ``t = floor(ln w / r + b)`` and ``ln a = ln c - r (t - b) - r``, and the sample is the (term, t) of
 least a.  Two documents agree on a sample with probability equal to their generalised Jaccard
 similarity, the sum of smaller weights over the sum of larger ones.
 
 What a (term, weight) draws is kept in a bounded table per task, so that the variates of frequent
-terms are drawn once; the fingerprint does not depend on what the table holds.
+terms are drawn once, and new ones are drawn for many texts at a time; the fingerprint does not depend
+on what the table holds.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, seeds
+from .common import U64, mix64, seeds, slabs
 
 SAMPLES = 128
-#: (term, weight) pairs whose draws a task keeps.
-STORE = 65_536
+#: (term, weight) pairs whose draws a task keeps, pairs drawn at a time, and characters looked at together.
+STORE, DRAWN, SLAB = 65_536, 2048, 100_000
+#: Rows that a range of ids holds.
+RANGE = 4096
 TERMS = re.compile(r"\w+|[^\w\s]")
 
+Bag = list[tuple[str, int]]
 
-def gamma_quantiles(n: int) -> np.ndarray:
-    """Mid quantiles of the gamma distribution of shape 2, whose share below x is 1 - (1 + x) exp(-x), by Newton's method."""
-    share = (np.arange(n) + 0.5) / n
-    x = np.maximum(np.sqrt(2 * share), -np.log1p(-share))
-    for _ in range(60):
-        x = np.maximum(x - (1 - (1 + x) * np.exp(-x) - share) / (x * np.exp(-x)), 1e-9)
-    return x
 
+def bag_of(text: str) -> Bag:
+    return list(Counter(TERMS.findall(text)).items())
 
-GAMMA = gamma_quantiles(1 << 16).astype(np.float32)
-LOG_GAMMA = np.log(GAMMA)
+
+def unit(bits: np.ndarray, low: int) -> np.ndarray:
+    """Uniform numbers in (0, 1] from 24 bits."""
+    part = (bits >> U64(low)).astype(np.uint32) & np.uint32(0xFFFFFF)
+    return (part.astype(np.float32) + np.float32(1)) * np.float32(2.0**-24)
 
 
 class Sampler:
+    """Samples of bags.  A draw is a 64-bit number: ``ln a`` in its upper half, such that order is kept, the sample's name in the lower."""
+
     def __init__(self, samples: int = SAMPLES):
-        self.seeds = seeds(21, samples)[None, :]
-        self.samples = samples
-        self.rows: dict[tuple[str, int], int] = {}
-        self.least = np.empty((STORE, samples), np.float32)
-        self.names = np.empty((STORE, samples), np.uint32)
-
-    def draw(self, pairs: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
-        """``ln a`` and the name of (term, t), for each pair and sample."""
-        terms = np.array([int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little") for t, _ in pairs], U64)[:, None]
-        bits = (terms ^ self.seeds) * U64(0xBF58476D1CE4E5B9)
-        bits ^= bits >> U64(32)
-        bits *= U64(0x94D049BB133111EB)
-        bits ^= bits >> U64(29)
-        part = bits.view(np.uint16).reshape(len(pairs), self.samples, 4)  # three 16-bit quantiles
-        r, log_c, b = GAMMA[part[:, :, 0]], LOG_GAMMA[part[:, :, 1]], part[:, :, 2] * np.float32(2.0**-16)
-        weights = np.array([w for _, w in pairs], np.float32)
-        t = np.floor(np.log(weights)[:, None] / r + b)
-        least = log_c - r * (t - b) - r
-        short = (terms >> U64(32)).astype(np.uint32) ^ (terms & U64(0xFFFFFFFF)).astype(np.uint32) * np.uint32(0x9E3779B1)
-        return least, short + t.astype(np.int32).view(np.uint32) * np.uint32(0x85EBCA6B)
-
-    def look_up(self, pairs: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
-        if len(pairs) > STORE // 2:
-            return self.draw(pairs)
-        new = [p for p in pairs if p not in self.rows]
+        self.seeds = seeds(21, 2 * samples).reshape(1, 2, samples)
+        self.rows: dict[tuple[str, int], int] = {}  # in order of their rows
+        self.table = np.empty((STORE, samples), U64)
+        self.used = np.zeros(STORE, np.int64)
+
+    def draw(self, pairs: Bag) -> np.ndarray:
+        terms = np.array([int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little") for t, _ in pairs], U64)
+        bits = mix64(terms[:, None, None] ^ self.seeds)
+        one, two = bits[:, 0], bits[:, 1]
+        tiny = np.float32(1e-7)
+        # a gamma variate of shape 2 is the sum of two exponential ones
+        r = np.maximum(-np.log(unit(one, 0) * unit(one, 24)), tiny)
+        c = np.maximum(-np.log(unit(two, 0) * unit(two, 24)), tiny)
+        b = (one >> U64(48)).astype(np.float32) * np.float32(2.0**-16)
+        t = np.floor(np.log(np.array([w for _, w in pairs], np.float32))[:, None] / r + b)
+        order = (np.log(c) - r * (t - b) - r).view(np.int32)
+        order = (order ^ (order >> np.int32(31) | np.int32(-(2**31)))).view(np.uint32)  # the order of floats as that of whole numbers
+        name = (terms >> U64(32)).astype(np.uint32) ^ terms.astype(np.uint32) * np.uint32(0x9E3779B1)
+        name = name[:, None] + t.astype(np.int64).astype(np.uint32) * np.uint32(0x85EBCA6B)
+        return order.astype(U64) << U64(32) | name
+
+    def shrink(self, most: int) -> None:
+        """Keep the pairs that were used most."""
+        n = len(self.rows)
+        keep = np.sort(np.argsort(-self.used[:n], kind="stable")[:most])
+        pairs = list(self.rows)
+        self.table[: len(keep)], self.used[: len(keep)] = self.table[keep], self.used[keep] // 2
+        self.used[len(keep) :] = 0
+        self.rows = {pairs[k]: i for i, k in enumerate(keep.tolist())}
+
+    def learn(self, bags: list[Bag]) -> bool:
+        """Draw for all pairs that the table lacks; false if it can't hold them."""
+        need = {p for bag in bags for p in bag}
+        if len(need) > STORE:
+            return False
+        new = [p for p in need if p not in self.rows]
         if len(self.rows) + len(new) > STORE:
-            self.rows.clear()
-            new = pairs
-        if new:
-            at = len(self.rows)
-            self.least[at : at + len(new)], self.names[at : at + len(new)] = self.draw(new)
-            self.rows.update(zip(new, range(at, at + len(new))))
-        rows = np.fromiter(map(self.rows.__getitem__, pairs), np.int64, len(pairs))
-        return self.least[rows], self.names[rows]
-
-    def fingerprint(self, text: str) -> np.ndarray | None:
-        """Names of the samples, or None for a text without terms."""
-        pairs = list(Counter(TERMS.findall(text)).items())
-        if not pairs:
-            return None
-        best = np.full(self.samples, np.inf, np.float32)
-        out = np.zeros(self.samples, np.uint32)
-        for low in range(0, len(pairs), 4096):  # bounded memory for texts of any length
-            least, names = self.look_up(pairs[low : low + 4096])
-            k = least.argmin(0)
-            here = least[k, np.arange(self.samples)]
-            better = (here < best) | ((here == best) & (names[k, np.arange(self.samples)] < out))
-            best, out = np.where(better, here, best), np.where(better, names[k, np.arange(self.samples)], out)
-        return out
+            self.shrink(min(STORE // 2, STORE - len(need)))
+            new = [p for p in need if p not in self.rows]
+        for low in range(0, len(new), DRAWN):
+            at, part = len(self.rows), new[low : low + DRAWN]
+            self.table[at : at + len(part)] = self.draw(part)
+            self.rows.update(zip(part, range(at, at + len(part))))
+        return True
+
+    def marks(self, texts: list[str]) -> Iterator[np.ndarray | None]:
+        """Names of the samples of each text, or None for one without terms."""
+        for a, b in slabs(texts, SLAB):
+            bags = [bag_of(t) for t in texts[a:b]]
+            known = self.learn(bags)
+            for bag in bags:
+                if not bag:
+                    yield None
+                elif known:
+                    rows = np.fromiter(map(self.rows.__getitem__, bag), np.int64, len(bag))
+                    self.used[rows] += 1
+                    yield self.table[rows].min(0).astype(np.uint32)
+                else:  # bounded memory for texts of any length
+                    yield np.min([self.draw(bag[low : low + DRAWN]).min(0) for low in range(0, len(bag), DRAWN)], 0).astype(np.uint32)
 
 
 def as_text(mark: np.ndarray | None) -> str:
@@ -114,70 +131,96 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Defined cases: a null, empty or blank text has the empty fingerprint; equal texts have equal
     fingerprints; other columns are ignored.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches):
+    @F.pandas_udf("string")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tool = Sampler(samples)
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "fingerprint": [as_text(tool.fingerprint(t)) for t in pdf["text"]]})
+        for texts in batches:
+            yield pd.Series([as_text(m) for m in tool.marks(texts.tolist())], dtype=object)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col), find(F.coalesce(F.col(text_col), F.lit(""))).alias("fingerprint"))
+
+
+def range_of(key: Column, starts: list[Column]) -> Column:
+    """How many of the sorted ``starts`` are not above ``key``: blocks of them first, then within one."""
+    side = max(1, math.isqrt(len(starts)))
+    blocks = [starts[i : i + side] for i in range(0, len(starts), side)]
+    block = F.size(F.filter(F.array(*[b[0] for b in blocks]), lambda c: c <= key))
+    inside = F.element_at(F.array(*[F.array(*b) for b in blocks]), F.greatest(block, F.lit(1)))
+    return F.when(block == 0, 0).otherwise((block - 1) * side + F.size(F.filter(inside, lambda c: c <= key)))
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
-    """Rows ``(part, id, text, loan)`` in ``parts`` ranges of ids, such that the row after any row is in its own range.
+def with_next(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """Rows ``(part, loan, id, text)`` in ranges of about ``size`` rows, such that the row after any row is in its own range.
 
-    Cuts are ids at even quantiles (``parts`` of them at most come to the driver).  The first rows of a
-    range are also lent to the range before, and those of the first range to the last.
+    The order is that of ids, and among rows of one id that of their texts' hashes, so that rows
+    without an id make ranges too.  A range is known by its first row's id and hash (an entry a range
+    comes to the driver).  These first rows are also lent to the range before, and that of the first
+    range to the last.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    shares = [i / parts for i in range(1, parts)] or [0.5]
-    cuts = rows.agg(F.percentile_approx("id", F.array(*map(F.lit, shares)), F.lit(10_000)).alias("cuts"), F.min("id").alias("low"), F.count(F.when(F.col("id").isNull(), 1)).alias("nulls")).first()
-    # a cut starts a range; ids below the first cut, and null ids, are range 0
-    starts = sorted({c for c in cuts["cuts"] or [] if c != cuts["low"]})
-    edges = F.array(*map(F.lit, starts)).cast(f"array<{docs.schema[id_col].dataType.simpleString()}>")
-    part = F.size(F.filter(edges, lambda c: c <= F.col("id")))
-    rows = rows.withColumn("part", F.when(F.col("id").isNull() | F.lit(not starts), 0).otherwise(part).cast("int"))
-    first = F.array_contains(edges, F.col("id")) if starts else F.lit(False)
-    opening = F.col("id").isNull() if cuts["nulls"] else F.col("id") == F.lit(cuts["low"])
-    before = F.when(first, F.col("part") - 1).when(opening, F.lit(len(starts)))
-    loans = F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("loan")))
-    loans = F.when(before.isNotNull(), F.concat(loans, F.array(F.struct(before.cast("int").alias("part"), F.lit(1).alias("loan"))))).otherwise(loans)
-    each = rows.select("id", "text", F.explode(loans).alias("at")).select("at.part", "at.loan", "id", "text")
-    return each.repartition(len(starts) + 1, "part").sortWithinPartitions("part", "loan", F.col("id").asc_nulls_first(), "text")
-
-
-def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, parts: int | None = None) -> DataFrame:
+    rows = rows.withColumn("key", F.struct("id", F.xxhash64("text").alias("h")))
+    n = max(1, math.ceil(docs.count() / size))
+    ranged = rows.select("key").repartitionByRange(n, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("low"))
+    lows = [r["low"] for r in ranged.orderBy("low").collect()]
+    kind = rows.schema["key"].dataType.simpleString()
+    keys = [F.struct(F.lit(k["id"]).alias("id"), F.lit(k["h"]).alias("h")).cast(kind) for k in lows]
+    starts = keys[1:]
+    part = range_of(F.col("key"), starts) if starts else F.lit(0)
+    rows = rows.withColumn("part", part.cast("int"))
+    loans = [F.when(F.col("key").eqNullSafe(keys[0]), len(starts))] if keys else []
+    if starts:
+        first = F.col("key").eqNullSafe(F.element_at(F.array(*starts), F.greatest(F.col("part"), F.lit(1))))
+        loans.append(F.when(first & (F.col("part") > 0), F.col("part") - 1))
+    before = F.coalesce(*loans, F.lit(None).cast("int"))
+    own = F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("loan")))
+    at = F.when(before.isNotNull(), F.concat(own, F.array(F.struct(before.cast("int").alias("part"), F.lit(1).alias("loan"))))).otherwise(own)
+    each = rows.select("key", "text", F.explode(at).alias("at")).select("at.part", "at.loan", "key", "text")
+    dealt = each.repartitionById(len(starts) + 1, F.col("part")).sortWithinPartitions("part", "loan", "key", "text")
+    return dealt.select("part", "loan", "key.id", "text")
+
+
+def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, size: int = RANGE) -> DataFrame:
     """Fingerprints of every text, and of the text with its last quarter replaced by the start of the next document.
 
     Return ``(id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)``.
     The next document is that of the next id (after the last: the first).  Texts are shuffled once, to
-    ranges of ids; rows are compared with their neighbour as they stream by.  Defined cases: null ids
-    come first; rows of one id follow each other by text; a single row is its own next document; null
-    and empty texts have the empty fingerprint, which is like itself only; other columns are ignored.
+    ranges of ids of about ``size`` rows; rows are compared with their neighbour as they stream by.
+    Defined cases: ids may be of any type with an order; null ids come first; rows of one id follow
+    each other by the hash of their text; a single row is its own next document; null and empty texts
+    have the empty fingerprint, which is like itself only; an empty table gives no rows; other columns
+    are ignored.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    shape = f"id {docs.schema[id_col].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches):
         tool = Sampler(samples)
-        held = None  # (part, id, text, mark) of the row that waits for its next one
-        for pdf in batches:
-            out = []
-            for part, loan, key, text in zip(pdf["part"], pdf["loan"], pdf["id"], pdf["text"]):
-                if held is None or held[0] != part:
-                    held = (part, key, text, tool.fingerprint(text)) if not loan else None
-                    continue
-                mark = tool.fingerprint(text)
-                n = len(held[2])
-                edited = held[2][: n - n // 4] + text[: n // 4]
-                new = tool.fingerprint(edited)
-                out.append((held[1], n, hashlib.sha256(edited.encode()).hexdigest(), as_text(held[3]), as_text(new), likeness(held[3], new), likeness(held[3], mark)))
-                held = (part, key, text, mark) if not loan else None
-            if out:
-                yield pd.DataFrame(out, columns=columns)
-
-    shape = f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, id_col, text_col, parts).mapInPandas(run, shape).withColumnRenamed("id", id_col)
+        held = None  # the last row of the batch before, with its mark
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held[0], table])
+            part, loan, texts = table["part"].to_pylist(), table["loan"].to_pylist(), table["text"].to_pylist()
+            waiting = [i for i in range(len(texts) - 1) if not loan[i]]  # its part has at least a lent row after it
+            if any(part[i] != part[i + 1] for i in waiting):
+                raise ValueError("a range of ids lacks the row that follows it")
+            edited = [t[: len(t) - len(t) // 4] + after[: len(t) // 4] for t, after in zip(texts, texts[1:])]
+            # an edited text is looked at beside the text that it comes from
+            found = [*tool.marks([t for two in zip(edited, texts[1:]) for t in two])]
+            new, marks = found[::2], [held[1] if held is not None else next(tool.marks(texts[:1])), *found[1::2]]
+            held = table.slice(len(texts) - 1), marks[-1]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "id": table["id"].take(pa.array(waiting, pa.int64())).combine_chunks(),
+                    "n_chars": pa.array([len(texts[i]) for i in waiting], pa.int64()),
+                    "edited_sha256": pa.array([hashlib.sha256(edited[i].encode()).hexdigest() for i in waiting], pa.string()),
+                    "fingerprint": pa.array([as_text(marks[i]) for i in waiting], pa.string()),
+                    "edited_fingerprint": pa.array([as_text(new[i]) for i in waiting], pa.string()),
+                    "near_edited": pa.array([likeness(marks[i], new[i]) for i in waiting], pa.float64()),
+                    "near_next": pa.array([likeness(marks[i], marks[i + 1]) for i in waiting], pa.float64()),
+                }
+            )
+
+    return with_next(docs, id_col, text_col, size).mapInArrow(run, shape).withColumnRenamed("id", id_col)
