@@ -29,16 +29,30 @@ from .common import U64, mix64, seeds, slabs
 
 SAMPLES = 128
 #: (term, weight) pairs whose draws a task keeps, pairs drawn at a time, and characters looked at together.
-STORE, DRAWN, SLAB = 65_536, 2048, 100_000
+STORE, DRAWN, SLAB = 98_304, 128, 100_000
 #: Rows that a range of ids holds.
 RANGE = 4096
 TERMS = re.compile(r"\w+|[^\w\s]")
 
-Bag = list[tuple[str, int]]
+#: Terms of weight 1 as they are, others with their weight.
+Bag = list[str | tuple[str, int]]
 
 
 def bag_of(text: str) -> Bag:
-    return list(Counter(TERMS.findall(text)).items())
+    return [t if w == 1 else (t, w) for t, w in Counter(TERMS.findall(text)).items()]
+
+
+class Rows(dict):
+    """Row of each pair, in order; a new pair gets the next row and waits to be drawn."""
+
+    def __init__(self, pairs=()):
+        super().__init__(zip(pairs, range(len(pairs))))
+        self.waiting: Bag = []
+
+    def __missing__(self, pair) -> int:
+        row = self[pair] = len(self)
+        self.waiting.append(pair)
+        return row
 
 
 def unit(bits: np.ndarray, low: int) -> np.ndarray:
@@ -52,12 +66,13 @@ class Sampler:
 
     def __init__(self, samples: int = SAMPLES):
         self.seeds = seeds(21, 2 * samples).reshape(1, 2, samples)
-        self.rows: dict[tuple[str, int], int] = {}  # in order of their rows
+        self.rows = Rows()
         self.table = np.empty((STORE, samples), U64)
         self.used = np.zeros(STORE, np.int64)
 
     def draw(self, pairs: Bag) -> np.ndarray:
-        terms = np.array([int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little") for t, _ in pairs], U64)
+        pairs = [(p, 1) if isinstance(p, str) else p for p in pairs]
+        terms = np.frombuffer(b"".join([hashlib.blake2b(t.encode(), digest_size=8).digest() for t, _ in pairs]), "<u8")
         bits = mix64(terms[:, None, None] ^ self.seeds)
         one, two = bits[:, 0], bits[:, 1]
         tiny = np.float32(1e-7)
@@ -74,42 +89,32 @@ class Sampler:
 
     def shrink(self, most: int) -> None:
         """Keep the pairs that were used most."""
-        n = len(self.rows)
-        keep = np.sort(np.argsort(-self.used[:n], kind="stable")[:most])
+        keep = np.sort(np.argsort(-self.used[: len(self.rows)], kind="stable")[:most])
         pairs = list(self.rows)
         self.table[: len(keep)], self.used[: len(keep)] = self.table[keep], self.used[keep] // 2
         self.used[len(keep) :] = 0
-        self.rows = {pairs[k]: i for i, k in enumerate(keep.tolist())}
-
-    def learn(self, bags: list[Bag]) -> bool:
-        """Draw for all pairs that the table lacks; false if it can't hold them."""
-        need = {p for bag in bags for p in bag}
-        if len(need) > STORE:
-            return False
-        new = [p for p in need if p not in self.rows]
-        if len(self.rows) + len(new) > STORE:
-            self.shrink(min(STORE // 2, STORE - len(need)))
-            new = [p for p in need if p not in self.rows]
-        for low in range(0, len(new), DRAWN):
-            at, part = len(self.rows), new[low : low + DRAWN]
-            self.table[at : at + len(part)] = self.draw(part)
-            self.rows.update(zip(part, range(at, at + len(part))))
-        return True
+        self.rows = Rows([pairs[k] for k in keep.tolist()])
 
     def marks(self, texts: list[str]) -> Iterator[np.ndarray | None]:
         """Names of the samples of each text, or None for one without terms."""
         for a, b in slabs(texts, SLAB):
             bags = [bag_of(t) for t in texts[a:b]]
-            known = self.learn(bags)
-            for bag in bags:
-                if not bag:
-                    yield None
-                elif known:
-                    rows = np.fromiter(map(self.rows.__getitem__, bag), np.int64, len(bag))
-                    self.used[rows] += 1
-                    yield self.table[rows].min(0).astype(np.uint32)
-                else:  # bounded memory for texts of any length
-                    yield np.min([self.draw(bag[low : low + DRAWN]).min(0) for low in range(0, len(bag), DRAWN)], 0).astype(np.uint32)
+            most = sum(map(len, bags))
+            if most > STORE:  # bounded memory for texts of any length
+                for bag in bags:
+                    yield np.min([self.draw(bag[low : low + DRAWN]).min(0) for low in range(0, len(bag), DRAWN)], 0).astype(np.uint32) if bag else None
+                continue
+            if len(self.rows) + most > STORE:
+                self.shrink(min(STORE // 2, STORE - most))
+            found = [np.fromiter(map(self.rows.__getitem__, bag), np.int64, len(bag)) for bag in bags]
+            new, at = self.rows.waiting, len(self.rows) - len(self.rows.waiting)
+            for low in range(0, len(new), DRAWN):
+                part = new[low : low + DRAWN]
+                self.table[at + low : at + low + len(part)] = self.draw(part)
+            new.clear()
+            for rows in found:
+                self.used[rows] += 1
+                yield self.table.take(rows, 0, mode="clip").min(0).astype(np.uint32) if len(rows) else None
 
 
 def as_text(mark: np.ndarray | None) -> str:
