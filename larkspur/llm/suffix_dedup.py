@@ -1,14 +1,19 @@
 """Removal of repeated byte strings with suffix arrays.
 
 A byte goes if it lies in a string of ``length`` bytes that also starts earlier: in a document of smaller
-id, or further left in the same one.
+id, or further left in one of the same id.  Places are pairs (id, start); of rows with one id none is
+earlier than another.
 
 *Routing.*  Every string of ``length`` bytes has an anchor, its ``GRAM``-byte piece of least hash
 (leftmost of equals).  Equal strings have equal anchors, so strings are routed by their anchor's hash.
 Neighbouring starts mostly share an anchor; such a run of starts with its bytes is a *context*, one for
-about 35 bytes of text.  Contexts travel as hashes.  Of equal contexts all but the first are repeats
-throughout, which each task settles for its own batch before anything is shuffled; so a passage in a
-third of all documents is one row a batch.  Anchors with one context are done.
+about 35 bytes of text.
+
+*Pre-aggregation.*  Contexts of equal bytes, by their 128-bit BLAKE2 digests (no weaker hash ever decides
+what goes), are one context: of all but the earliest every start is a repeat.  Each task settles this
+for its own batch before anything is shuffled and joins what goes to spans, so that a passage in a
+third of all documents is one row a batch.  Rows are dealt by anchor; anchors that a sample of the rows
+shows to be hot are dealt by anchor and digest.  Anchors with one context are done.
 
 *Shards.*  Of anchors with several different contexts, the first of each is cut from its text and sent
 to a shard by anchor; anchors with very many are dealt over several shards.  A shard sorts its suffixes by
@@ -39,6 +44,8 @@ PIECE, SPLIT, SHARD_BYTES = 1 << 19, 4096, 2_000_000
 BYTE_CODES = seeds(31, 256)
 #: A difference of two 8-byte words with k equal leading bytes is at most LEADING[k - 1].
 LEADING = np.array([(1 << (64 - 8 * k)) - 1 for k in range(1, 9)], U64)
+#: Low bits of a gram's hash that give way to its place, the same for all batches.
+PLACE_BITS = 21
 BASE = 0x9E3779B97F4A7C15
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -57,16 +64,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Contexts of texts that lie end to end in ``data``: anchor hash, context hash, text, first start in ``data``, starts."""
+    """Contexts of texts that lie end to end in ``data``: anchor hash, text, first start in ``data``, starts."""
     n = len(data)
     begins = np.concatenate([[0], ends[:-1]])
     empty = np.empty(0, np.int64)
     if n < length:
-        return empty, empty, empty, empty, empty
+        return empty, empty, empty, empty
+    if n >> PLACE_BITS:
+        raise ValueError("too many bytes at a time")
     up, down = powers(n + 1)
     prefix = np.concatenate([np.zeros(1, U64), np.cumsum(BYTE_CODES[data] * up[:n])])
     grams = mix64((prefix[GRAM:] - prefix[:-GRAM]) * down[: n - GRAM + 1])
-    bits = U64(max(1, n.bit_length()))
+    bits = U64(PLACE_BITS)
     low = (grams >> bits << bits) | np.arange(len(grams), dtype=U64)  # the place breaks ties, leftmost first
     window, width = length - GRAM + 1, 1
     while width * 2 <= window:
@@ -87,10 +96,12 @@ def contexts(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarra
     stop = np.ones(starts, bool)
     stop[:-1] = new[1:] | ~fits[1:]
     tail = np.flatnonzero(stop & fits)
-    to = tail + length
-    anchor = place[head]
-    context = mix64((prefix[to] - prefix[head]) * down[head] + (anchor - head).astype(U64) * U64(0xD6E8FEB86659FD93) + (to - head).astype(U64))
-    return grams[anchor].view(np.int64), context.view(np.int64), np.searchsorted(ends, head, "right"), head, tail - head + 1
+    return grams[place[head]].view(np.int64), np.searchsorted(ends, head, "right"), head, tail - head + 1
+
+
+def digests(raw: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """128-bit digests of pieces of ``raw``."""
+    return np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), stops.tolist())]), DIGEST)
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,13 +171,33 @@ def common_prefixes(order: np.ndarray, word: np.ndarray, most: int, lane: int =
     return out[order]
 
 
+def joined(code: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans with touching and overlapping ones of a code joined."""
+    by = np.lexsort((start, code))
+    code, start, stop = code[by], start[by], stop[by]
+    if not len(code):
+        return code, start, stop
+    # the furthest stop so far, from anew with each code
+    far = int(stop.max()) + 1
+    top = np.maximum.accumulate(stop + code * far) - code * far
+    new = np.ones(len(code), bool)
+    new[1:] = (code[1:] != code[:-1]) | (start[1:] > top[:-1])
+    first = np.flatnonzero(new)
+    return code[first], start[first], top[np.append(first[1:], len(code)) - 1]
+
+
+def numbered(ids: pd.Series) -> np.ndarray:
+    """Numbers of sorted values, equal ones alike."""
+    return (ids != ids.shift()).cumsum().to_numpy(np.int64)
+
+
 def shard_repeats(pdf: pd.DataFrame, length: int, buckets: int) -> pd.DataFrame:
     """Repeats within one shard of contexts; of anchors dealt over shards also the first start of each string, as a sorted list for each bucket of digests."""
-    pdf = pdf.sort_values(["id", "start"], kind="stable").reset_index(drop=True)
+    pdf = pdf.sort_values(["id", "twin", "start"], kind="stable").drop_duplicates(["id", "twin", "start"]).reset_index(drop=True)
     shard = int(pdf["shard"].iloc[0])
     sizes = pdf["bytes"].map(len).to_numpy()
-    text = np.frombuffer(b"".join(pdf["bytes"]), np.uint8)
-    order, word = suffix_array(text)
+    raw = b"".join(pdf["bytes"])
+    order, word = suffix_array(np.frombuffer(raw, np.uint8))
     common = common_prefixes(order, word, length)
     begin = np.cumsum(sizes) - sizes
     owner = np.searchsorted(begin, order, "right") - 1
@@ -174,77 +205,75 @@ def shard_repeats(pdf: pd.DataFrame, length: int, buckets: int) -> pd.DataFrame:
     part = np.cumsum(common < length)
     real = offset <= sizes[owner] - length
     owner, offset, part, order = owner[real], offset[real], part[real], order[real]
-    # rows are in order of id and start: the first of a part has the least owner, then the least offset
-    by = np.lexsort((offset, owner, part))
-    owner, offset, part, order = owner[by], offset[by], part[by], order[by]
-    first = np.ones(len(part), bool)
-    first[1:] = part[1:] != part[:-1]
-    ids, starts, dealt = pdf["id"].to_numpy(), pdf["start"].to_numpy(), pdf["dealt"].to_numpy()
-    gone = owner[~first]
-    spans = join_spans(pd.DataFrame({"id": ids[gone], "start": starts[gone] + offset[~first], "stop": starts[gone] + offset[~first] + length}))
-    rows = [(i, a, b, shard, shard % buckets, None, None, None, None) for i, a, b in zip(spans["id"].tolist(), spans["start"].tolist(), spans["stop"].tolist())]
-    lead = np.flatnonzero(first & (dealt[owner] > 1))
+    ids, twins, code, dealt = pdf["id"].to_numpy(), pdf["twin"].to_numpy(), numbered(pdf["id"]), pdf["dealt"].to_numpy()
+    start = pdf["start"].to_numpy()[owner] + offset
+    by = np.lexsort((start, code[owner], part))
+    owner, start, part, order = owner[by], start[by], part[by], order[by]
+    new = np.ones(len(part), bool)
+    new[1:] = part[1:] != part[:-1]
+    least = np.maximum.accumulate(np.where(new, np.arange(len(part)), 0))
+    gone = (code[owner] != code[owner[least]]) | (start != start[least])
+    row, a, b = joined(owner[gone], start[gone], start[gone] + length)
+    # lists fill the columns of spans too: nulls would make floats of them
+    rows = [(i, t, a, b, shard, shard % buckets, None, None, None, None, None) for i, t, a, b in zip(ids[row].tolist(), twins[row].tolist(), a.tolist(), b.tolist())]
+    lead = np.flatnonzero(~gone & (dealt[owner] > 1))
     if len(lead):
-        raw = text.tobytes()
-        digest = np.frombuffer(b"".join(hashlib.blake2b(raw[p : p + length], digest_size=16).digest() for p in order[lead].tolist()), DIGEST)
+        digest = digests(raw, order[lead], order[lead] + length)
         bucket = digest["a"] % buckets
         by = np.lexsort((digest["b"], digest["a"], bucket))
-        digest, bucket, who = digest[by], bucket[by], lead[by]
+        digest, bucket, lead = digest[by], bucket[by], lead[by]
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
         for a, b in zip(cuts, [*cuts[1:], len(by)]):
-            w = who[a:b]
-            rows.append((None, None, None, shard, int(bucket[a]), digest["a"][a:b].tolist(), digest["b"][a:b].tolist(), ids[owner[w]].tolist(), (starts[owner[w]] + offset[w]).tolist()))
-    return pd.DataFrame(rows, columns=["id", "start", "stop", "shard", "bucket", "highs", "lows", "ids", "starts"], dtype=object)
-
-
-def join_spans(rows: pd.DataFrame) -> pd.DataFrame:
-    """Spans (id, start, stop) with touching and overlapping ones of an id joined."""
-    if rows.empty:
-        return rows
-    rows = rows.sort_values(["id", "start"], kind="stable").reset_index(drop=True)
-    top = rows.groupby("id", dropna=False)["stop"].cummax()
-    new = (rows["id"] != rows["id"].shift()) | (rows["start"] > top.shift().fillna(-1))
-    return rows.assign(stop=top).groupby(new.cumsum().to_numpy()).agg({"id": "first", "start": "first", "stop": "max"}).reset_index(drop=True)
+            w = lead[a:b]
+            rows.append((ids[owner[w[0]]], 0, 0, 0, shard, int(bucket[a]), digest["a"][a:b].tolist(), digest["b"][a:b].tolist(), ids[owner[w]].tolist(), twins[owner[w]].tolist(), start[w].tolist()))
+    return pd.DataFrame(rows, columns=["id", "twin", "start", "stop", "shard", "bucket", "highs", "lows", "ids", "twins", "starts"], dtype=object)
 
 
 def merge_shards(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     """Spans as they are; of the shards' lists of first starts, all but the earliest of each string."""
     spans = pdf[pdf["highs"].isna()]
-    out = list(zip(spans["id"].tolist(), spans["start"].astype("int64").tolist(), spans["stop"].astype("int64").tolist()))
-    merged, owners = np.empty(0, DIGEST), np.empty(0, np.int64)  # digests in order, and the earliest start of each in ``places``
-    places: list[tuple] = []
+    out = list(zip(spans["id"].tolist(), spans["twin"].tolist(), spans["start"].tolist(), spans["stop"].tolist()))
+    lists = []
     for r in pdf[pdf["highs"].notna()].sort_values("shard").itertuples():
         digest = np.empty(len(r.highs), DIGEST)
         digest["a"], digest["b"] = r.highs, r.lows
-        mine = len(places) + np.arange(len(digest))
-        places += zip(r.ids, r.starts)
+        lists.append((digest, list(zip(r.ids, r.starts)), r.twins))
+    merged, least = np.empty(0, DIGEST), np.empty(0, object)  # digests in order, and the earliest place of each
+    for digest, places, _ in lists:
         at = np.searchsorted(merged, digest)
         known = at < len(merged)
         known[known] = merged[at[known]] == digest[known]
-        for i, m in zip(at[known].tolist(), mine[known].tolist()):
-            late, early = (m, int(owners[i])) if places[owners[i]] < places[m] else (int(owners[i]), m)
-            out.append((places[late][0], int(places[late][1]), int(places[late][1]) + length))
-            owners[i] = early
-        merged = np.insert(merged, at[~known], digest[~known])
-        owners = np.insert(owners, at[~known], mine[~known])
-    return pd.DataFrame(out, columns=["id", "start", "stop"])
-
-
-def _context_rows(docs: DataFrame, kind: str, length: int) -> DataFrame:
-    """``(key, context, id, start, starts)``; rows without a key are settled: repeats of a context of their batch."""
+        for i, k in zip(at[known].tolist(), np.flatnonzero(known).tolist()):
+            least[i] = min(least[i], places[k])
+        new = np.flatnonzero(~known)
+        new = new[np.concatenate([[True], digest[new][1:] != digest[new][:-1]])[: len(new)]]  # places of equal digests are equal
+        firsts = np.empty(len(new), object)
+        firsts[:] = [places[k] for k in new.tolist()]
+        least = np.insert(least, at[new], firsts)
+        merged = np.insert(merged, at[new], digest[new])
+    for digest, places, twins in lists:
+        for i, place, twin in zip(np.searchsorted(merged, digest).tolist(), places, twins):
+            if place != least[i]:
+                out.append((place[0], twin, int(place[1]), int(place[1]) + length))
+    return pd.DataFrame(out, columns=["id", "twin", "start", "stop"])
+
+
+def _context_rows(rows: DataFrame, length: int) -> DataFrame:
+    """``(key, high, low, id, twin, start, stop)`` of the contexts; rows without a key are spans that are settled: later repeats of a context of their batch."""
 
     def run(batches):
         for pdf in batches:
-            pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
-            ids, found = pdf["id"], []
+            pdf = pdf.drop_duplicates(["id", "twin"]).sort_values(["id", "twin"], kind="stable").reset_index(drop=True)
+            found = []
             group: list[tuple[int, int, bytes]] = []  # row, offset, bytes
 
             def flush():
                 if group:
-                    ends = np.cumsum([len(b) for *_, b in group])
-                    key, context, text, head, starts = contexts(np.frombuffer(b"".join(b for *_, b in group), np.uint8), ends, length)
-                    rows, offsets = np.array([g[0] for g in group]), np.array([g[1] for g in group])
-                    found.append((key, context, rows[text], head - (ends[text] - np.array([len(b) for *_, b in group])[text]) + offsets[text], starts))
+                    sizes = np.array([len(b) for *_, b in group])
+                    raw, ends = b"".join([b for *_, b in group]), np.cumsum(sizes)
+                    key, text, head, starts = contexts(np.frombuffer(raw, np.uint8), ends, length)
+                    row, offset = np.array([g[0] for g in group]), np.array([g[1] for g in group])
+                    found.append((key, digests(raw, head, head + starts - 1 + length), row[text], head - (ends - sizes)[text] + offset[text], starts))
                     group.clear()
 
             size = 0
@@ -260,57 +289,92 @@ def _context_rows(docs: DataFrame, kind: str, length: int) -> DataFrame:
             flush()
             if not found:
                 continue
-            key, context, row, start, starts = (np.concatenate(c) for c in zip(*found))
-            by = np.lexsort((start, row, context, key))
-            key, context, row, start, starts = key[by], context[by], row[by], start[by], starts[by]
-            again = np.zeros(len(key), bool)
-            again[1:] = (key[1:] == key[:-1]) & (context[1:] == context[:-1])
-            yield pd.DataFrame({"key": pd.array(key, "Int64"), "context": context, "id": ids.iloc[row].to_numpy(), "start": start, "starts": starts, "settled": again})
-
-    return docs.mapInPandas(run, f"key long, context long, id {kind}, start long, starts int, settled boolean")
+            key, digest, row, start, starts = (np.concatenate(c) for c in zip(*found))
+            code, stop = numbered(pdf["id"])[row], start + starts - 1 + length
+            by = np.lexsort((start, code, digest["b"], digest["a"], key))
+            key, digest, row, start, stop, code = key[by], digest[by], row[by], start[by], stop[by], code[by]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
+            least = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+            gone = (code != code[least]) | (start != start[least])
+            span_row, span_start, span_stop = joined(row[gone], start[gone], stop[gone])
+            n, stay = len(span_row), ~gone
+            row = np.concatenate([row[stay], span_row])
+            missing = np.zeros(n, np.int64)
+            mask = np.repeat([False, True], [stay.sum(), n])
+            yield pd.DataFrame(
+                {
+                    "key": pd.arrays.IntegerArray(np.concatenate([key[stay], missing]), mask),
+                    "high": np.concatenate([digest["a"][stay], missing]),
+                    "low": np.concatenate([digest["b"][stay], missing]),
+                    "id": pdf["id"].iloc[row].to_numpy(),
+                    "twin": pdf["twin"].to_numpy()[row],
+                    "start": np.concatenate([start[stay], span_start]),
+                    "stop": np.concatenate([stop[stay], span_stop]),
+                }
+            )
+
+    return rows.mapInPandas(run, f"key long, high long, low long, id {rows.schema['id'].dataType.simpleString()}, twin long, start long, stop long")
+
+
+def hot_anchors(rows: DataFrame, length: int, parts: int, fraction: float = 1 / 64) -> list[int]:
+    """Anchors with more contexts than a quarter of a fair partition, as a sample of the rows has it; fewer than ``4 * parts``.
+
+    They only say how rows are dealt, never what is found.
+    """
+    counts = _context_rows(rows.sample(fraction, 5), length).where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    return [r["key"] for r in counts.where(F.col("n") > F.greatest(total / (4 * parts), F.lit(8))).select("key").collect()]
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
     """``(id, text, spans)`` of every row with an id: byte spans ``array<struct<start, stop>>`` that go (may touch or overlap)."""
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id IS NOT NULL")
-    found = _context_rows(rows, kind, length).repartition("key")
-    same, anchor = Window.partitionBy("key", "context"), Window.partitionBy("key")
-    first = F.row_number().over(same.orderBy("settled", "id", "start")) == 1
-    found = found.withColumn("first", first & ~F.col("settled"))
-    found = found.withColumn("several", F.min("context").over(anchor) != F.max("context").over(anchor)).where("several OR NOT first")
-    found = checkpointed(found.withColumn("n", F.sum(F.col("first").cast("long")).over(anchor)))
-    open_ones = found.where("first AND several")
-    total = open_ones.agg(F.sum(F.col("starts") + length)).first()[0] or 0
+    rows = rows.select("id", F.xxhash64("text").alias("twin"), "text")  # rows of one id are told apart by their texts
+    hot = spark.createDataFrame([(k, True) for k in hot_anchors(rows, length, parts)], "key long, hot boolean")
+    found = _context_rows(rows, length).join(F.broadcast(hot), "key", "left")
+    is_hot = F.coalesce(F.col("hot"), F.lit(False))
+    spread = F.when(is_hot, F.pmod("high", F.lit(parts))).otherwise(0)
+    found = found.withColumn("deal", F.coalesce(F.when(F.col("key").isNotNull(), F.xxhash64("key", spread)), F.xxhash64("id", "start"))).repartition("deal")
+    same, anchor = Window.partitionBy("deal", "key", "high", "low"), Window.partitionBy("deal", "key")
+    first = F.col("key").isNotNull() & (F.rank().over(same.orderBy("id", "start")) == 1)
+    found = found.withColumn("first", first).withColumn("n", F.sum(F.col("first").cast("long")).over(anchor) * F.when(is_hot, parts).otherwise(1))
+    found = checkpointed(found.where("NOT first OR n > 1").select("key", "id", "twin", "start", "stop", "first", "n"))
+    open_ones = found.where("first")
+    total = open_ones.agg(F.sum(F.col("stop") - F.col("start"))).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_BYTES))
     dealt = F.ceil(F.col("n") / SPLIT).cast("int")
-    wanted = open_ones.select("id", F.struct("key", "start", "starts", dealt.alias("dealt")).alias("c")).groupBy("id").agg(F.collect_list("c").alias("wanted"))
-    texts = rows.repartition("id")
+    wanted = open_ones.select("id", "twin", F.struct("key", "start", "stop", dealt.alias("dealt")).alias("c")).groupBy("id", "twin").agg(F.collect_list("c").alias("wanted"))
+    texts = rows.repartition("id", "twin")
 
     def cut(batches):
         for pdf in batches:
             out = []
-            for key, text, wanted in zip(pdf["id"], pdf["text"], pdf["wanted"]):
+            for key, twin, text, wanted in zip(pdf["id"], pdf["twin"], pdf["text"], pdf["wanted"]):
                 raw = text.encode()
-                out += [(key, w["key"], w["start"], w["dealt"], raw[w["start"] : w["start"] + w["starts"] - 1 + length]) for w in wanted]
-            yield pd.DataFrame(out, columns=["id", "key", "start", "dealt", "bytes"])
+                out += [(key, twin, w["key"], w["start"], w["dealt"], raw[w["start"] : w["stop"]]) for w in wanted]
+            yield pd.DataFrame(out, columns=["id", "twin", "key", "start", "dealt", "bytes"])
 
-    pieces = texts.join(wanted, "id").mapInPandas(cut, f"id {kind}, key long, start long, dealt int, bytes binary")
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("key", F.pmod(F.xxhash64("id"), F.col("dealt"))), F.lit(shards)))
-    shape = f"id {kind}, start long, stop long, shard long, bucket long, highs array<long>, lows array<long>, ids array<{kind}>, starts array<long>"
+    once = texts.withColumn("copy", F.row_number().over(Window.partitionBy("id", "twin").orderBy("id"))).where("copy = 1").drop("copy")
+    pieces = once.join(wanted, ["id", "twin"]).mapInPandas(cut, f"id {kind}, twin long, key long, start long, dealt int, bytes binary")
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("key", F.pmod(F.xxhash64("id", "twin"), F.col("dealt"))), F.lit(shards)))
+    shape = f"id {kind}, twin long, start long, stop long, shard long, bucket long, highs array<long>, lows array<long>, ids array<{kind}>, twins array<long>, starts array<long>"
     local = pieces.groupBy("shard").applyInPandas(lambda pdf: shard_repeats(pdf, length, shards), shape)
-    settled = found.where("NOT first").select("id", "start", (F.col("start") + F.col("starts") - 1 + length).alias("stop"))
-    merged = local.groupBy("bucket").applyInPandas(lambda pdf: merge_shards(pdf, length), f"id {kind}, start long, stop long")
-    spans = settled.union(merged).groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return texts.join(spans, "id", "left")
+    merged = local.groupBy("bucket").applyInPandas(lambda pdf: merge_shards(pdf, length), f"id {kind}, twin long, start long, stop long")
+    spans = found.where("NOT first").select("id", "twin", "start", "stop").union(merged).groupBy("id", "twin").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return texts.join(spans, ["id", "twin"], "left").select("id", "text", "spans")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, keep_bytes: bool = False) -> DataFrame:
     """Return ``(id_col, n_bytes, n_removed, n_spans, kept_sha256[, kept])``, one row per row of ``docs``.
 
     Defined cases: a null or empty text and one shorter than ``length`` bytes lose nothing; rows
-    without an id are not compared and lose nothing; ids are taken to name one text each (rows that
-    share an id share what goes); strings are judged on the input, not on what is left; other columns
+    without an id are not compared and lose nothing; rows that share an id are texts of their own, of
+    which one loses what starts further left in another, but nothing that starts at the same place;
+    strings are judged on the input, not on what is left; an empty table gives no rows; other columns
     are ignored.  ``kept`` are the bytes that stay, which may cut a character in two.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -342,15 +406,15 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 #: ``remove_repeats`` over the documents table, every string looked up by itself: for small tables only.
 SQL = """
-WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
-strings AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS i FROM h WHERE n >= 100)),
-late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM strings) WHERE k > 1),
-marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM late),
-numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked),
-spans AS (SELECT doc_id, k, min(i) AS a, max(i) + 100 AS b FROM numbered GROUP BY 1, 2),
-gaps AS (SELECT doc_id, k, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY k), 0) AS from_ FROM spans),
-kept AS (SELECT g.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY k) || substr(any_value(x), 2 * max(b) + 1) AS y
-  FROM gaps g JOIN h ON g.doc_id = h.doc_id GROUP BY 1)
+WITH h AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+strings AS (SELECT r, doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS s FROM (SELECT r, doc_id, x, unnest(range(0, n - 99)) AS i FROM h WHERE n >= 100 AND doc_id IS NOT NULL)),
+late AS (SELECT r, i FROM (SELECT r, i, rank() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM strings) WHERE k > 1),
+marked AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM late),
+numbered AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM marked),
+spans AS (SELECT r, k, min(i) AS a, max(i) + 100 AS b FROM numbered GROUP BY 1, 2),
+gaps AS (SELECT r, k, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY k), 0) AS from_ FROM spans),
+kept AS (SELECT g.r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY k) || substr(any_value(x), 2 * max(b) + 1) AS y
+  FROM gaps g JOIN h ON g.r = h.r GROUP BY 1)
 SELECT h.doc_id, h.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256
-FROM h LEFT JOIN kept ON h.doc_id = kept.doc_id
+FROM h LEFT JOIN kept ON h.r = kept.r
 """
