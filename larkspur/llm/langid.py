@@ -4,6 +4,9 @@ A word of the model scores by its log frequency in each language.  A word the mo
 falls back to its longest character n-grams of which the model knows any, from ``ORDER`` characters
 down to one, and scores by their mean log frequency.  A document's scores are summed over its words.
 
+Words and n-grams are known by 64-bit hashes, in sorted arrays beside their scores, and looked up for
+many texts at a time.
+
 These sums say which language is likeliest, not whether any is likely: the longer a text, the nearer
 the best share is to 1.  ``checked`` adds a measure that doesn't grow with the text, the mean over its
 words of the mean log frequency of their 3-grams.
@@ -11,6 +14,7 @@ words of the mean log frequency of their 3-grams.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -21,91 +25,134 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import U64, mix64, slabs
 
 ORDER = 5
 LETTERS = regex.compile(r"\p{L}+")
+#: The same runs but for numerals that aren't digits, and several times as fast.
+NEARLY_LETTERS = re.compile(r"[^\W\d_]+")
 #: Letters that don't touch digits: no pieces of keys and hex strings.
 WHOLE = regex.compile(r"(?<![\p{L}\p{N}])\p{L}+(?![\p{L}\p{N}])")
 SMOOTH = 0.5
-#: Words outside the model whose scores a task keeps.
-STORE = 50_000
+#: Characters of texts that are looked at together.
+SLAB = 400_000
+BASE = 0x9E3779B97F4A7C15
+
+
+@dataclass
+class Scores:
+    """Log frequencies by language of what has the (sorted) hash."""
+
+    keys: np.ndarray
+    logs: np.ndarray
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are known, and the rows of those."""
+        if not len(self.keys):
+            return np.zeros(len(hashes), bool), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        known = self.keys[at] == hashes
+        return known, at[known]
 
 
 @dataclass
 class Model:
     langs: list[str]
-    words: dict[str, int]
-    grams: list[dict[str, int]]
-    word_scores: np.ndarray
-    gram_scores: list[np.ndarray]
+    #: Of words, then of n-grams of 1 to ``ORDER`` characters.
+    orders: list[Scores]
     #: Log frequency of a 3-gram that was never seen, by language.
     unseen: np.ndarray
-    #: Least mean log frequency of a text's 3-grams, by language; the second half of ``word_scores`` has those of the words.
+    #: Least mean log frequency of a text's 3-grams, by language.
     usual: np.ndarray | None = None
 
 
-def grams_of(word: str, n: int) -> list[str]:
-    s = f"^{word}$"
-    return [s[i : i + n] for i in range(len(s) - n + 1)]
+class Words(dict):
+    """Number of each word, in order of first sight."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class Pieces:
+    """Hashes of words and of their n-grams; a word counts with a mark on either side."""
+
+    def __init__(self, words: list[str]):
+        self.sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        codes = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        powers = np.full(len(codes) + 1, BASE, U64)
+        powers[0] = 1
+        self.up = np.cumprod(powers)
+        powers[1:] = U64(pow(BASE, -1, 1 << 64))
+        self.down = np.cumprod(powers)
+        self.prefix = np.concatenate([np.zeros(1, U64), np.cumsum(mix64(codes.astype(U64) + U64(1)) * self.up[:-1])])
+        self.begins = np.cumsum(self.sizes) - self.sizes
+
+    def _hashes(self, starts: np.ndarray, stops: np.ndarray, order: int) -> np.ndarray:
+        return mix64((self.prefix[stops] - self.prefix[starts]) * self.down[starts] + U64(order))
+
+    def whole(self) -> np.ndarray:
+        return self._hashes(self.begins, self.begins + self.sizes, 0)
 
+    def grams(self, n: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the n-grams of some words, and whose they are."""
+        of = of[self.sizes[of] >= n]
+        many = self.sizes[of] - n + 1
+        owner = np.repeat(of, many)
+        starts = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + self.begins[owner]
+        return self._hashes(starts, starts + n, n), owner
 
-def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs_per_lang: int = 5000, max_words: int = 100_000, max_grams: int = 100_000) -> Model:
+
+def words_of(texts: list[str]) -> list[list[str]]:
+    """Runs of letters of each text, in lower case."""
+    lower = [t.lower() for t in texts]
+    found = [NEARLY_LETTERS.findall(t) for t in lower]
+    return [f if "".join(f).isalpha() or not f else LETTERS.findall(t) for f, t in zip(found, lower)]
+
+
+def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs_per_lang: int = 5000) -> Model:
     """Learn from rows with a language.
 
-    Bounds, so that the model can be sent to every task: about ``max_docs_per_lang`` documents of
-    each language (chosen by a hash of the id, whole texts), the ``max_words`` most frequent words
-    that occur twice or more, and the ``max_grams`` most frequent n-grams of each order.
+    The only bound is on the documents learned from, so that the model can be sent to every task:
+    about ``max_docs_per_lang`` of each language, chosen by a hash of the id, whole texts.  All their
+    words and n-grams are known.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], {}, [{} for _ in range(ORDER)], np.zeros((0, 0)), [np.zeros((0, 0))] * ORDER, np.zeros(0))
-    cut = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(1_000_000 * min(1, max_docs_per_lang / sizes[lang])))])
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < cut[F.col("lang")])
-
-    def count_words(batches):
-        for pdf in batches:
-            for lang, part in pdf.groupby("lang"):
-                seen: Counter = Counter()
-                for t in part["text"]:
-                    seen.update(LETTERS.findall(t.lower()))
-                yield pd.DataFrame({"lang": lang, "word": list(seen.keys()), "n": list(seen.values())})
+        return Model([], [Scores(np.empty(0, U64), np.empty((0, 0)))] * (ORDER + 1), np.zeros(0))
+    cut = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, int(1_000_000 * min(1, max_docs_per_lang / sizes[lang])))])
+    number = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
+    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < cut[F.col("lang")]).select(number[F.col("lang")].alias("lang"), "text")
 
-    def count_grams(batches):
+    def count(batches):
         for pdf in batches:
             for lang, part in pdf.groupby("lang"):
-                seen: Counter = Counter()
-                for w, n in zip(part["word"], part["n"]):
-                    for k in range(1, ORDER + 1):
-                        for g in grams_of(w, k):
-                            seen[g] += n
-                yield pd.DataFrame({"lang": lang, "word": list(seen.keys()), "n": list(seen.values())})
-
-    shape = "lang string, word string, n long"
-    # both are read several times
-    per_word = checkpointed(chosen.select("lang", "text").mapInPandas(count_words, shape).groupBy("word", "lang").agg(F.sum("n").alias("n")))
-    per_gram = checkpointed(per_word.mapInPandas(count_grams, shape).groupBy("word", "lang").agg(F.sum("n").alias("n")))
-
-    def top(counts: DataFrame, most: int, at_least: int) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-        by_lang = F.map_from_entries(F.collect_list(F.struct("lang", "n")))
-        wide = counts.groupBy("word").agg(F.sum("n").alias("total"), by_lang.alias("by_lang"))
-        got = wide.where(F.col("total") >= at_least).orderBy(F.desc("total"), "word").limit(most).collect()
-        table = np.array([[r["by_lang"].get(lang, 0) for lang in langs] for r in got], float).reshape(len(got), len(langs))
-        whole = table.sum(0) + SMOOTH * max(1, len(got))
-        return {r["word"]: i for i, r in enumerate(got)}, np.log((table + SMOOTH) / whole), np.log(SMOOTH / whole)
-
-    words, word_scores, _ = top(per_word, max_words, 2)
-    orders = [top(per_gram.where(F.char_length("word") == k), max_grams, 1) for k in range(1, ORDER + 1)]
-    return Model(langs, words, [o[0] for o in orders], word_scores, [o[1] for o in orders], orders[2][2])
-
-
-def word_level(model: Model, word: str) -> np.ndarray:
-    """Mean log frequency of a word's 3-grams, unseen ones included."""
-    known = [i for g in grams_of(word, 3) if (i := model.grams[2].get(g)) is not None]
-    return (model.gram_scores[2][known].sum(0) + (len(word) - len(known)) * model.unseen) / len(word)
+                texts = part["text"].tolist()
+                for a, b in slabs(texts, 10 * SLAB):
+                    seen: Counter = Counter()
+                    for found in words_of(texts[a:b]):
+                        seen.update(found)
+                    if not seen:
+                        continue
+                    pieces, n = Pieces(list(seen)), np.fromiter(seen.values(), np.int64, len(seen))
+                    for k in range(ORDER + 1):
+                        hashes, owner = pieces.grams(k, np.arange(len(n))) if k else (pieces.whole(), np.arange(len(n)))
+                        hashes, at = np.unique(hashes, return_inverse=True)
+                        yield pd.DataFrame({"k": k, "lang": lang, "hash": hashes.view(np.int64), "n": np.bincount(at, n[owner]).astype(np.int64)})
+
+    counts = chosen.mapInPandas(count, "k int, lang int, hash long, n long").groupBy("k", "lang", "hash").agg(F.sum("n").alias("n")).toPandas()
+    orders, wholes = [], []
+    for k in range(ORDER + 1):
+        part = counts[counts["k"] == k]
+        keys, at = np.unique(part["hash"].to_numpy(np.int64).view(U64), return_inverse=True)
+        table = np.zeros((len(keys), len(langs)))
+        table[at, part["lang"].to_numpy(np.int64)] = part["n"]
+        wholes.append(table.sum(0) + SMOOTH * max(1, len(keys)))
+        orders.append(Scores(keys, np.log((table + SMOOTH) / wholes[-1]).astype(np.float32)))
+    return Model(langs, orders, np.log(SMOOTH / wholes[3]))
 
 
 def checked(model: Model, depth: float = 0.5) -> Model:
@@ -117,54 +164,65 @@ def checked(model: Model, depth: float = 0.5) -> Model:
     """
     if not model.langs:
         return model
-    grams = model.gram_scores[2]
-    mean = (np.exp(grams) * grams).sum(0) / np.exp(grams).sum(0)
-    levels = np.array([word_level(model, w) for w in model.words]).reshape(len(model.words), len(model.langs))
-    return replace(model, word_scores=np.hstack([model.word_scores, levels]), usual=mean + depth * (model.unseen - mean))
-
-
-def word_score(model: Model, word: str) -> np.ndarray:
-    """Scores of a word that is not in the model."""
-    for n in range(min(ORDER, len(word) + 2), 0, -1):
-        known = [i for g in grams_of(word, n) if (i := model.grams[n - 1].get(g)) is not None]
-        if known:
-            return model.gram_scores[n - 1][known].mean(0)
-    return np.zeros(len(model.langs))
-
-
-def predict_texts(model: Model, texts: list[str], store: dict) -> tuple[list[str], list[float]]:
-    langs, scores = [], []
-    for t in texts:
-        seen = Counter(LETTERS.findall(t.lower()))
-        if not seen or not model.langs:
-            langs.append("und")
-            scores.append(0.0)
+    logs = model.orders[3].logs.astype(float)
+    mean = (np.exp(logs) * logs).sum(0) / np.exp(logs).sum(0)
+    return replace(model, usual=mean + depth * (model.unseen - mean))
+
+
+def _means(scores: Scores, pieces: Pieces, n: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the log frequencies of the known n-grams of some words, and how many there are."""
+    hashes, owner = pieces.grams(n, of)
+    known, rows = scores.find(hashes)
+    owner, words = owner[known], len(pieces.sizes)
+    sums = [np.bincount(owner, scores.logs[rows, k], words) for k in range(scores.logs.shape[1])]
+    return np.stack(sums, 1), np.bincount(owner, minlength=words)
+
+
+def word_scores(model: Model, pieces: Pieces) -> np.ndarray:
+    """Scores of words by language."""
+    out = np.zeros((len(pieces.sizes), len(model.langs)))
+    known, rows = model.orders[0].find(pieces.whole())
+    out[known] = model.orders[0].logs[rows]
+    for n in range(ORDER, 0, -1):
+        sums, many = _means(model.orders[n], pieces, n, np.flatnonzero(~known))
+        some = many > 0
+        out[some] = sums[some] / many[some, None]
+        known |= some
+    return out
+
+
+def word_levels(model: Model, pieces: Pieces) -> np.ndarray:
+    """Mean log frequency of words' 3-grams by language, unseen ones included."""
+    sums, many = _means(model.orders[3], pieces, 3, np.arange(len(pieces.sizes)))
+    size = pieces.sizes - 2
+    return (sums + (size - many)[:, None] * model.unseen) / size[:, None]
+
+
+def totals(found: list[np.ndarray], of_words: np.ndarray) -> np.ndarray:
+    """Sums over each text's words."""
+    return np.array([of_words[f].sum(0) if len(f) < 50_000 else np.bincount(f, minlength=len(of_words)) @ of_words for f in found]).reshape(len(found), -1)
+
+
+def predict_texts(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
+    langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+    for a, b in slabs(texts, SLAB) if model.langs else ():
+        names, words = words_of(texts[a:b]), Words()
+        found = [np.fromiter(map(words.__getitem__, w), np.int64, len(w)) for w in names]
+        if not words:
             continue
-        rows, weights, total = [], [], np.zeros(model.word_scores.shape[1])
-        for w, n in seen.items():
-            i = model.words.get(w)
-            if i is None:
-                if (s := store.get(w)) is None:
-                    s = word_score(model, w)
-                    s = store[w] = s if model.usual is None else np.concatenate([s, word_level(model, w)])
-                total += s * n
-            else:
-                rows.append(i)
-                weights.append(n)
-        if rows:
-            total += np.array(weights, float) @ model.word_scores[rows]
-        total, level = total[: len(model.langs)], total[len(model.langs) :]
-        p = np.exp(total - total.max())
-        best = int(p.argmax())
-        known = model.usual is None or level[best] / seen.total() >= model.usual[best]
-        if not known and (whole := Counter(WHOLE.findall(t.lower()))):  # all of them are in seen
-            column = len(model.langs) + best
-            level = sum(n * (store[w] if (i := model.words.get(w)) is None else model.word_scores[i])[column] for w, n in whole.items())
-            known = level / whole.total() >= model.usual[best]
-        langs.append(model.langs[best] if known else "und")
-        scores.append(float(p[best] / p.sum()) if known else 0.0)
-        if len(store) > STORE:
-            store.clear()
+        pieces = Pieces(list(words))
+        total = totals(found, word_scores(model, pieces))
+        best = total.argmax(1)
+        share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+        levels = None if model.usual is None else word_levels(model, pieces)
+        for i, f in enumerate(found):
+            if not len(f):
+                continue
+            known = levels is None or levels[f, best[i]].mean() >= model.usual[best[i]]
+            if not known and (whole := WHOLE.findall(texts[a + i].lower())):  # all of them are among the words
+                known = np.mean([levels[words[w], best[i]] for w in whole]) >= model.usual[best[i]]
+            if known:
+                langs[a + i], scores[a + i] = model.langs[best[i]], float(share[i])
     return langs, scores
 
 
@@ -174,9 +232,8 @@ def language(spark: SparkSession, model: Model, text: Column) -> Column:
 
     @F.pandas_udf("lang_pred string, score double")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        store: dict[str, np.ndarray] = {}
         for col in batches:
-            langs, scores = predict_texts(sent.value, col.tolist(), store)
+            langs, scores = predict_texts(sent.value, col.tolist())
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
     return find(F.coalesce(text, F.lit("")))
