@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from larkspur.llm import fingerprints, graph, langid, mixing, ngram_join, secret_scan, suffix_dedup, url_filter
@@ -250,6 +251,53 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predict(df, blank).collect()} == {"und"}
 
 
+def plain_language(learn, texts):
+    """Word-first backoff with dicts of strings, word by word."""
+    letters = lambda t: regex.findall(r"\p{L}+", (t or "").lower())
+    grams = lambda w, n: [f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n)]
+    langs = sorted({lang for lang, _ in learn})
+    counts = [{lang: Counter() for lang in langs} for _ in range(6)]
+    for lang, t in learn:
+        for w in letters(t):
+            counts[0][lang][w] += 1
+            for n in range(1, 6):
+                counts[n][lang].update(grams(w, n))
+    known = [set().union(*c.values()) for c in counts]
+
+    def log(n, lang, piece):
+        return math.log((counts[n][lang][piece] + 0.5) / (sum(counts[n][lang].values()) + 0.5 * max(1, len(known[n]))))
+
+    def word(lang, w):
+        if w in known[0]:
+            return log(0, lang, w)
+        for n in range(5, 0, -1):
+            if some := [g for g in grams(w, n) if g in known[n]]:
+                return sum(log(n, lang, g) for g in some) / len(some)
+        return 0.0
+
+    for t in texts:
+        words = letters(t)
+        if not words:
+            yield "und", 0.0
+            continue
+        scores = [sum(word(lang, w) for w in words) for lang in langs]
+        best = max(scores)
+        yield langs[scores.index(best)], 1 / sum(math.exp(s - best) for s in scores)
+
+
+def test_language_against_a_plain_version(spark):
+    rng = random.Random(12)
+    letters = {"aa": "abcdeéf", "bb": "cdefßgh", "cc": "efghijя", "dd": "中文字母文"}
+    word = lambda lang: "".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 7)))
+    learn = [(lang, " ".join(word(lang) for _ in range(rng.randint(0, 30)))) for _ in range(60) for lang in [rng.choice(list(letters))]]
+    learn += [("aa", ""), ("bb", "x² ½ ⅷ y_z 12a3"), ("cc", "İstanbul DŽ")]
+    texts = [" ".join(word(rng.choice(list(letters))) for _ in range(rng.choice([1, 2, 40]))) for _ in range(60)] + ["", None, "² 3", "zzz qqq", "a" * 900, "x²y", "İ", "Ünseen wörds ½a", "wort " * 100_000]
+    model = langid.fit(spark.createDataFrame([(i, *r) for i, r in enumerate(learn)], "doc_id long, lang string, text string"))
+    got = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for r, (lang, score) in zip(got, plain_language(learn, texts)):
+        assert (r.lang_pred == lang or score < 0.51) and abs(r.score - score) < 1e-3
+
+
 def test_language_unlike_the_learned(spark):
     words = {"en": "the of and with from house water river green", "de": "der die und mit von haus wasser fluss grün"}
     rng = random.Random(11)
@@ -265,31 +313,78 @@ def test_language_unlike_the_learned(spark):
 
 
 def brute_repeats(rows, length=100):
-    seen, out = set(), {}
-    for i, t in sorted(rows, key=lambda r: r[0]):
+    """Every string looked up by itself; of rows of one id none is earlier than another."""
+    least, out = {}, []
+    for i, t in rows:
         raw = (t or "").encode()
-        gone = np.zeros(len(raw), bool)
-        for p in range(len(raw) - length + 1):
+        for p in range(len(raw) - length + 1 if i is not None else 0):
             s = raw[p : p + length]
-            if s in seen:
+            least[s] = min(least.get(s, (i, p)), (i, p))
+    for i, t in rows:
+        raw = (t or "").encode()
+        gone = np.zeros(len(raw), bool)
+        for p in range(len(raw) - length + 1 if i is not None else 0):
+            if least[raw[p : p + length]] != (i, p):
                 gone[p : p + length] = True
-            seen.add(s)
-        kept = bytes(b for b, g in zip(raw, gone) if not g)
-        out[i] = (i, len(raw), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest())
-    return sorted(out.values())
+        kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+        out.append((i, len(raw), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("split", [4096, 16])
-def test_repeats_against_all_strings(spark, monkeypatch, split):
-    monkeypatch.setattr(suffix_dedup, "SPLIT", split)
-    rng = random.Random(9)
+def repeats(df):
+    return sorted(map(tuple, suffix_dedup.remove_repeats(df).collect()), key=str)
+
+
+def passages(seed, n=60):
+    rng = random.Random(seed)
     pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
     base = pick("abcdefgh ", 2500)
-    rows = [(i, pick("xyzw ", rng.randint(0, 150)) + base[(a := rng.randint(0, 300)) : a + rng.randint(60, 1500)] + pick("xyz ", 60)) for i in range(60)]
+    return [(i, pick("xyzw ", rng.randint(0, 150)) + base[(a := rng.randint(0, 300)) : a + rng.randint(60, 1500)] + pick("xyz ", 60)) for i in range(n)]
+
+
+@pytest.mark.parametrize("split, piece", [(4096, 1 << 19), (16, 1 << 19), (4096, 700)])
+def test_repeats_against_all_strings(spark, monkeypatch, split, piece):
+    monkeypatch.setattr(suffix_dedup, "SPLIT", split)
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    rows = passages(9)
     rows += [(500, "q" * 700), (501, "q" * 99), (502, ""), (503, "é" * 200), (504, "ab" * 300), (505, None), (506, rows[0][1])]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit(1)).withColumn("start", F.lit(2)).repartition(5)
-    got = suffix_dedup.remove_repeats(df).collect()
-    assert sorted(map(tuple, got)) == brute_repeats(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "start", "twin", "key", "hot")}).repartition(5)
+    assert repeats(df) == brute_repeats(rows)
+
+
+@pytest.mark.parametrize("split", [4096, 8])
+def test_repeats_with_hot_anchors(spark, monkeypatch, split):
+    monkeypatch.setattr(suffix_dedup, "SPLIT", split)
+    found = []
+    plain = suffix_dedup.hot_anchors
+    monkeypatch.setattr(suffix_dedup, "hot_anchors", lambda rows, length, parts: found.append(plain(rows, length, parts, 1.0)) or found[-1])
+    rng = random.Random(3)
+    middle = "".join(rng.choice("abcdefgh ") for _ in range(160))
+    rows = [(i, "".join(rng.choice("stuv") for _ in range(130)) + middle + "".join(rng.choice("wxyz") for _ in range(130))) for i in range(150)]
+    assert repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(9)) == brute_repeats(rows)
+    assert found[0]
+
+
+def test_repeats_with_repeated_ids(spark):
+    rng = random.Random(2)
+    pick = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    once, two, short = pick(300), pick(400), pick(78)
+    assert repeats(spark.createDataFrame([(1, once), (1, once)], "doc_id long, text string").repartition(2))[0][2] == 0
+    rows = [(1, once), (1, once), (1, short), (2, two), (2, short + two), (2, pick(20) + two), (3, two + once), (3, two + once), (None, once)]
+    rows += [(7 + i % 3, t) for i, t in passages(4, 24)]
+    assert repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute_repeats(rows)
+    named = [(None if i is None else f"d{i}", t) for i, t in rows]
+    assert repeats(spark.createDataFrame(named, "doc_id string, text string").repartition(4)) == brute_repeats(named)
+
+
+def test_repeats_in_a_very_long_text(spark):
+    rng = random.Random(8)
+    part = "".join(rng.choice("abcdefghijk ") for _ in range(5000))
+    at = suffix_dedup.PIECE
+    long = "".join(rng.choice("lmnopqrs ") for _ in range(at + 150_000))
+    long = long[: at - 2500] + part + long[at + 2500 :]
+    rows = [(1, long), (2, part[:3000]), (3, long[at - 200 : at + 90] + "tail"), (4, long[:300] + long[-300:])]
+    assert repeats(spark.createDataFrame(rows, "doc_id long, text string")) == brute_repeats(rows)
 
 
 def test_repeats_odd_tables(spark):
@@ -334,6 +429,31 @@ def test_url_templates_learn_branches(spark):
     assert got[199].verdict == "block" and got[901].verdict == "allow" and got[199].template == "/bad/<number>"
 
 
+def test_url_labels_stay_in_their_branch(spark):
+    """Of a host whose only labels are one blocked branch, the other branches fall back to the share of all urls."""
+    names = ["de", "en", "es", "fr"]
+    rows = [(i, f"http://h.com/{names[i % 4]}/{i}") for i in range(400)]
+    rows += [(1000 + i, f"http://ok.org/x/{i}") for i in range(150)]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), [("block", "h.com/de/"), ("allow", "ok.org/")]).collect()}
+    assert all(got[i].verdict == ("block" if i % 4 == 0 else "allow") for i in range(400))
+    assert {got[i].template for i in range(4)} == {f"/{n}/<number>" for n in names}
+
+
+def test_urls_of_any_depth(spark):
+    deep = "/".join("abcdefghijk")
+    rows = [(i, f"http://h.com/{deep}/{'bad' if i % 2 else 'good'}/{i}") for i in range(80)] + [(500, "http://h.com/" + "x/" * 14)]
+    rules = [("block", f"h.com/{deep}/bad/{i}") for i in range(1, 40, 2)] + [("allow", f"h.com/{deep}/good/{i}") for i in range(0, 40, 2)]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert [got[i].verdict for i in (78, 79)] == ["allow", "block"] and got[79].template == f"/{deep}/bad/<number>" and len(got) == 81
+
+
+def test_url_branches_alike_merge(spark):
+    rows = [(i, f"http://h.com/{'one' if i % 2 else 'two'}/{i}") for i in range(100)]
+    rules = [("block", f"h.com/{'one' if i % 2 else 'two'}/{i}") for i in range(60, 100)]
+    got = {r.template for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert got == {"/*/<number>"}
+
+
 def brute_base(text):
     ci = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
     words = "|".join([ci("password"), ci("passwd"), ci("secret"), ci("token"), ci("api") + "_?" + ci("key")])
