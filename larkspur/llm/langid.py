@@ -143,7 +143,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                         hashes, at = np.unique(hashes, return_inverse=True)
                         yield pd.DataFrame({"k": k, "lang": lang, "hash": hashes.view(np.int64), "n": np.bincount(at, n[owner]).astype(np.int64)})
 
-    counts = chosen.mapInPandas(count, "k int, lang int, hash long, n long").groupBy("k", "lang", "hash").agg(F.sum("n").alias("n")).toPandas()
+    counts = chosen.mapInPandas(count, "k int, lang int, hash long, n long").groupBy("k", "lang", "hash").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     orders, wholes = [], []
     for k in range(ORDER + 1):
         part = counts[counts["k"] == k]
