@@ -35,12 +35,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, checkpointed, mix64, seeds
+from .common import U64, checkpointed, mix64, seeds, slabs
 
 GRAM = 32
 DIGEST = np.dtype([("a", "<i8"), ("b", "<i8")])
 #: Starts that are hashed at a time, contexts of an anchor that one shard takes, and bytes of a shard.
 PIECE, SPLIT, SHARD_BYTES = 1 << 19, 4096, 2_000_000
+#: Characters of texts whose contexts a task compares before it passes them on.
+SLAB = 8_000_000
 BYTE_CODES = seeds(31, 256)
 #: A difference of two 8-byte words with k equal leading bytes is at most LEADING[k - 1].
 LEADING = np.array([(1 << (64 - 8 * k)) - 1 for k in range(1, 9)], U64)
@@ -259,62 +261,66 @@ def merge_shards(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
 
 
 def _context_rows(rows: DataFrame, length: int) -> DataFrame:
-    """``(key, high, low, id, twin, start, stop)`` of the contexts; rows without a key are spans that are settled: later repeats of a context of their batch."""
+    """``(key, high, low, id, twin, start, size)`` of the contexts; rows without a key are spans that are settled: later repeats of a context of their batch."""
 
     def run(batches):
         for pdf in batches:
-            pdf = pdf.drop_duplicates(["id", "twin"]).sort_values(["id", "twin"], kind="stable").reset_index(drop=True)
-            found = []
-            group: list[tuple[int, int, bytes]] = []  # row, offset, bytes
-
-            def flush():
-                if group:
-                    sizes = np.array([len(b) for *_, b in group])
-                    raw, ends = b"".join([b for *_, b in group]), np.cumsum(sizes)
-                    key, text, head, starts = contexts(np.frombuffer(raw, np.uint8), ends, length)
-                    row, offset = np.array([g[0] for g in group]), np.array([g[1] for g in group])
-                    found.append((key, digests(raw, head, head + starts - 1 + length), row[text], head - (ends - sizes)[text] + offset[text], starts))
-                    group.clear()
-
-            size = 0
-            for row, t in enumerate(pdf["text"]):
-                raw = t.encode()
-                for at in range(0, max(0, len(raw) - length + 1), PIECE):
-                    piece = raw[at : at + PIECE + length - 1]
-                    group.append((row, at, piece))
-                    size += len(piece)
-                    if size > PIECE:
-                        flush()
-                        size = 0
-            flush()
-            if not found:
-                continue
-            key, digest, row, start, starts = (np.concatenate(c) for c in zip(*found))
-            code, stop = numbered(pdf["id"])[row], start + starts - 1 + length
-            by = np.lexsort((start, code, digest["b"], digest["a"], key))
-            key, digest, row, start, stop, code = key[by], digest[by], row[by], start[by], stop[by], code[by]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
-            least = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-            gone = (code != code[least]) | (start != start[least])
-            span_row, span_start, span_stop = joined(row[gone], start[gone], stop[gone])
-            n, stay = len(span_row), ~gone
-            row = np.concatenate([row[stay], span_row])
-            missing = np.zeros(n, np.int64)
-            mask = np.repeat([False, True], [stay.sum(), n])
-            yield pd.DataFrame(
-                {
-                    "key": pd.arrays.IntegerArray(np.concatenate([key[stay], missing]), mask),
-                    "high": np.concatenate([digest["a"][stay], missing]),
-                    "low": np.concatenate([digest["b"][stay], missing]),
-                    "id": pdf["id"].iloc[row].to_numpy(),
-                    "twin": pdf["twin"].to_numpy()[row],
-                    "start": np.concatenate([start[stay], span_start]),
-                    "stop": np.concatenate([stop[stay], span_stop]),
-                }
-            )
-
-    return rows.mapInPandas(run, f"key long, high long, low long, id {rows.schema['id'].dataType.simpleString()}, twin long, start long, stop long")
+            pdf = pdf.drop_duplicates(["id", "twin"])
+            for a, b in slabs(pdf["text"].tolist(), SLAB):
+                yield from contexts_of(pdf.iloc[a:b].sort_values(["id", "twin"], kind="stable").reset_index(drop=True))
+
+    def contexts_of(pdf):
+        found = []
+        group: list[tuple[int, int, bytes]] = []  # row, offset, bytes
+
+        def flush():
+            if group:
+                sizes = np.array([len(b) for *_, b in group])
+                raw, ends = b"".join([b for *_, b in group]), np.cumsum(sizes)
+                key, text, head, starts = contexts(np.frombuffer(raw, np.uint8), ends, length)
+                row, offset = np.array([g[0] for g in group]), np.array([g[1] for g in group])
+                found.append((key, digests(raw, head, head + starts - 1 + length), row[text], head - (ends - sizes)[text] + offset[text], starts))
+                group.clear()
+
+        size = 0
+        for row, t in enumerate(pdf["text"]):
+            raw = t.encode()
+            for at in range(0, max(0, len(raw) - length + 1), PIECE):
+                piece = raw[at : at + PIECE + length - 1]
+                group.append((row, at, piece))
+                size += len(piece)
+                if size > PIECE:
+                    flush()
+                    size = 0
+        flush()
+        if not found:
+            return
+        key, digest, row, start, starts = (np.concatenate(c) for c in zip(*found))
+        code, stop = numbered(pdf["id"])[row], start + starts - 1 + length
+        by = np.lexsort((start, code, digest["b"], digest["a"], key))
+        key, digest, row, start, stop, code = key[by], digest[by], row[by], start[by], stop[by], code[by]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
+        least = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+        gone = (code != code[least]) | (start != start[least])
+        span_row, span_start, span_stop = joined(row[gone], start[gone], stop[gone])
+        stay = ~gone
+        row = np.concatenate([row[stay], span_row])
+        missing = np.zeros(len(span_row), np.int64)
+        mask = np.repeat([False, True], [stay.sum(), len(missing)])
+        yield pd.DataFrame(
+            {
+                "key": pd.arrays.IntegerArray(np.concatenate([key[stay], missing]), mask),
+                "high": np.concatenate([digest["a"][stay], missing]),
+                "low": np.concatenate([digest["b"][stay], missing]),
+                "id": pdf["id"].iloc[row].to_numpy(),
+                "twin": pdf["twin"].to_numpy()[row],
+                "start": np.concatenate([start[stay], span_start]),
+                "size": np.concatenate([(stop - start)[stay], span_stop - span_start]),
+            }
+        )
+
+    return rows.mapInPandas(run, f"key long, high long, low long, id {rows.schema['id'].dataType.simpleString()}, twin long, start long, size long")
 
 
 def hot_anchors(rows: DataFrame, length: int, parts: int, fraction: float = 1 / 64) -> list[int]:
@@ -333,21 +339,25 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id IS NOT NULL")
-    rows = rows.select("id", F.xxhash64("text").alias("twin"), "text")  # rows of one id are told apart by their texts
+    # rows of one id are told apart by their texts; where there are none, contexts needn't carry that along
+    single = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    rows = rows.select("id", (F.lit(0).cast("long") if single else F.xxhash64("text")).alias("twin"), "text")
     hot = spark.createDataFrame([(k, True) for k in hot_anchors(rows, length, parts)], "key long, hot boolean")
     found = _context_rows(rows, length).join(F.broadcast(hot), "key", "left")
-    is_hot = F.coalesce(F.col("hot"), F.lit(False))
-    spread = F.when(is_hot, F.pmod("high", F.lit(parts))).otherwise(0)
-    found = found.withColumn("deal", F.coalesce(F.when(F.col("key").isNotNull(), F.xxhash64("key", spread)), F.xxhash64("id", "start"))).repartition("deal")
-    same, anchor = Window.partitionBy("deal", "key", "high", "low"), Window.partitionBy("deal", "key")
-    first = F.col("key").isNotNull() & (F.rank().over(same.orderBy("id", "start")) == 1)
-    found = found.withColumn("first", first).withColumn("n", F.sum(F.col("first").cast("long")).over(anchor) * F.when(is_hot, parts).otherwise(1))
-    found = checkpointed(found.where("NOT first OR n > 1").select("key", "id", "twin", "start", "stop", "first", "n"))
+    # 0: a span; 1: a context, dealt by its anchor; 2: one of a hot anchor, dealt by its digest too
+    what = F.when(F.col("key").isNull(), 0).when(F.col("hot"), 2).otherwise(1).cast("byte")
+    deal = F.when(F.col("key").isNull(), F.xxhash64("id", "start")).when(F.col("hot"), F.xxhash64("key", F.pmod("high", F.lit(parts)))).otherwise(F.col("key"))
+    found = found.select(deal.alias("deal"), what.alias("what"), "high", "low", "id", "twin", "start", "size").repartition("deal")
+    same, anchor = Window.partitionBy("deal", "what", "high", "low"), Window.partitionBy("deal", "what")
+    found = found.withColumn("first", (F.col("what") > 0) & (F.rank().over(same.orderBy("id", "start")) == 1))
+    found = found.withColumn("n", F.sum(F.col("first").cast("long")).over(anchor))
+    # a hot anchor's contexts may all differ from one another's neighbours: each is looked at, and over several shards
+    dealt = F.when(F.col("what") == 2, F.greatest(F.lit(2), F.ceil(F.col("n") * parts / SPLIT))).otherwise(F.ceil(F.col("n") / SPLIT)).cast("int")
+    found = checkpointed(found.where("NOT first OR n > 1 OR what = 2").select("deal", "id", "twin", "start", "size", "first", dealt.alias("dealt")))
     open_ones = found.where("first")
-    total = open_ones.agg(F.sum(F.col("stop") - F.col("start"))).first()[0] or 0
+    total = open_ones.agg(F.sum("size")).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_BYTES))
-    dealt = F.ceil(F.col("n") / SPLIT).cast("int")
-    wanted = open_ones.select("id", "twin", F.struct("key", "start", "stop", dealt.alias("dealt")).alias("c")).groupBy("id", "twin").agg(F.collect_list("c").alias("wanted"))
+    wanted = open_ones.select("id", "twin", F.struct("deal", "start", "size", "dealt").alias("c")).groupBy("id", "twin").agg(F.collect_list("c").alias("wanted"))
     texts = rows.repartition("id", "twin")
 
     def cut(batches):
@@ -355,16 +365,16 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             out = []
             for key, twin, text, wanted in zip(pdf["id"], pdf["twin"], pdf["text"], pdf["wanted"]):
                 raw = text.encode()
-                out += [(key, twin, w["key"], w["start"], w["dealt"], raw[w["start"] : w["stop"]]) for w in wanted]
-            yield pd.DataFrame(out, columns=["id", "twin", "key", "start", "dealt", "bytes"])
+                out += [(key, twin, w["deal"], w["start"], w["dealt"], raw[w["start"] : w["start"] + w["size"]]) for w in wanted]
+            yield pd.DataFrame(out, columns=["id", "twin", "deal", "start", "dealt", "bytes"])
 
     once = texts.withColumn("copy", F.row_number().over(Window.partitionBy("id", "twin").orderBy("id"))).where("copy = 1").drop("copy")
-    pieces = once.join(wanted, ["id", "twin"]).mapInPandas(cut, f"id {kind}, twin long, key long, start long, dealt int, bytes binary")
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("key", F.pmod(F.xxhash64("id", "twin"), F.col("dealt"))), F.lit(shards)))
+    pieces = once.join(wanted, ["id", "twin"]).mapInPandas(cut, f"id {kind}, twin long, deal long, start long, dealt int, bytes binary")
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("deal", F.pmod(F.xxhash64("id", "twin"), F.col("dealt"))), F.lit(shards)))
     shape = f"id {kind}, twin long, start long, stop long, shard long, bucket long, highs array<long>, lows array<long>, ids array<{kind}>, twins array<long>, starts array<long>"
     local = pieces.groupBy("shard").applyInPandas(lambda pdf: shard_repeats(pdf, length, shards), shape)
     merged = local.groupBy("bucket").applyInPandas(lambda pdf: merge_shards(pdf, length), f"id {kind}, twin long, start long, stop long")
-    spans = found.where("NOT first").select("id", "twin", "start", "stop").union(merged).groupBy("id", "twin").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = found.where("NOT first").select("id", "twin", "start", (F.col("start") + F.col("size")).alias("stop")).union(merged).groupBy("id", "twin").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return texts.join(spans, ["id", "twin"], "left").select("id", "text", "spans")
 
 
