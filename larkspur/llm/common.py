@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -14,25 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and go on from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (a local test
-    session) a temporary one is used.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in ``spark.checkpoint.dir``; a temporary one where none is named and all runs on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint(eager=True)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors would each write to a disk of their own")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return sc.getCheckpointDir()
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Let no Arrow batch of this session hold more than ``rows`` rows, so that workers of small executors hold few texts at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, rows)
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the cluster's shared checkpoint folder and go on from there."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

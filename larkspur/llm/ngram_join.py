@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import U64, checkpointed, mix64, seeds, slabs
 from .graph import components
 
-#: Members of a component that one side of a verification task holds.
-BLOCK = 256
+#: Members of a component, and n-grams of theirs, that one side of a verification task holds (a text of more n-grams is a side of its own).
+BLOCK, BLOCK_GRAMS = 512, 4_000_000
+#: Rows for verification that a partition gets.
+DEALT = 2048
 WORD_BYTES = np.array([b >= 128 or chr(b).isalnum() or b == 95 for b in range(256)])
 BYTE_CODES = seeds(11, 256)
 
@@ -119,9 +121,9 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
-    """``(id, n, s1, s2, bands)`` of every row: n-grams, names of their set, band hashes."""
+    """``(id, twin, n, s1, s2, bands)`` of every row: hash of its text, n-grams, names of their set, band hashes."""
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("twin"), "text")
 
     def run(batches):
         for pdf in batches:
@@ -132,9 +134,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
                 s1, s2 = set_keys(sets)
                 full = [s for s in sets if len(s)]
                 hashes = iter(band_hashes(full, bands, rows)) if full else iter(())
-                yield pd.DataFrame({"id": pdf["id"].iloc[a:b].reset_index(drop=True), "n": n, "s1": s1, "s2": s2, "bands": [next(hashes) if k else None for k in n]})
+                yield pd.DataFrame({"id": pdf["id"].iloc[a:b].reset_index(drop=True), "twin": pdf["twin"].to_numpy()[a:b], "n": n, "s1": s1, "s2": s2, "bands": [next(hashes) if k else None for k in n]})
 
-    return source.mapInPandas(run, f"id {kind}, n long, s1 long, s2 long, bands array<long>")
+    return source.mapInPandas(run, f"id {kind}, twin long, n long, s1 long, s2 long, bands array<long>")
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -194,6 +196,52 @@ def verify(pdf: pd.DataFrame, threshold: float, width: int) -> pd.DataFrame:
     return out
 
 
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float, recall: float, hash_budget: int, block: int) -> DataFrame:
+    """``(id, twin, class, class_id, n_links)``, one row per row; ``class`` tells classes apart where ids don't, and is null for a blank text."""
+    bands, rows = choose_bands(threshold, recall, hash_budget)
+    kind = docs.schema[id_col].dataType.simpleString()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sig = checkpointed(signatures(docs, id_col, text_col, width, bands, rows))
+    some = sig.where("n > 0")
+    sets = some.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("grams"))
+    banded = some.groupBy("s1", "s2").agg(F.first("bands").alias("bands")).select("s1", F.explode("bands").alias("h"))
+    buckets = banded.groupBy("h").agg(F.min("s1").alias("v"), F.max("s1").alias("top")).where("v <> top").select("h", "v")
+    ties = banded.join(buckets, "h").where("s1 <> v").select(F.col("s1").alias("u"), "v").distinct()
+    comps = checkpointed(components(ties))
+    members = sets.join(comps, sets["s1"] == comps["node"]).drop("node")
+    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("grams") / BLOCK_GRAMS)).cast("int")
+    sizes = members.groupBy("comp").agg(blocks.alias("blocks"), F.count("*").alias("size"))
+    work = sizes.agg(F.sum(F.col("blocks") * F.col("size"))).first()[0] or 0
+    members = members.join(sizes.drop("size"), "comp").withColumn("block", F.pmod(F.xxhash64("s2", "s1"), F.col("blocks")).cast("int"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    loaded = texts.join(members, F.col("id").eqNullSafe(F.col("rep"))).drop("id")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = loaded.withColumn("other", other).select(
+        "comp", "blocks", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "s1", "s2", "rep", "copies", "text"
+    )
+    # the work of a group grows faster than its bytes: partitions aren't put together by these
+    dealt = dealt.repartition(max(parts, math.ceil(work / DEALT)), "comp", "low", "high")
+    shape = f"comp long, blocks int, s1 long, s2 long, rep {kind}, links long, root long, class_rep {kind}"
+    seen = checkpointed(dealt.groupBy("comp", "low", "high").applyInPandas(lambda pdf: verify(pdf, threshold, width), shape))
+    counted = seen.groupBy("s1", "s2").agg(F.sum("links").alias("links"), F.min("class_rep").alias("class_rep"), F.min("root").alias("root"))
+    split = seen.where("blocks > 1")
+    if not split.isEmpty():
+        joined = components(split.select(F.col("s1").alias("u"), F.col("root").alias("v")))
+        named = split.select("s1", "rep").distinct().join(joined.withColumnRenamed("node", "s1").withColumnRenamed("comp", "class"), "s1")
+        least = named.groupBy("class").agg(F.min("rep").alias("whole_rep"))
+        whole = named.join(least, "class").select("s1", "class", "whole_rep").distinct()
+        # a set of several blocks that is linked to none is a class by itself
+        alone = F.when(~F.col("several"), F.col("root")).otherwise(F.col("s1"))
+        counted = counted.join(split.select("s1", F.lit(True).alias("several")).distinct(), "s1", "left").withColumn("several", F.coalesce("several", F.lit(False)))
+        counted = counted.join(whole, "s1", "left").select("s1", "s2", "links", F.coalesce("class", alone).alias("root"), F.coalesce("whole_rep", "class_rep").alias("class_rep"))
+    named_sets = sets.join(counted, ["s1", "s2"], "left").select(
+        "s1", "s2", F.coalesce("root", "s1").alias("class"), F.coalesce("class_rep", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    )
+    out = some.select("id", "twin", "s1", "s2").join(named_sets, ["s1", "s2"]).select("id", "twin", "class", "class_id", "n_links")
+    blank = sig.where("n = 0").select("id", "twin", F.lit(None).cast("long").alias("class"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return out.union(blank)
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -217,47 +265,34 @@ def near_duplicates(
     own; a null id never names a class unless the class has no other; an empty table gives no rows;
     other columns are ignored.
     """
-    bands, rows = choose_bands(threshold, recall, hash_budget)
-    kind = docs.schema[id_col].dataType.simpleString()
-    sig = checkpointed(signatures(docs, id_col, text_col, width, bands, rows))
-    some = sig.where("n > 0")
-    sets = some.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    banded = some.groupBy("s1", "s2").agg(F.first("bands").alias("bands")).select("s1", F.explode("bands").alias("h"))
-    buckets = banded.groupBy("h").agg(F.min("s1").alias("v"), F.max("s1").alias("top")).where("v <> top").select("h", "v")
-    ties = banded.join(buckets, "h").where("s1 <> v").select(F.col("s1").alias("u"), "v").distinct()
-    comps = checkpointed(components(checkpointed(ties)))
-    sizes = comps.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = sets.join(comps, sets["s1"] == comps["node"]).drop("node").join(sizes, "comp")
-    members = members.withColumn("block", F.pmod(F.xxhash64("s2", "s1"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    loaded = texts.join(members, F.col("id").eqNullSafe(F.col("rep"))).drop("id")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = loaded.withColumn("other", other).select(
-        "comp", "blocks", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "s1", "s2", "rep", "copies", "text"
-    )
-    shape = f"comp long, blocks int, s1 long, s2 long, rep {kind}, links long, root long, class_rep {kind}"
-    seen = checkpointed(dealt.groupBy("comp", "low", "high").applyInPandas(lambda pdf: verify(pdf, threshold, width), shape))
-    counted = seen.groupBy("s1", "s2").agg(F.sum("links").alias("links"), F.min("class_rep").alias("class_rep"))
-    split = seen.where("blocks > 1")
-    if not split.isEmpty():
-        joined = components(split.select(F.col("s1").alias("u"), F.col("root").alias("v")))
-        named = split.select("s1", "rep").distinct().join(joined.withColumnRenamed("node", "s1").withColumnRenamed("comp", "class"), "s1")
-        least = named.groupBy("class").agg(F.min("rep").alias("whole_rep"))
-        whole = named.join(least, "class").select("s1", "whole_rep").distinct()
-        counted = counted.join(whole, "s1", "left").withColumn("class_rep", F.coalesce("whole_rep", "class_rep")).drop("whole_rep")
-    named_sets = sets.join(counted, ["s1", "s2"], "left").select(
-        "s1", "s2", F.coalesce("class_rep", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
-    )
-    out = some.select("id", "s1", "s2").join(named_sets, ["s1", "s2"]).select("id", "class_id", "n_links")
-    blank = sig.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.union(blank).withColumnRenamed("id", id_col)
+    found = _classes(docs, id_col, text_col, width, threshold, recall, hash_budget, block)
+    return found.select(F.col("id").alias(id_col), "class_id", "n_links")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each class of near duplicates, the one of least id; rows of one id stay or go together, rows without an id stay."""
-    found = near_duplicates(docs, id_col=id_col, **options)
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+def keep_one(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, hash_budget: int = 256, block: int = BLOCK
+) -> DataFrame:
+    """``docs`` with one row of each class of near duplicates: the one of least id, of equal ids that of the text of least hash.
+
+    Defined cases: blank and null texts all stay; rows without an id come after all others of their
+    class; of repeated rows any one stays; ids may be repeated, which ties no rows together; an empty
+    table stays empty; the columns are those of ``docs``, whatever their names.
+    """
+    found = checkpointed(_classes(docs, id_col, text_col, width, threshold, recall, hash_budget, block).where("class IS NOT NULL").select("id", "twin", "class"))
+    place = F.struct(F.col("id").isNull().alias("nameless"), "id", "twin")
+    kept = found.groupBy("class").agg(F.min(place).alias("kept"))
+    rows = found.groupBy("class", "id", "twin").agg(F.count("*").alias("n")).join(kept, "class")
+    # what to do with the rows of an id and text: 0 rows go, but one of them, or all of them
+    known = rows.select(F.col("id").alias("__id"), F.col("twin").alias("__twin"), (place != F.col("kept")).alias("__gone"), "n").where("__gone OR n > 1").drop("n")
+    twin = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    match = lambda other: docs[id_col].eqNullSafe(other["__id"]) & (twin == other["__twin"])
+    stay = docs.join(known, match(known), "left_anti")
+    again = known.where("NOT __gone")
+    if again.isEmpty():
+        return stay
+    key = "__key_" + "_".join(docs.columns)
+    once = docs.join(again, match(again), "left_semi").withColumn(key, F.struct(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))
+    return stay.union(once.dropDuplicates([key]).drop(key))
 
 
 #: ``near_duplicates`` over the documents table by comparing all texts that share an n-gram: for small tables only.
