@@ -27,7 +27,9 @@ from .token_counts import byte_alphabet
 #: The tokenizer's word pattern and the suffix that ends a word.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "</w>"
-NONE, LONG, STORE = 1 << 30, 300, 100_000
+NONE, LONG = 1 << 30, 300
+#: Words whose encoding a task keeps: those of late, and as many of before.
+STORE = 125_000
 
 
 def pack(ids: list[int]) -> bytes:
@@ -51,6 +53,7 @@ class Codec:
         self.inner = [self.vocab[c] for c in byte_alphabet()]
         self.last = [self.vocab[c + END] for c in byte_alphabet()]
         self.store: dict[str, tuple[bytes, str]] = {}
+        self.before: dict[str, tuple[bytes, str]] = {}
 
     def parts(self, word: bytes) -> list[int]:
         """Token ids of one word."""
@@ -109,10 +112,10 @@ class Codec:
                 continue
             words = self.words(part)
             for w in set(words).difference(store):
-                store[w] = self.word(w)
+                store[w] = self.before.get(w) or self.word(w)
             out += map(store.__getitem__, words)
-        if len(store) > STORE:
-            store.clear()
+        if len(store) > STORE:  # words that come up again move on, the others go
+            self.store, self.before = {}, store
         return b"".join(x[0] for x in out), " ".join(x[1] for x in out)
 
     def decode(self, ids) -> str:
