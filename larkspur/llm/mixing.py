@@ -92,25 +92,30 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
 
     Whole repetitions return the row as it is; a document taken in part adds one more row whose text
     ends with the last word taken (``n_chars``, if there is one, is its new length).  Documents the
-    mix doesn't take are left out; so are those of size 0.
+    mix doesn't take are left out; so are those of size 0.  Defined cases: null and empty texts have
+    size 0; rows of equal id, source and size share what the mix takes of them evenly; a null source is a
+    source; an empty table stays empty; the columns are those of ``docs``, whatever their names.
     """
     names = docs.columns
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    # a row's copies are decided alike for equal ids of equal size, so one row each suffices to join
-    plan = mix(docs, **options).select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    plan = plan.groupBy("__id", "__size").agg(F.sum("__taken").alias("__sum"), F.count("*").alias("__n"))
-    sized = docs.withColumn("__words", word_count(F.col(text_col)))
-    joined = sized.join(plan, sized[id_col].eqNullSafe(plan["__id"]) & (sized["__words"] == plan["__size"])).where("__size > 0")
-    taken = F.col("__sum") / F.col("__n")
-    whole = F.floor(taken / F.col("__size")).cast("int")
-    part = F.floor(taken).cast("long") - whole * F.col("__size")
-    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))
-    each = joined.withColumn("__part", F.explode(copies))
-    words = F.slice(F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.col("__part").cast("int"))
-    text = F.when(F.col("__part") == 0, F.col(text_col)).otherwise(F.array_join(words, ""))
+    id_col, source_col, text_col = options.get("id_col", "doc_id"), options.get("source_col", "source"), options.get("text_col", "text")
+    own = "_".join(["", *names])  # no column has a name that starts like this
+    size, part = f"{own}_size", f"{own}_part"
+    # a row's copies are decided alike for equal ids of equal source and size, so one row each suffices to join
+    key = [f"{own}_id", f"{own}_source", f"{own}_of"]
+    plan = mix(docs, **options).select(*[F.col(c).alias(k) for c, k in zip((id_col, source_col, "size"), key)], "taken")
+    plan = plan.groupBy(*key).agg((F.sum("taken") / F.count("*")).alias(f"{own}_taken"))
+    sized = docs.withColumn(size, word_count(F.col(text_col)))
+    same = sized[id_col].eqNullSafe(plan[key[0]]) & sized[source_col].cast("string").eqNullSafe(plan[key[1]]) & (sized[size] == plan[key[2]])
+    joined = sized.join(plan, same).where(F.col(size) > 0)
+    whole = F.floor(F.col(f"{own}_taken") / F.col(size)).cast("int")
+    rest = F.floor(f"{own}_taken").cast("long") - whole * F.col(size)
+    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
+    each = joined.withColumn(part, F.explode(copies))
+    words = F.slice(F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.col(part).cast("int"))
+    text = F.when(F.col(part) == 0, F.col(text_col)).otherwise(F.array_join(words, ""))
     out = each.withColumn(text_col, text)
     if "n_chars" in names and text_col != "n_chars":
-        out = out.withColumn("n_chars", F.when(F.col("__part") == 0, F.col("n_chars")).otherwise(F.char_length(text_col)))
+        out = out.withColumn("n_chars", F.when(F.col(part) == 0, F.col("n_chars")).otherwise(F.char_length(text_col)))
     return out.select(*names)
 
 

@@ -326,7 +326,11 @@ def joined(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, field: Field, *, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span replaced by ``mark`` (overlapping spans by one); ``n_chars``, if there is one, follows."""
+    """``docs`` with every span replaced by ``mark`` (overlapping spans by one); ``n_chars``, if there is one, follows.
+
+    Defined cases: a null text stays null and an empty one empty; repeated rows are treated alike; an
+    empty table stays empty; all columns stay, whatever their names.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
     @F.pandas_udf("string")
