@@ -7,7 +7,6 @@ table and writes each result as Parquet to the shared checkpoint folder before t
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import bpe_codec, langid, mixing, ngram_join, secret_scan
-from larkspur.llm.common import bounded_batches
+from larkspur.llm.common import checkpoint_folder
 
 #: SQL can express none of the first three stages and the last (models, MinHash, BPE): tests/llm hold them against plain versions.
 ORACLE_SQL = None
@@ -23,31 +22,26 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents without a letter, those whose best language has a score below one half, and those whose words are unlike that language's (``langid.checked``)."""
-    bounded_batches(spark)
     return langid.keep_known(docs, langid.fit(docs), least=0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the one of least id, of each class of texts linked by a Jaccard similarity of 0.8 or more on five-word n-grams."""
-    bounded_batches(spark)
     return ngram_join.keep_one(docs, width=5, threshold=0.8, recall=0.9999)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts a mark in place of each secret; no document goes."""
-    bounded_batches(spark)
     return secret_scan.redact(docs, secret_scan.fit(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Returns each document as often as the mix takes it: up to three times, or not at all."""
-    bounded_batches(spark)
     return mixing.apply_mix(docs, weights=(5, 2, 1), max_epochs=3)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text (little-endian unsigned 32-bit), their number, and digests of ids and decoded text."""
-    bounded_batches(spark)
     coded = bpe_codec.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
     return coded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
@@ -64,10 +58,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    folder = f"{sc.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
