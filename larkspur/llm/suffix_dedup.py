@@ -341,7 +341,8 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id IS NOT NULL")
     # rows of one id are told apart by their texts; where there are none, contexts needn't carry that along
     single = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    rows = rows.select("id", (F.lit(0).cast("long") if single else F.xxhash64("text")).alias("twin"), "text")
+    keys, twin = (["id"], F.lit(0).cast("long")) if single else (["id", "twin"], F.xxhash64("text"))
+    rows = rows.select("id", twin.alias("twin"), "text")
     hot = spark.createDataFrame([(k, True) for k in hot_anchors(rows, length, parts)], "key long, hot boolean")
     found = _context_rows(rows, length).join(F.broadcast(hot), "key", "left")
     # 0: a span; 1: a context, dealt by its anchor; 2: one of a hot anchor, dealt by its digest too
@@ -357,8 +358,8 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     open_ones = found.where("first")
     total = open_ones.agg(F.sum("size")).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_BYTES))
-    wanted = open_ones.select("id", "twin", F.struct("deal", "start", "size", "dealt").alias("c")).groupBy("id", "twin").agg(F.collect_list("c").alias("wanted"))
-    texts = rows.repartition("id", "twin")
+    wanted = open_ones.select(*keys, F.struct("deal", "start", "size", "dealt").alias("c")).groupBy(*keys).agg(F.collect_list("c").alias("wanted"))
+    texts = rows.select(*keys, "text").repartition(*keys)
 
     def cut(batches):
         for pdf in batches:
@@ -368,14 +369,15 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 out += [(key, twin, w["deal"], w["start"], w["dealt"], raw[w["start"] : w["start"] + w["size"]]) for w in wanted]
             yield pd.DataFrame(out, columns=["id", "twin", "deal", "start", "dealt", "bytes"])
 
-    once = texts.withColumn("copy", F.row_number().over(Window.partitionBy("id", "twin").orderBy("id"))).where("copy = 1").drop("copy")
-    pieces = once.join(wanted, ["id", "twin"]).mapInPandas(cut, f"id {kind}, twin long, deal long, start long, dealt int, bytes binary")
+    once = texts if single else texts.withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where("copy = 1")
+    each = once.join(wanted, keys).select("id", (twin if single else F.col("twin")).alias("twin"), "text", "wanted")
+    pieces = each.mapInPandas(cut, f"id {kind}, twin long, deal long, start long, dealt int, bytes binary")
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("deal", F.pmod(F.xxhash64("id", "twin"), F.col("dealt"))), F.lit(shards)))
     shape = f"id {kind}, twin long, start long, stop long, shard long, bucket long, highs array<long>, lows array<long>, ids array<{kind}>, twins array<long>, starts array<long>"
     local = pieces.groupBy("shard").applyInPandas(lambda pdf: shard_repeats(pdf, length, shards), shape)
     merged = local.groupBy("bucket").applyInPandas(lambda pdf: merge_shards(pdf, length), f"id {kind}, twin long, start long, stop long")
-    spans = found.where("NOT first").select("id", "twin", "start", (F.col("start") + F.col("size")).alias("stop")).union(merged).groupBy("id", "twin").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return texts.join(spans, ["id", "twin"], "left").select("id", "text", "spans")
+    spans = found.where("NOT first").select("id", "twin", "start", (F.col("start") + F.col("size")).alias("stop")).union(merged)
+    return texts.join(spans.groupBy(*keys).agg(F.collect_list(F.struct("start", "stop")).alias("spans")), keys, "left").select("id", "text", "spans")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 100, keep_bytes: bool = False) -> DataFrame:
