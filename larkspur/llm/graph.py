@@ -8,21 +8,6 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 
-def with_least(pairs: DataFrame, parts: int, total: int, up_to_self: bool) -> DataFrame:
-    """``pairs(a, b)`` with ``m``, the least ``b`` of each ``a`` (or ``a`` itself where that is less).
-
-    A node with more than a quarter of a fair partition's pairs (there are fewer than ``4 * parts`` of
-    them) has its pairs dealt over all partitions, each with a copy of its row.
-    """
-    low = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    hub = F.col("n") > max(1000, total // (4 * parts))
-    hubs = low.where(hub).select("a", F.lit(True).alias("hub"))
-    deal = F.explode(F.when(hub, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))).alias("deal")
-    least = low.select("a", (F.least("a", "m") if up_to_self else F.col("m")).alias("m"), deal)
-    mine = F.when(F.col("hub"), F.pmod(F.xxhash64("b"), F.lit(parts))).otherwise(0).cast("int")
-    return pairs.join(F.broadcast(hubs), "a", "left").withColumn("deal", mine).join(least, ["a", "deal"]).select("a", "b", "m")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``edges(u, v)`` -> ``(node, comp)`` for every node of an edge; ``comp`` is the least node it is connected to.
 
@@ -31,15 +16,16 @@ def components(edges: DataFrame) -> DataFrame:
     longest path; a node's neighbours are only ever grouped to a minimum and joined, never collected.
     Rounds are cut by checkpoints in the shared folder.
     """
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     up = checkpointed(edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a <> b").distinct())
     last, now = None, (up.count(), None)
     while last != now:
         last = now
         both = up.union(up.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = with_least(both, parts, 2 * last[0], True).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # a table of its own, so that adaptive execution can split the pairs of a node with very many
+        low = checkpointed(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
-        small = with_least(large, parts, last[0], False)
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
         up = checkpointed(small.where("a <> b").distinct())
         now = tuple(up.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
