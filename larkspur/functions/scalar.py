@@ -1,16 +1,15 @@
 """Scalar functions on double columns with IEEE results where Spark gives nulls or errors.
 
-All propagate null.  Everything is a ``Column``; ``erf`` alone needs Python (an Arrow batch at a time).
+All propagate null, and everything is ``Column`` arithmetic.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 INF, NAN = float("inf"), float("nan")
 #: From here on every double is a whole number.
@@ -85,14 +84,51 @@ def sigmoid(x):
     return divide(F.lit(1.0), 1.0 + F.exp(-x))
 
 
-@F.pandas_udf(DoubleType())
-def erf(x: pd.Series) -> pd.Series:
-    return x.map(math.erf, na_action="ignore")
+def _log_scaled_erfc(x: float) -> float:
+    """ln(erfc(x) exp(x^2)), by its asymptotic series where erfc is too small."""
+    if x < 20:
+        return math.log(math.erfc(x)) + x * x
+    term, total = 1.0, 1.0
+    for n in range(1, 8):
+        term *= -(2 * n - 1) / (2 * x * x)
+        total += term
+    return math.log(total / (x * math.sqrt(math.pi)))
 
 
-@F.pandas_udf(DoubleType())
-def erfc(x: pd.Series) -> pd.Series:
-    return x.map(math.erfc, na_action="ignore")
+def _erfc_fit(n: int = 26) -> list[float]:
+    """Coefficients, in powers of y = 2t - 1 with t = 2 / (2 + x), of ln(erfc(x) / t) + x^2 for x >= 0: interpolation at Chebyshev's points."""
+    y = np.cos(np.pi * (np.arange(n) + 0.5) / n)
+    t = (y + 1) / 2
+    values = [_log_scaled_erfc(2 / k - 2) - math.log(k) for k in t.tolist()]
+    return np.polynomial.chebyshev.cheb2poly(np.polynomial.chebyshev.chebfit(y, values, n - 1)).tolist()
+
+
+ERFC = _erfc_fit()
+#: Coefficients of erf(x) / x in powers of x^2.
+ERF = [2 / math.sqrt(math.pi) * (-1) ** n / (math.factorial(n) * (2 * n + 1)) for n in range(20)]
+
+
+def _polynomial(coefficients: list[float], x: Column) -> Column:
+    out = F.lit(coefficients[-1])
+    for c in reversed(coefficients[:-1]):
+        out = out * x + F.lit(c)
+    return out
+
+
+def _upper(x: Column) -> Column:
+    """erfc of numbers from 0."""
+    t = 2.0 / (2.0 + x)
+    return t * F.exp(_polynomial(ERFC, 2.0 * t - 1.0) - x * x)
+
+
+def erf(x):
+    far = F.signum(x) * (1.0 - _upper(F.abs(x)))
+    return F.when(F.isnan(x), x).when(F.abs(x) < 1.0, x * _polynomial(ERF, x * x)).otherwise(far)
+
+
+def erfc(x):
+    far = F.when(x < 0, 2.0 - _upper(-x)).otherwise(_upper(x))
+    return F.when(F.isnan(x), x).when(F.abs(x) < 0.5, 1.0 - x * _polynomial(ERF, x * x)).otherwise(far)
 
 
 def gelu(x):

@@ -114,6 +114,22 @@ def apply(name: str, x: Traced) -> Traced:
     return x._chain(y, SLOPES[name](x.value, y))
 
 
+#: Slopes of each function of two numbers by its first and second argument, from both and its value.
+PAIR_SLOPES = {
+    "atan2": (lambda a, b, y: scalar.divide(b, a * a + b * b), lambda a, b, y: scalar.divide(-a, a * a + b * b)),
+    "hypot": (lambda a, b, y: scalar.divide(a, y), lambda a, b, y: scalar.divide(b, y)),
+    "min": (lambda a, b, y: (a <= b).cast("double"), lambda a, b, y: (a > b).cast("double")),
+    "max": (lambda a, b, y: (a >= b).cast("double"), lambda a, b, y: (a < b).cast("double")),
+}
+
+
+def apply_pair(name: str, a: Traced, b: Traced) -> Traced:
+    """``atan2``, ``hypot``, ``min`` or ``max``; of equal values the first one's slope counts."""
+    y = scalar.BINARY[name](a.value, b.value)
+    da, db = (f(a.value, b.value, y) for f in PAIR_SLOPES[name])
+    return Traced(y, tuple(p * da + q * db for p, q in zip(a.slopes, b.slopes)))
+
+
 def compiled(f: Callable, inputs: list[Column]) -> Traced:
     """Value and slopes of ``f`` at the inputs."""
     n = len(inputs)
@@ -149,6 +165,8 @@ def parsed(text: str, columns: dict[str, Column]) -> Traced:
                 return select(walk(c), walk(a), walk(b))
             case ast.Call(func=ast.Name(id=n), args=[a], keywords=[]) if n in SLOPES:
                 return apply(n, lift(walk(a), len(names)))
+            case ast.Call(func=ast.Name(id=n), args=[a, b], keywords=[]) if n in PAIR_SLOPES:
+                return apply_pair(n, lift(walk(a), len(names)), lift(walk(b), len(names)))
         raise ValueError(f"not understood: {ast.unparse(node)}")
 
     return lift(walk(ast.parse(text.replace("^", "**"), mode="eval").body), len(names))

@@ -16,10 +16,13 @@ UNITS = {
     "J": ((2, 1, -2, 0, 0, 0, 0), 1.0, 0.0), "W": ((2, 1, -3, 0, 0, 0, 0), 1.0, 0.0), "Pa": ((-1, 1, -2, 0, 0, 0, 0), 1.0, 0.0), "Hz": ((0, 0, -1, 0, 0, 0, 0), 1.0, 0.0),
     "V": ((2, 1, -3, -1, 0, 0, 0), 1.0, 0.0), "C": ((0, 0, 1, 1, 0, 0, 0), 1.0, 0.0), "min": ((0, 0, 1, 0, 0, 0, 0), 60.0, 0.0), "h": ((0, 0, 1, 0, 0, 0, 0), 3600.0, 0.0),
     "day": ((0, 0, 1, 0, 0, 0, 0), 86400.0, 0.0), "L": ((3, 0, 0, 0, 0, 0, 0), 1e-3, 0.0), "in": ((1, 0, 0, 0, 0, 0, 0), 0.0254, 0.0), "ft": ((1, 0, 0, 0, 0, 0, 0), 0.3048, 0.0),
-    "mi": ((1, 0, 0, 0, 0, 0, 0), 1609.344, 0.0), "lb": ((0, 1, 0, 0, 0, 0, 0), 0.45359237, 0.0), "degC": ((0, 0, 0, 0, 1, 0, 0), 1.0, 273.15),
+    "yd": ((1, 0, 0, 0, 0, 0, 0), 0.9144, 0.0), "mi": ((1, 0, 0, 0, 0, 0, 0), 1609.344, 0.0), "oz": ((0, 1, 0, 0, 0, 0, 0), 0.028349523125, 0.0), "lb": ((0, 1, 0, 0, 0, 0, 0), 0.45359237, 0.0), "degC": ((0, 0, 0, 0, 1, 0, 0), 1.0, 273.15),
     "degF": ((0, 0, 0, 0, 1, 0, 0), 5 / 9, 459.67 * 5 / 9), "eV": ((2, 1, -2, 0, 0, 0, 0), 1.602176634e-19, 0.0),
 }
 
+#: Units that take no prefix.
+BARE = {"min", "h", "day", "in", "ft", "yd", "mi", "oz", "lb", "degC", "degF"}
+
 
 @dataclass(frozen=True)
 class Unit:
@@ -53,7 +56,7 @@ def symbol(name: str) -> Unit:
         return Unit(*UNITS[name], text=name)
     for prefix in sorted(PREFIXES, key=len, reverse=True):
         rest = name[len(prefix) :]
-        if name.startswith(prefix) and rest in UNITS and not UNITS[rest][2]:
+        if name.startswith(prefix) and rest in UNITS and rest not in BARE:
             d, f, _ = UNITS[rest]
             return Unit(d, f * PREFIXES[prefix], text=name)
     raise ValueError(f"no unit {name!r}")

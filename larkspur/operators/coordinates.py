@@ -10,12 +10,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import prod
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
 
 
+#: Cells that an outer combination (no axis in common) may make.
+OUTER = 100_000_000
+
+
 def axis_names(n: int) -> list[str]:
     return [f"i{k}" for k in range(n)]
 
@@ -164,6 +170,8 @@ class Cells:
         if not any(b.shape[k] > 1 or a.shape[k] > 1 for k in both) and (prod(a.shape) > 1 and prod(b.shape) > 1):
             both = []
         on = [F.col(f"i{k}") == F.col(f"j{k}") for k in both]
+        if not on and prod(shape) > OUTER:
+            raise ValueError(f"an outer product of {prod(shape)} cells; the most is {OUTER}")
         joined = a.df.join(right, on) if on else a.df.crossJoin(right)
         index = [(F.col(f"i{k}") if a.shape[k] >= b.shape[k] else F.col(f"j{k}")).alias(f"i{k}") for k in range(len(shape))]
         return Cells(joined.select(*index, f(F.col("v"), F.col("w")).alias("v")), tuple(shape))
@@ -185,11 +193,8 @@ class Cells:
 
     # --- reductions and scans ---
 
-    def reduce(self, how: str, axis: int | None = None, ddof: int = 0) -> Cells:
-        """sum, mean, prod, min, max, variance, std, any, all, argmin or argmax, along an axis or over all cells."""
-        axes = list(range(len(self.shape))) if axis is None else [self._axis(axis)]
-        keep = [k for k in range(len(self.shape)) if k not in axes]
-        place = self._flat() if axis is None else F.col(f"i{axes[0]}")
+    def _reductions(self, axis: int | None, ddof: int) -> dict:
+        place = self._flat() if axis is None else F.col(f"i{self._axis(axis)}")
         v = F.col("v")
         odd = F.max(F.isnan(v))
         made = {
@@ -200,8 +205,20 @@ class Cells:
             "argmin": F.min(F.struct(v.alias("v"), place.alias("p")))["p"].cast("double"), "argmax": (-F.max(F.struct(v.alias("v"), (-place).alias("p")))["p"]).cast("double"),
         }
         made["std"] = F.sqrt(made["variance"])
-        out = self.df.groupBy(*[F.col(f"i{k}").alias(f"i{n}") for n, k in enumerate(keep)]).agg(made[how].alias("v"))
-        return Cells(out, tuple(self.shape[k] for k in keep))
+        return made
+
+    def reduce(self, how: str, axis: int | None = None, ddof: int = 0) -> Cells:
+        """sum, mean, prod, min, max, variance, std, any, all, argmin or argmax, along an axis or over all cells."""
+        keep = self._kept(axis)
+        return Cells(self.reduce_many({"v": how}, axis, ddof), tuple(self.shape[k] for k in keep))
+
+    def reduce_many(self, hows: dict[str, str], axis: int | None = None, ddof: int = 0) -> DataFrame:
+        """The axes that are left, and a column for each reduction, in one pass."""
+        made = self._reductions(axis, ddof)
+        return self.df.groupBy(*[F.col(f"i{k}").alias(f"i{n}") for n, k in enumerate(self._kept(axis))]).agg(*[made[how].alias(name) for name, how in hows.items()])
+
+    def _kept(self, axis: int | None) -> list[int]:
+        return [] if axis is None else [k for k in range(len(self.shape)) if k != self._axis(axis)]
 
     def _along(self, axis: int) -> Window:
         return Window.partitionBy(*[a for k, a in enumerate(self.axes) if k != axis])
@@ -235,17 +252,80 @@ class Cells:
         shifted = self.df.withColumn("v", F.exp(F.col("v") - F.max("v").over(w)))
         return Cells(shifted.withColumn("v", F.col("v") / F.sum("v").over(w)), self.shape)
 
-    def matmul(self, other: Cells) -> Cells:
-        """Matrix product, batched where both have leading axes of equal size."""
+    def matmul(self, other: Cells, block: int = 512) -> Cells:
+        """Matrix product, batched where both have leading axes of equal size.
+
+        Cells meet in square blocks: a task multiplies two and returns a sum for each cell of their
+        product, so that what is shuffled on is ``block`` times less than the products.  Cells that
+        have no term are left out.
+        """
         n, m = len(self.shape), len(other.shape)
         if n != m or n < 2 or self.shape[-1] != other.shape[-2] or self.shape[:-2] != other.shape[:-2]:
             raise ValueError(f"{self.shape} doesn't fit {other.shape}")
         batch = axis_names(n - 2)
-        left = self.df.select(*batch, F.col(f"i{n - 2}").alias("r"), F.col(f"i{n - 1}").alias("k"), F.col("v").alias("x"))
-        right = other.df.select(*batch, F.col(f"i{n - 2}").alias("k"), F.col(f"i{n - 1}").alias("c"), F.col("v").alias("y"))
-        made = left.join(right, [*batch, "k"]).groupBy(*batch, F.col("r").alias(f"i{n - 2}"), F.col("c").alias(f"i{n - 1}")).agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+        blocks = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, (size - 1) // block)).cast("long")))
+        part = lambda axis: F.floor(F.col(axis) / block).alias(f"b_{axis}")
+        left = self.df.select(*batch, F.col(f"i{n - 2}").alias("r"), F.col(f"i{n - 1}").alias("k"), F.col("v").cast("double").alias("x"))
+        right = other.df.select(*batch, F.col(f"i{n - 2}").alias("k"), F.col(f"i{n - 1}").alias("c"), F.col("v").cast("double").alias("y"))
+        left = left.select("*", part("r"), part("k"), blocks(other.shape[-1]).alias("b_c"))
+        right = right.select("*", part("c"), part("k"), blocks(self.shape[-2]).alias("b_r"))
+        group = [*batch, "b_r", "b_k", "b_c"]
+
+        def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            names = [*batch, "r", "c", "v"]
+            if a.empty or b.empty:
+                return pd.DataFrame({c: pd.Series(dtype=float if c == "v" else np.int64) for c in names})
+            rows, r = np.unique(a["r"].to_numpy(), return_inverse=True)
+            columns, c = np.unique(b["c"].to_numpy(), return_inverse=True)
+            low = int(a["k"].iloc[0]) // block * block
+            sides = []
+            for index, k, v, size in ((r, a["k"], a["x"], len(rows)), (c, b["k"], b["y"], len(columns))):
+                values, there = np.zeros((size, block)), np.zeros((size, block))
+                values[index, k.to_numpy() - low], there[index, k.to_numpy() - low] = v, 1
+                sides.append((values, there))
+            (x, has_x), (y, has_y) = sides
+            terms = has_x @ has_y.T
+            with np.errstate(invalid="ignore"):
+                sums = x @ y.T
+                for i in np.flatnonzero(~np.isfinite(x).all(1)):  # what isn't finite meets only what is there
+                    sums[i] = np.where((has_x[i] > 0) & (has_y > 0), x[i] * y, 0).sum(1)
+                for j in np.flatnonzero(~np.isfinite(y).all(1)):
+                    sums[:, j] = np.where((has_x > 0) & (has_y[j] > 0), x * y[j], 0).sum(1)
+            i, j = np.nonzero(terms)
+            return pd.DataFrame({**{c: a[c].iloc[0] for c in batch}, "r": rows[i], "c": columns[j], "v": sums[i, j]}, columns=names)
+
+        shape = ", ".join([*[f"{c} long" for c in batch], "r long", "c long", "v double"])
+        parts = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(multiply, shape)
+        made = parts.groupBy(*batch, F.col("r").alias(f"i{n - 2}"), F.col("c").alias(f"i{n - 1}")).agg(F.sum(F.coalesce("v", F.lit(float("nan")))).alias("v"))  # NaN comes back as null
         return Cells(made, (*self.shape[:-1], other.shape[-1]))
 
+    def cast(self, dtype: str) -> Cells:
+        """Values as the type has them: bool is 0 or 1, whole numbers are cut towards 0 and wrap around."""
+        v = F.col("v")
+        if dtype == "bool":
+            return Cells(self.df.withColumn("v", (v != 0).cast("double")), self.shape)
+        if dtype in ("float32", "float64"):
+            return Cells(self.df.withColumn("v", v.cast("float" if dtype == "float32" else "double").cast("double")), self.shape)
+        bits = {"int8": 8, "uint8": 8, "int16": 16, "int32": 32}[dtype]
+        half = 0 if dtype == "uint8" else 1 << (bits - 1)
+        whole = F.coalesce(F.when(~F.isnan(v), scalar.trunc(v).try_cast("long")), F.lit(0))
+        return Cells(self.df.withColumn("v", (F.pmod(whole + half, F.lit(1 << bits)) - half).cast("double")), self.shape)
+
+    def logical(self, name: str, other: Cells | None = None) -> Cells:
+        """``and``, ``or`` and ``not`` of what isn't 0, as 0 and 1."""
+        truth = self.cast("bool")
+        if name == "not":
+            return Cells(truth.df.withColumn("v", 1 - F.col("v")), self.shape)
+        return truth.combine({"and": "min", "or": "max"}[name], other.cast("bool"))
+
+    def split(self, sizes: list[int], axis: int) -> list[Cells]:
+        """Consecutive parts of an axis."""
+        axis = self._axis(axis)
+        if sum(sizes) != self.shape[axis] or min(sizes) < 0:
+            raise ValueError(f"{sizes} don't add up to {self.shape[axis]}")
+        ends = np.cumsum(sizes).tolist()
+        return [self.slice(axis, end - size, end) for end, size in zip(ends, sizes)]
+
     def frobenius(self) -> float:
         return self.df.agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0]
 
@@ -278,8 +358,38 @@ def full(spark, shape: tuple, value: float) -> Cells:
     return Cells(spark.range(prod(shape)).select(F.col("id").alias("i0"), F.lit(float(value)).alias("v")), (prod(shape),)).reshape(*shape)
 
 
+def arange(spark, start: float, stop: float, step: float = 1.0) -> Cells:
+    """Numbers from ``start`` on, below ``stop`` (above, for a negative step)."""
+    if not step:
+        raise ValueError("the step is 0")
+    n = max(0, int(np.ceil((stop - start) / step)))
+    return Cells(spark.range(n).select(F.col("id").alias("i0"), (F.col("id") * float(step) + float(start)).alias("v")), (n,))
+
+
+def unit_random(seed: int, place: Column, draw: int = 0) -> Column:
+    """A number in [0, 1) that depends on seed, place and draw only: 52 bits of their MD5 digest."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(draw)), place.cast("string")))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def _random(spark, shape: tuple, value) -> Cells:
+    flat = spark.range(prod(shape)).select(F.col("id").alias("i0"), value(F.col("id")).alias("v"))
+    return Cells(flat, (prod(shape),)).reshape(*shape)
+
+
 def random_cells(spark, shape: tuple, seed: int, low: float = 0.0, high: float = 1.0) -> Cells:
     """Uniform values that depend on seed and place only, not on partitions."""
-    unit = (F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1 << 53)) / float(1 << 53)).cast("double")
-    flat = spark.range(prod(shape)).select(F.col("id").alias("i0"), (unit * (high - low) + low).alias("v"))
-    return Cells(flat, (prod(shape),)).reshape(*shape)
+    return _random(spark, shape, lambda i: unit_random(seed, i) * (high - low) + low)
+
+
+def random_normal(spark, shape: tuple, seed: int, mean: float = 0.0, std: float = 1.0) -> Cells:
+    """Normal values by Box and Muller's transform of two uniform ones."""
+    radius = lambda i: F.sqrt(-2.0 * F.ln(1.0 - unit_random(seed, i, 1)))
+    return _random(spark, shape, lambda i: radius(i) * F.cos(2 * np.pi * unit_random(seed, i, 2)) * std + mean)
+
+
+def random_integers(spark, shape: tuple, seed: int, low: int, high: int) -> Cells:
+    """Whole numbers from ``low`` on, below ``high``."""
+    if low >= high:
+        raise ValueError("low is not below high")
+    return _random(spark, shape, lambda i: F.floor(unit_random(seed, i, 3) * (high - low)) + float(low))

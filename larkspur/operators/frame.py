@@ -52,6 +52,8 @@ def csv_cell(c: Column, kind: T.DataType) -> Column:
 class Frame:
     df: DataFrame
     order: str | None = None
+    #: Whether the rows have been sorted since: ``limit`` and ``slice`` then take them as they come.
+    is_sorted: bool = False
 
     # --- shape ---
 
@@ -63,9 +65,9 @@ class Frame:
     def schema(self) -> T.StructType:
         return self.df.schema
 
-    def _with(self, df: DataFrame, order: str | None = "same") -> Frame:
+    def _with(self, df: DataFrame, order: str | None = "same", is_sorted: bool | None = None) -> Frame:
         order = self.order if order == "same" else order
-        return Frame(df, order if order in df.columns else None)
+        return Frame(df, order if order in df.columns else None, self.is_sorted if is_sorted is None else is_sorted)
 
     def _known(self, names: Sequence[str]) -> None:
         for n in names:
@@ -124,7 +126,7 @@ class Frame:
         keys = [k if isinstance(k, Key) else Key(k) for k in keys]
         self._known([k.column for k in keys])
         by = [F.desc_nulls_last(k.column) if k.descending else F.asc_nulls_last(k.column) for k in keys]
-        return self._with(self.df.orderBy(*by, *([F.asc(self.order)] if self.order else [])))
+        return self._with(self.df.orderBy(*by, *([F.asc(self.order)] if self.order else [])), is_sorted=True)
 
     def limit(self, n: int) -> Frame:
         return self.slice(0, n)
@@ -132,7 +134,8 @@ class Frame:
     def slice(self, start: int, end: int | None = None) -> Frame:
         if start < 0 or end is not None and end < 0:
             raise ValueError("rows are counted from 0")
-        df = self.df.offset(start) if start else self.df
+        df = self.df if self.is_sorted or not self.order else self.df.orderBy(F.asc(self.order))
+        df = df.offset(start) if start else df
         return self._with(df if end is None else df.limit(max(0, end - start)))
 
     # --- several frames ---
@@ -191,9 +194,28 @@ class Frame:
         """A column ``line`` of rows as CSV, without header; written where the rows are."""
         return self.df.select(F.concat_ws(",", *[csv_cell(self.df[f.name], f.dataType) for f in self.schema]).alias("line"))
 
+    def _header(self) -> str:
+        quote = lambda c: '"' + c.replace('"', '""') + '"' if any(x in c for x in '",\n\r') else c
+        return ",".join(map(quote, self.columns))
+
+    def header_lines(self) -> DataFrame:
+        """``csv_lines`` with the header as the first line of each partition."""
+        head = self._header()
+
+        def run(batches):
+            first, shape = True, pa.schema([("line", pa.string())])
+            for batch in batches:
+                if first:
+                    first, shape = False, batch.schema
+                    yield pa.RecordBatch.from_arrays([pa.array([head], shape.field(0).type)], schema=shape)
+                yield batch
+            if first:
+                yield pa.RecordBatch.from_arrays([pa.array([head], pa.string())], schema=shape)
+
+        return self.csv_lines().mapInArrow(run, "line string")
+
     def to_csv(self) -> str:
-        head = ",".join(f'"{c}"' if any(x in c for x in '",\n\r') else c for c in self.columns)
-        return "\n".join([head.replace('""', '"'), *[r.line for r in self.csv_lines().collect()]]) + "\n"
+        return "\n".join([self._header(), *[r.line for r in self.csv_lines().collect()]]) + "\n"
 
     def to_ipc(self) -> bytes:
         sink = io.BytesIO()

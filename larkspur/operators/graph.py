@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import running
+
 
 def mirrored(edges: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
     """Both directions of undirected edges; a loop once."""
@@ -20,19 +22,14 @@ def adjacency(edges: DataFrame, source: str = "src", target: str = "dst", weight
 
 
 def with_offsets(rows: DataFrame, source: str = "src") -> DataFrame:
-    """First place of each node's edges among all edges, in order of nodes: counts by range of nodes, then within each."""
-    from ..streaming.dataset import ranked
-
-    each = ranked(rows, source, "row")
-    buckets = each.withColumn("__b", F.floor(F.col("row") / 100_000))
-    sums = buckets.groupBy("__b").agg(F.sum("degree").alias("__s"))
-    before = sums.select("__b", F.coalesce(F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    within = F.coalesce(F.sum("degree").over(Window.partitionBy("__b").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return buckets.join(before, "__b").withColumn("offset", F.col("__before") + within).drop("__b", "__before")
+    """First place of each node's edges among all edges, in order of nodes."""
+    return running(rows, source, "offset", amount="degree")
 
 
-def dense(edges: DataFrame, nodes: DataFrame, missing: float = 0.0, source: str = "src", target: str = "dst", weight: str = "weight") -> DataFrame:
-    """All cells ``(src, dst, weight)`` between nodes, for graphs of few nodes: absent edges are ``missing``, the diagonal is 0 where there is no loop."""
+def dense(edges: DataFrame, nodes: DataFrame, missing: float = 0.0, source: str = "src", target: str = "dst", weight: str = "weight", most: int = 10_000) -> DataFrame:
+    """All cells ``(src, dst, weight)`` between nodes: absent edges are ``missing``, the diagonal is 0 where there is no loop.  More than ``most`` nodes raise."""
+    if nodes.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} nodes")
     a, b = nodes.select(F.col(nodes.columns[0]).alias(source)), nodes.select(F.col(nodes.columns[0]).alias(target))
     cells = a.join(b, F.lit(True)).join(edges.select(source, target, weight), [source, target], "left")
     return cells.withColumn(weight, F.coalesce(weight, F.when(F.col(source) == F.col(target), 0.0).otherwise(F.lit(float(missing)))))

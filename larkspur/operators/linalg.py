@@ -112,9 +112,15 @@ def _lower_upper(a: np.ndarray) -> np.ndarray:
     return np.vstack([low, u, p])
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    if a.shape[0] != a.shape[1] or len(_elimination(a)[1]) < len(a):
+        raise ValueError("only a square matrix of full rank has an inverse")
+    return np.linalg.inv(a)
+
+
 #: What can be done with a small matrix; the result is flattened row by row.
 SMALL = {
-    "det": lambda a: np.linalg.det(a), "inv": np.linalg.pinv, "rank": lambda a: len(_elimination(a)[1]), "rref": lambda a: _elimination(a)[0], "null_space": _null_space, "lu": _lower_upper,
+    "det": lambda a: np.linalg.det(a), "inv": _inverse, "rank": lambda a: len(_elimination(a)[1]), "rref": lambda a: _elimination(a)[0], "null_space": _null_space, "lu": _lower_upper,
     "qr": lambda a: np.vstack(np.linalg.qr(a)) if a.shape[0] == a.shape[1] else np.linalg.qr(a)[1], "cholesky": np.linalg.cholesky, "eig_symmetric": lambda a: np.linalg.eigvalsh(a)[::-1],
     "eig_general": lambda a: np.stack([np.real(w := np.linalg.eigvals(a)), np.imag(w)], 1), "singular_values": lambda a: np.linalg.svd(a, compute_uv=False), "pseudo_inverse": np.linalg.pinv,
     "frobenius": lambda a: np.linalg.norm(a), "spectral": lambda a: np.linalg.norm(a, 2), "condition": lambda a: np.linalg.cond(a),

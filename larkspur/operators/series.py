@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..types import group_of
+from .coordinates import Cells
+from .ranges import running
 
 SAFE = (1 << 53) - 1
 
@@ -34,6 +36,16 @@ class Series:
         df = self.df.orderBy(self.order) if self.order else self.df
         return [r[0] for r in df.select(self.name).collect()]
 
+    def to_tensor(self) -> Cells:
+        """The column as a tensor of one axis, by the rank of its rows; a null or what isn't a number raises."""
+        if self.order is None:
+            raise ValueError("the series has no order")
+        if group_of(self.df.schema[self.name].dataType) not in ("int64", "number"):
+            raise TypeError(f"{self.name!r} isn't a number")
+        rows = running(self.df, self.order, "__rank")
+        value = F.when(F.col(self.name).isNull(), F.raise_error(F.lit("null in a tensor"))).otherwise(F.col(self.name)).cast("double")
+        return Cells(rows.select(F.col("__rank").alias("i0"), value.alias("v")), (self.df.count(),))
+
     def to_dates(self) -> Series:
         """Times cut to milliseconds."""
         if group_of(self.df.schema[self.name].dataType) != "time":

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import get_window
+from .ranges import running
+from .stats import percentiles
 
 
 def collected(df: DataFrame, key: str, time: str, value: str) -> DataFrame:
@@ -235,12 +237,12 @@ def find_peaks(x: Column, height: float | None = None, distance: int | None = No
 
 
 def segments(df: DataFrame, key: str, time: str, value: str, width: int, overlap: int) -> DataFrame:
-    """Overlapping stretches ``(key, segment, x)`` of the series, from samples: whole ones only.  A sample goes to each stretch it lies in; no series is gathered whole."""
+    """Overlapping stretches ``(key, segment, x)`` of the series, from samples: whole ones only.  A sample goes to each stretch it lies in; no series is gathered whole or numbered in one task.  Times of a series are distinct."""
     step = width - overlap
     if not 0 <= overlap < width:
         raise ValueError("the overlap is below the width")
-    place = F.row_number().over(Window.partitionBy(key).orderBy(time)) - 1
-    rows = df.select(key, F.col(value).cast("double").alias("x"), place.cast("long").alias("i"))
+    samples = df.select(F.col(key).alias("key"), F.col(time).alias("t"), F.col(value).cast("double").alias("x"))
+    rows = running(samples, "t", "i", keys=["key"]).select(F.col("key").alias(key), "x", "i")
     last = F.floor(F.col("i") / step)
     first = F.greatest(F.lit(0), F.floor((F.col("i") - width) / step) + 1)
     dealt = rows.withColumn("segment", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
@@ -251,6 +253,8 @@ def segments(df: DataFrame, key: str, time: str, value: str, width: int, overlap
 def _detrended(v: np.ndarray, how) -> np.ndarray:
     if how in (None, False):
         return v
+    if callable(how):
+        return np.asarray(how(v), float)
     if how == "constant":
         return v - v.mean()
     t = np.arange(len(v)) - (len(v) - 1) / 2
@@ -276,30 +280,76 @@ def _density(width: int, window, rate: float, scaling: str) -> np.ndarray:
     return out
 
 
-def welch(df: DataFrame, key: str, time: str, value: str, *, width: int = 256, overlap: int | None = None, rate: float = 1.0, window="hann", detrend="constant", scaling: str = "density") -> DataFrame:
-    """``(key, bin, frequency, power)``: mean power of the stretches, as an aggregate over their bins."""
+def welch(
+    df: DataFrame, key: str, time: str, value: str, *, width: int = 256, overlap: int | None = None, rate: float = 1.0, window="hann", detrend="constant", scaling: str = "density", average: str = "mean"
+) -> DataFrame:
+    """``(key, bin, frequency, power)``: mean (or bias-corrected median) power of the stretches, as an aggregate over their bins."""
+    if average not in ("mean", "median"):
+        raise ValueError(f"no average {average!r}")
     overlap = width // 2 if overlap is None else overlap
     spectra = segment_spectra(segments(df, key, time, value, width, overlap), window, detrend)
     scale = F.array(*map(F.lit, _density(width, window, rate, scaling).tolist()))
     power = F.zip_with("x.re", "x.im", lambda a, b: a * a + b * b)
     bins = spectra.select(key, F.posexplode(power).alias("bin", "p"))
-    return bins.groupBy(key, "bin").agg(F.avg("p").alias("p")).select(key, "bin", (F.col("bin") * (rate / width)).alias("frequency"), (F.col("p") * F.get(scale, F.col("bin"))).alias("power"))
+    if average == "mean":
+        made = bins.groupBy(key, "bin").agg(F.avg("p").alias("p"))
+    else:
+        made = percentiles(bins, "p", {"m": 0.5}, key, "bin").join(bins.groupBy(key, "bin").agg(F.count("*").alias("n")), [key, "bin"])
+        # expected median of n exponential values: 1 + sum of 1 / (2k + 1) - 1 / (2k)
+        pairs = F.when(F.col("n") > 2, F.sequence(F.lit(1), F.floor((F.col("n") - 1) / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
+        bias = F.aggregate(pairs, F.lit(1.0), lambda s, k: s + 1.0 / (2 * k + 1) - 1.0 / (2 * k))
+        made = made.select(key, "bin", (F.col("m") / bias).alias("p"))
+    return made.select(key, "bin", (F.col("bin") * (rate / width)).alias("frequency"), (F.col("p") * F.get(scale, F.col("bin"))).alias("power"))
+
+
+def periodogram(df: DataFrame, key: str, time: str, value: str, *, size: int, rate: float = 1.0, window="boxcar", detrend="constant", scaling: str = "density") -> DataFrame:
+    """``welch`` of series of ``size`` samples each, in one stretch; longer ones count with their first stretch, shorter ones don't."""
+    return welch(df, key, time, value, width=size, overlap=0, rate=rate, window=window, detrend=detrend, scaling=scaling)
 
 
 def spectrogram(df: DataFrame, key: str, time: str, value: str, *, width: int = 256, overlap: int | None = None, rate: float = 1.0, window=("tukey", 0.25), mode: str = "psd") -> DataFrame:
-    """``(key, segment, time_s, values)``: power, magnitude or angle of each stretch."""
+    """``(key, segment, time_s, values)``: power, magnitude, angle, unwrapped phase or complex values of each stretch."""
     overlap = width // 8 if overlap is None else overlap
     spectra = segment_spectra(segments(df, key, time, value, width, overlap), window, "constant")
     scale = F.array(*map(F.lit, _density(width, window, rate, "density").tolist()))
+    height = float(get_window(window, width).sum())
+    angle = F.zip_with("x.re", "x.im", lambda a, b: F.atan2(b, a))
     made = {
         "psd": F.transform(F.arrays_zip("x.re", "x.im", scale.alias("s")), lambda t: (t["re"] * t["re"] + t["im"] * t["im"]) * t["s"]),
-        "magnitude": F.zip_with("x.re", "x.im", lambda a, b: F.sqrt(a * a + b * b) / float(get_window(window, width).sum())),
-        "angle": F.zip_with("x.re", "x.im", lambda a, b: F.atan2(b, a)),
+        "magnitude": F.zip_with("x.re", "x.im", lambda a, b: F.sqrt(a * a + b * b) / height),
+        "angle": angle,
+        "phase": unwrapped(angle),
+        "complex": F.zip_with("x.re", "x.im", lambda a, b: F.struct((a / height).alias("re"), (b / height).alias("im"))),
     }[mode]
     middle = (F.col("segment") * (width - overlap) + width / 2) / rate
     return spectra.select(key, "segment", middle.alias("time_s"), made.alias("values"))
 
 
+def stft(df: DataFrame, key: str, time: str, value: str, *, width: int = 256, overlap: int | None = None, window="hann") -> DataFrame:
+    """``(key, segment, x)``: complex spectra of the windowed stretches, over the window's sum."""
+    overlap = width // 2 if overlap is None else overlap
+    spectra = segment_spectra(segments(df, key, time, value, width, overlap), window, None)
+    height = float(get_window(window, width).sum())
+    over = lambda part: F.transform(F.col("x")[part], lambda v: v / height).alias(part)
+    return spectra.select(key, "segment", F.struct(over("re"), over("im")).alias("x"))
+
+
+def istft(spectra: DataFrame, key: str, *, width: int = 256, overlap: int | None = None, window="hann") -> DataFrame:
+    """``(key, i, x)``: samples whose ``stft`` the spectra are, by overlap and add; where windows add up to nothing there is no sample."""
+    overlap = width // 2 if overlap is None else overlap
+    w = get_window(window, width)
+
+    @F.pandas_udf("array<double>")
+    def back(z: pd.DataFrame) -> pd.Series:
+        return pd.Series([np.fft.irfft((np.asarray(a) + 1j * np.asarray(b)) * w.sum(), width) * w for a, b in zip(z["re"], z["im"])])
+
+    weight = F.array(*map(F.lit, (w * w).tolist()))
+    parts = spectra.select(F.col(key).alias("key"), F.col("segment").alias("s"), F.posexplode(back("x")).alias("k", "y"))
+    parts = parts.select("key", (F.col("s") * (width - overlap) + F.col("k")).alias("i"), "y", F.get(weight, F.col("k")).alias("w"))
+    sums = parts.groupBy("key", "i").agg(F.sum("y").alias("y"), F.sum("w").alias("w")).where("w > 1e-10")
+    return sums.select(F.col("key").alias(key), "i", (F.col("y") / F.col("w")).alias("x"))
+
+
 def coherence(df: DataFrame, key: str, time: str, one: str, two: str, *, width: int = 256, overlap: int | None = None, rate: float = 1.0, window="hann") -> DataFrame:
     """``(key, bin, frequency, cross_re, cross_im, coherence)`` of two columns of a series."""
     overlap = width // 2 if overlap is None else overlap
@@ -315,6 +365,14 @@ def coherence(df: DataFrame, key: str, time: str, one: str, two: str, *, width:
     return mean.select(key, "bin", (F.col("bin") * (rate / width)).alias("frequency"), (F.col("re") * scale).alias("cross_re"), (F.col("im") * scale).alias("cross_im"), F.expr("(re * re + im * im) / nullif(xx * yy, 0)").alias("coherence"))
 
 
+def unwrapped(angles: Column) -> Column:
+    """Angles of a vector without jumps of more than half a turn."""
+    turn = 2 * np.pi
+    jump = lambda a, b: F.when(F.abs(b - a) > np.pi, -turn * F.round((b - a) / turn)).otherwise(0.0)
+    steps = F.transform(angles, lambda v, i: F.when(i == 0, 0.0).otherwise(jump(F.get(angles, i - 1), v)))
+    return F.transform(angles, lambda v, i: v + F.aggregate(F.slice(steps, 1, i + 1), F.lit(0.0), lambda s, x: s + x))
+
+
 def unwrap(df: DataFrame, key: str, time: str, value: str) -> DataFrame:
     """Phases without jumps of more than half a turn: a running sum of corrections."""
     w = Window.partitionBy(key).orderBy(time)

@@ -33,8 +33,7 @@ def binary_cross_entropy(logit: Column, target: Column) -> Column:
 
 
 def cross_entropy(logits: Column, label: Column) -> Column:
-    top = F.array_max(logits)
-    log_sum = top + F.ln(F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+    log_sum = V.let({"v": logits, "top": F.array_max(logits)}, lambda t: t["top"] + F.ln(F.aggregate(t["v"], F.lit(0.0), lambda s, x: s + F.exp(x - t["top"]))))
     return F.avg(log_sum - F.get(logits, label))
 
 
@@ -49,8 +48,7 @@ def linear(x: Column, weight: np.ndarray, bias: np.ndarray | None = None) -> Col
 
 
 def layer_norm(x: Column, eps: float = 1e-5) -> Column:
-    m, s = V.mean(x), F.sqrt(V.variance(x) + eps)
-    return F.transform(x, lambda v: (v - m) / s)
+    return V.let({"x": x, "m": V.mean(x), "s": F.sqrt(V.variance(x) + eps)}, lambda t: F.transform(t["x"], lambda v: (v - t["m"]) / t["s"]))
 
 
 def embedding(df: DataFrame, table: DataFrame, key: str, name: str = "embedding") -> DataFrame:

@@ -10,6 +10,11 @@ from ..functions import scalar
 NAN = float("nan")
 
 
+def let(values: dict[str, Column], f) -> Column:
+    """``f`` of a struct of values, each computed once however often ``f`` uses it."""
+    return F.get(F.transform(F.array(F.struct(*[c.alias(n) for n, c in values.items()])), f), 0)
+
+
 def unary(name: str, v: Column) -> Column:
     f = {**scalar.UNARY, **scalar.MORE_UNARY}[name]
     return F.transform(v, f)
@@ -52,8 +57,7 @@ def mean(v: Column) -> Column:
 
 
 def variance(v: Column, ddof: int = 0) -> Column:
-    m = mean(v)
-    squares = F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))
+    squares = let({"v": v, "m": mean(v)}, lambda t: F.aggregate(t["v"], F.lit(0.0), lambda s, x: s + (x - t["m"]) * (x - t["m"])))
     return F.when(F.size(v) > ddof, squares / (F.size(v) - ddof)).otherwise(F.raise_error(F.lit("too few elements")))
 
 
@@ -95,9 +99,8 @@ def cumprod(v: Column) -> Column:
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    parts = F.transform(v, lambda x: F.exp(x - top))
-    return F.transform(parts, lambda x: x / total(parts))
+    parts = let({"v": v, "top": F.array_max(v)}, lambda t: F.transform(t["v"], lambda x: F.exp(x - t["top"])))
+    return let({"p": parts}, lambda t: let({"p": t["p"], "sum": total(t["p"])}, lambda u: F.transform(u["p"], lambda x: x / u["sum"])))
 
 
 def dot(a: Column, b: Column) -> Column:

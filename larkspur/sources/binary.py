@@ -51,6 +51,11 @@ def read_ipc(spark: SparkSession, path: str) -> DataFrame:
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
     """``(path, dtype, shape, values)`` of little-endian arrays in C order."""
+    return npy_rows(_files(spark, path))
+
+
+def npy_rows(files: DataFrame) -> DataFrame:
+    """The same of a table ``(path, content)``."""
 
     def run(batches):
         for pdf in batches:
@@ -60,7 +65,7 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
                 out.append((p, str(a.dtype), list(a.shape), np.ascontiguousarray(a).ravel().astype(float)))
             yield pd.DataFrame(out, columns=["path", "dtype", "shape", "values"])
 
-    return _files(spark, path).mapInPandas(run, "path string, dtype string, shape array<long>, values array<double>")
+    return files.mapInPandas(run, "path string, dtype string, shape array<long>, values array<double>")
 
 
 def npy_column(values, shape, dtype: str = "<f8"):
@@ -116,6 +121,11 @@ def widened(dtype: str, raw: bytes) -> np.ndarray:
 
 def read_safetensors(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
     """``(path, name, dtype, shape, values)``, a row a tensor."""
+    return safetensors_rows(_files(spark, path), names)
+
+
+def safetensors_rows(files: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """The same of a table ``(path, content)``; of each file only the named tensors are decoded."""
 
     def run(batches):
         for pdf in batches:
@@ -128,7 +138,7 @@ def read_safetensors(spark: SparkSession, path: str, names: list[str] | None = N
                 ]
                 yield pd.DataFrame(rows, columns=["path", "name", "dtype", "shape", "values"])
 
-    return _files(spark, path).mapInPandas(run, "path string, name string, dtype string, shape array<long>, values array<double>")
+    return files.mapInPandas(run, "path string, name string, dtype string, shape array<long>, values array<double>")
 
 
 def safetensors_bytes(tensors: dict[str, np.ndarray], metadata: dict[str, str] | None = None) -> bytes:

@@ -9,15 +9,26 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 
-def from_lazy_source(spark: SparkSession, name: str, schema: StructType, parts: Sequence, read: Callable[[object], Iterator[tuple]]) -> DataFrame:
-    """A table whose rows ``read(part)`` yields for each of ``parts``, on the executors and only when it is needed."""
+def from_lazy_source(
+    spark: SparkSession, name: str, schema: StructType, parts: Sequence, read: Callable[[object, list[str]], Iterator[tuple]], columns: Sequence[str] | None = None
+) -> DataFrame:
+    """A table whose rows ``read(part, wanted)`` yields for each of ``parts``, on the executors and only when it is needed.
+
+    ``wanted`` are the columns to read, in the order of the schema: those in ``columns``, or all.  The
+    table has just these.
+    """
+    unknown = set(columns or ()) - set(schema.names)
+    if unknown:
+        raise KeyError(f"no column {', '.join(sorted(unknown))}; there are {', '.join(schema.names)}")
+    wanted = [n for n in schema.names if columns is None or n in columns]
+    pruned = StructType([schema[n] for n in wanted])
 
     class Reader(DataSourceReader):
         def partitions(self):
             return [InputPartition(p) for p in parts]
 
         def read(self, partition):
-            yield from read(partition.value)
+            yield from read(partition.value, wanted)
 
     class Source(DataSource):
         @classmethod
@@ -25,7 +36,7 @@ def from_lazy_source(spark: SparkSession, name: str, schema: StructType, parts:
             return name
 
         def schema(self):
-            return schema
+            return pruned
 
         def reader(self, schema):
             return Reader()

@@ -39,5 +39,5 @@ def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
 
 
 def write_csv(frame, path: str) -> None:
-    """One folder of parts, each with the header, as ``Frame.to_csv`` formats cells."""
-    frame.df.write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
+    """A folder of parts, each with the header, of the lines that ``Frame.to_csv`` makes."""
+    frame.header_lines().write.text(path)

@@ -12,22 +12,20 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranges import running
+
 
 def ranked(df: DataFrame, order: str, name: str = "rank") -> DataFrame:
-    """``df`` with each row's rank from 0 by ``order`` (which must be distinct)."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(1.0))
-    cuts = df.agg(F.percentile_approx(order, shares, F.lit(10_000))).first()[0] or []
-    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    rows = df.withColumn("__part", part)
-    counts = rows.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("__part", before.alias("__before"))  # a row a range
-    within = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
-    return rows.join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + within).drop("__part", "__before")
+    """``df`` with each row's rank from 0 by ``order`` (which must be distinct, of any type with an order)."""
+    return running(df, order, name)
+
+
+def drawn(seed: Column, place: Column) -> Column:
+    """Where a row stands in a seeded order: a digest that any engine can recompute."""
+    return F.md5(F.concat_ws(":", seed.cast("string"), place.cast("string")))
 
 
 @dataclass(frozen=True)
@@ -68,15 +66,24 @@ class Dataset:
         chunks = self.chunk(n)
         return chunks if collate is None else chunks.select("chunk", collate(F.col("items")).alias("batch"))
 
-    def shuffle(self, seed: int) -> Dataset:
-        """The same rows in a seeded order that depends on nothing else."""
-        key = F.struct(F.xxhash64(F.lit(seed), F.col(self.order)).alias("h"), F.col(self.order).alias("o"))
-        return Dataset(self.df.withColumn(f"{self.order}_shuffled", key), f"{self.order}_shuffled")
+    def shuffle(self, seed: int, buffer_size: int | None = None) -> Dataset:
+        """The same rows in a seeded order that depends on nothing else.
+
+        With a buffer, rows move only among the ``buffer_size`` neighbours they are cut into.
+        """
+        if buffer_size is not None and buffer_size < 1:
+            raise ValueError("a buffer holds a row at least")
+        rows, block = self.df, F.lit(0).cast("long")
+        if buffer_size is not None:
+            rows = ranked(rows, self.order, f"{self.order}_block")
+            block = F.floor(F.col(f"{self.order}_block") / buffer_size)
+        key = F.struct(block.alias("block"), drawn(F.lit(seed), F.col(self.order)).alias("h"), F.col(self.order).alias("o"))
+        return Dataset(rows.select(*self.df.columns, key.alias(f"{self.order}_shuffled")), f"{self.order}_shuffled")
 
     def epochs(self, n: int, reshuffle_seed: int | None = None) -> Dataset:
         """All rows ``n`` times, epoch after epoch; with a seed each epoch in an order of its own (seed + epoch)."""
         rows = self.df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) if n > 0 else self.df.withColumn("epoch", F.lit(0)).limit(0)
-        inner = F.col(self.order) if reshuffle_seed is None else F.xxhash64(F.lit(reshuffle_seed) + F.col("epoch"), F.col(self.order))
+        inner = F.col(self.order) if reshuffle_seed is None else drawn(F.lit(reshuffle_seed) + F.col("epoch"), F.col(self.order))
         return Dataset(rows.withColumn("epoch_order", F.struct("epoch", inner.alias("place"), F.col(self.order).alias("item"))), "epoch_order")
 
     @contextmanager

@@ -5,11 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.functions import traced, units
+from larkspur.functions import scalar, traced, units
 from larkspur.functions.windows import ALIASES, FAMILIES, get_window
 from larkspur.operators import graph, image, linalg, signal, stats, training
 from larkspur.operators import vectors as V
-from larkspur.operators.coordinates import Cells, concat, full, stack, to_vectors
+from larkspur.operators.coordinates import Cells, arange, concat, full, random_integers, random_normal, stack, to_vectors
+from larkspur.operators.ranges import running
 from larkspur.sources import binary, lazy, parquet, text
 from larkspur.streaming.dataset import Dataset, collate_vectors, ranked
 
@@ -186,8 +187,10 @@ def test_sources(spark, tmp_path):
 
     (tmp_path / "t.arrow").write_bytes(Frame(df).to_ipc())
     assert binary.read_ipc(spark, str(tmp_path / "t.arrow")).count() == 3
-    src = lazy.from_lazy_source(spark, "squares", T.StructType([T.StructField("n", T.LongType()), T.StructField("sq", T.LongType())]), [1, 2], lambda p: ((i, i * i) for i in range(p * 10, p * 10 + 3)))
-    assert sorted(r.sq for r in src.collect()) == [100, 121, 144, 400, 441, 484]
+    src = lazy.from_lazy_source(spark, "squares", T.StructType([T.StructField("n", T.LongType()), T.StructField("sq", T.LongType())]), [1, 2], lambda p, wanted: ((i * i,) for i in range(p * 10, p * 10 + 3) if wanted == ["sq"]), ["sq"])
+    assert src.columns == ["sq"] and sorted(r.sq for r in src.collect()) == [100, 121, 144, 400, 441, 484]
+    with pytest.raises(KeyError):
+        lazy.from_lazy_source(spark, "none", T.StructType([T.StructField("n", T.LongType())]), [1], lambda p, wanted: (), ["m"])
 
 
 def test_dataset(spark):
@@ -206,6 +209,108 @@ def test_dataset(spark):
         vectors.batch(2, collate_vectors("v")).collect()
 
 
+def test_shuffled_datasets_can_be_cut(spark):
+    d = Dataset(spark.createDataFrame([(f"row {i:02}", i) for i in range(30)], "o string, v int").repartition(4), "o")
+    for made in (d.shuffle(3), d.epochs(2, reshuffle_seed=1), d.shuffle(1).shuffle(2), d.shuffle(3, buffer_size=7)):
+        whole = [r.v for r in made.to_list()]
+        assert [r.v for r in made.drop(4).to_list()] == whole[4:]
+        assert [[i.v for i in c["items"]] for c in made.chunk(8).orderBy("chunk").collect()] == [whole[k : k + 8] for k in range(0, len(whole), 8)]
+        assert [c["batch"] for c in made.batch(9, lambda items: F.transform(items, lambda x: x["v"])).orderBy("chunk").collect()] == [whole[k : k + 9] for k in range(0, len(whole), 9)]
+    near = [r.v for r in d.shuffle(3, buffer_size=7).to_list()]
+    assert near != list(range(30)) and all(set(near[k : k + 7]) == set(range(k, min(30, k + 7))) for k in range(0, 30, 7))
+    with pytest.raises(ValueError):
+        d.shuffle(1, buffer_size=0)
+
+
+def test_running_sums_of_large_groups(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, int(t), int(v)) for k, n in (("hot", 300), (None, 40), ("one", 1)) for t, v in zip(rng.permutation(n), rng.integers(0, 9, n))]
+    df = spark.createDataFrame(rows, "k string, t long, v long").repartition(5)
+    got = {(r.k, r.t): r.s for r in running(df, "t", "s", keys=["k"], amount="v").collect()}
+    assert len(got) == len(rows) and all(got[k, t] == sum(v for a, b, v in rows if a == k and b < t) for k, t, _ in rows)
+    assert running(df.limit(0), "t", "s", keys=["k"]).count() == 0
+    values = {k: [v for a, _, v in rows if a == k] for k in ("hot", None, "one")}
+    found = stats.percentiles(df, "v", {"p": 0.3, "m": 0.5, "top": 1.0}, "k").collect()
+    assert len(found) == 3 and all(np.allclose((r.p, r.m, r.top), np.quantile(values[r.k], (0.3, 0.5, 1))) for r in found)
+    empty = stats.percentiles(spark.createDataFrame([("a", None)], "k string, v double"), "v", {"m": 0.5}, "k").collect()
+    assert [tuple(r) for r in empty] == [("a", None)]
+
+
+def test_error_functions(spark):
+    xs = [-30.0, -3.3, -1.0, -0.4, 0.0, 1e-12, 0.49, 0.5, 0.99, 1.0, 2.2, 5.9, 8.0, 26.0, 40.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", scalar.erf(F.col("x")).alias("a"), scalar.erfc(F.col("x")).alias("b")).collect()
+    for r in got:
+        assert abs(r.a - math.erf(r.x)) < 1e-13 and abs(r.b - math.erfc(r.x)) <= 1e-11 * abs(math.erfc(r.x)) + 1e-300
+    odd = spark.createDataFrame([(float("nan"),), (None,), (math.inf,)], "x double").select(scalar.erf(F.col("x")), scalar.erfc(F.col("x"))).collect()
+    assert all(map(math.isnan, odd[0])) and tuple(odd[1]) == (None, None) and tuple(odd[2]) == (1.0, 0.0)
+
+
+def test_blocked_products(spark):
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=(5, 13)), rng.normal(size=(13, 7))
+    assert np.allclose(array(cells(spark, a).matmul(cells(spark, b), block=4)), a @ b)
+    sparse = Cells(spark.createDataFrame([(0, 0, 1.0), (0, 9, math.inf), (3, 9, 2.0)], "i0 long, i1 long, v double"), (4, 10))
+    other = Cells(spark.createDataFrame([(9, 1, 5.0), (0, 0, math.nan)], "i0 long, i1 long, v double"), (10, 2))
+    got = {(r.i0, r.i1): r.v for r in sparse.matmul(other, block=3).df.collect()}
+    assert set(got) == {(0, 0), (0, 1), (3, 1)} and math.isnan(got[0, 0]) and got[0, 1] == math.inf and got[3, 1] == 10
+    with pytest.raises(ValueError):
+        cells(spark, a).combine("mul", Cells(spark.range(1).selectExpr("id AS i0", "1.0D AS v"), (10**9,)).unsqueeze(1).unsqueeze(2))
+
+
+def test_more_cells(spark):
+    x = np.array([[-1.7, 0.0, 300.2], [math.nan, 2.5, -0.4]])
+    c = cells(spark, x)
+    assert np.allclose(array(c.cast("int8")), [[-1, 0, 44], [0, 2, 0]]) and np.allclose(array(c.cast("uint8")), [[255, 0, 44], [0, 2, 0]])
+    assert np.allclose(array(c.logical("and", c.flip(1))), [[1, 0, 1], [1, 1, 1]]) and array(c.logical("not")).sum() == 1
+    one_, two = c.split([1, 2], 1)
+    assert one_.shape == (2, 1) and np.allclose(array(two), x[:, 1:])
+    assert array(arange(spark, 2, -1, -0.5)).tolist() == [2, 1.5, 1, 0.5, 0, -0.5] and arange(spark, 3, 1).shape == (0,)
+    n = array(random_normal(spark, (400, 5), 3, 2.0, 0.5))
+    assert abs(n.mean() - 2) < 0.05 and abs(n.std() - 0.5) < 0.03
+    i = array(random_integers(spark, (400, 5), 3, -2, 3))
+    assert set(i.ravel()) == {-2, -1, 0, 1, 2}
+    with pytest.raises(ValueError):
+        c.split([1, 1], 1)
+
+
+def test_units_and_formulas_of_two(spark):
+    assert units.unit("yd").factor == pytest.approx(0.9144) and units.unit("oz").factor * 16 == pytest.approx(units.unit("lb").factor)
+    for text_ in ("kmin", "mft", "kyd", "nothing"):
+        with pytest.raises(ValueError):
+            units.unit(text_)
+    df = spark.createDataFrame([(3.0, -4.0), (2.0, 2.0)], "x double, y double")
+    for name, want in {"atan2(x, y)": (math.atan2(3, -4), -4 / 25), "hypot(x, y)": (5, 0.6), "min(x, 2 * y)": (-8, 0), "max(x, y)": (3, 1)}.items():
+        t = traced.parsed(name, {"x": F.col("x"), "y": F.col("y")})
+        r = df.select(t.value.alias("v"), t.slopes[0].alias("d")).first()
+        assert np.allclose(tuple(r), want), name
+    with pytest.raises(ValueError):
+        traced.parsed("atan2(x)", {"x": F.col("x")})
+
+
+def test_inverse_needs_full_rank(spark):
+    for m, n in (([1.0, 2.0, 2.0, 4.0], 2), ([1.0, 2.0, 3.0, 4.0, 5.0, 7.0], 2)):
+        with pytest.raises(Exception, match="full rank"):
+            one(spark.createDataFrame([(m,)], "m array<double>"), linalg.each_matrix("inv", F.col("m"), F.lit(n)))
+
+
+def test_short_time_transforms(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=300)
+    df = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate(x)], "k string, t int, x double")
+    z = signal.stft(df, "k", "t", "x", width=40, overlap=30).orderBy("segment").collect()
+    w = get_window("hann", 40)
+    assert np.allclose(np.array(z[3]["x"]["re"]) + 1j * np.array(z[3]["x"]["im"]), np.fft.rfft(x[30:70] * w) / w.sum())
+    back = {r.i: r.x for r in signal.istft(signal.stft(df, "k", "t", "x", width=40, overlap=30), "k", width=40, overlap=30).collect()}
+    assert len(back) >= 290 and all(abs(v - x[i]) < 1e-9 for i, v in back.items())
+    p = signal.periodogram(df, "k", "t", "x", size=300, detrend=None).orderBy("bin").collect()
+    assert np.allclose(p[7]["power"], 2 * abs(np.fft.rfft(x)[7]) ** 2 / 300)
+    phase = one(signal.spectrogram(df, "k", "t", "x", width=40, mode="phase").orderBy("segment"), F.col("values"))
+    assert np.abs(np.diff(phase)).max() <= math.pi + 1e-9
+    tilted = df.withColumn("x", F.col("x") + F.col("t"))
+    a, b = (signal.welch(d, "k", "t", "x", width=50, detrend=h).orderBy("bin").collect() for d, h in ((tilted, lambda v: v - np.polyval(np.polyfit(range(50), v, 1), range(50))), (tilted, "linear")))
+    assert np.allclose([r.power for r in a], [r.power for r in b])
+
+
 def test_layers(spark):
     rng = np.random.default_rng(12)
     q, k, v = rng.normal(size=(3, 4)), rng.normal(size=(5, 4)), rng.normal(size=(5, 2))
