@@ -14,7 +14,7 @@ from ..operators import vectors as V
 from ..operators.coordinates import Cells, from_vectors
 from ..operators.frame import Frame, concat, desc
 from ..sources import parquet
-from ..streaming.dataset import Dataset, collate_scalars, windowed_events
+from ..streaming.dataset import Dataset, collate_scalars, collate_vectors, collate_xy, ranked, windowed_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,13 +37,14 @@ def query(name: str, sql: str | None = None):
        FROM lineitem WHERE l_quantity >= 25 GROUP BY 1""",
 )
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(F.col("l_quantity") >= 25)
-    return li.groupBy("l_returnflag").agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.sum("l_extendedprice"), F.lit(0.0)).alias("total"),
-        F.avg("l_discount").alias("avg_disc"),
-        F.when(F.count("l_tax") == 1, 0.0).otherwise(F.stddev_samp("l_tax")).alias("sd_tax"),
-    )
+    spec = {"n": fn.count(), "total": fn.sum(col("l_extendedprice")), "avg_disc": fn.mean(col("l_discount")), "sd_tax": fn.stddev(col("l_tax"))}
+    return _frame(spark, sf_dir, "lineitem").filter(col("l_quantity").gte(25)).group_by("l_returnflag").aggregate(spec).df
+
+
+def erf_sql(x: str) -> str:
+    """erf by its series of positive terms; beyond 6 it is 1 to the last digit."""
+    series = f"2 / sqrt(pi()) * exp(-({x}) * ({x})) * list_sum(list_transform(range(0, 120), lambda n: exp(n * ln(4) + lgamma(n + 1) - lgamma(2 * n + 2)) * pow(({x}), 2 * n + 1)))"
+    return f"(CASE WHEN abs({x}) > 6 THEN sign({x}) ELSE {series} END)"
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,10 +100,15 @@ def nulls(spark, sf_dir):
     return Frame(e).drop_null("event_type").fill_null({"v": -1.0}).drop("event_type").df
 
 
-@query("null_counts", "SELECT 'v' AS name, count(*) FILTER (WHERE event_id % 7 = 0) AS nulls, count(*) AS rows FROM events")
+@query(
+    "null_counts",
+    """SELECT 'event_id' AS name, count(*) FILTER (WHERE event_id IS NULL) AS nulls, count(*) AS rows FROM events
+       UNION ALL SELECT 'v', count(*) FILTER (WHERE event_id % 7 = 0), count(*) FROM events UNION ALL SELECT 'event_type', count(*) FILTER (WHERE event_type IS NULL), count(*) FROM events""",
+)
 def null_counts(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").select(F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v"))
-    return e.agg(F.lit("v").alias("name"), F.count_if(F.col("v").isNull()).alias("nulls"), F.count("*").alias("rows"))
+    e = Frame(_t(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v"), "event_type"))
+    rows = e.length()
+    return spark.createDataFrame([(name, nulls, rows) for name, nulls in e.null_count().items()], "name string, nulls long, rows long")
 
 
 @query(
@@ -140,7 +146,11 @@ def scalar_functions(spark, sf_dir):
     return df.select("p_partkey", *[F.round(c, 8).alias(c) for c in made])
 
 
-@query("erf_gelu")
+@query(
+    "erf_gelu",
+    f"""SELECT event_id, {erf_sql("x")} AS erf, 1 - {erf_sql("x")} AS erfc, 0.5 * x * (1 + {erf_sql("x / sqrt(2)")}) AS gelu,
+        0.5 * x * (1 + tanh(sqrt(2 / pi()) * (x + 0.044715 * x * x * x))) AS gelu_tanh FROM (SELECT event_id, (value - 50) / 25 AS x FROM events)""",
+)
 def erf_gelu(spark, sf_dir):
     x = (F.col("value") - 50) / 25
     return _t(spark, sf_dir, "events").select("event_id", scalar.erf(x).alias("erf"), scalar.erfc(x).alias("erfc"), scalar.gelu(x).alias("gelu"), scalar.gelu_tanh(x).alias("gelu_tanh"))
@@ -166,14 +176,15 @@ def unit_conversion(spark, sf_dir):
 
 # --- joins, grouping, sorting ---
 
-ORDERS = "(SELECT o_orderkey, o_custkey AS key, o_totalprice AS amount FROM orders WHERE o_orderkey % 3 = 0)"
-CUSTOMERS = "(SELECT c_custkey AS key, c_name, c_acctbal AS amount FROM customer WHERE c_custkey % 2 = 0)"
+# keys that are null make rows without a match on either side
+ORDERS = "(SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS key, o_totalprice AS amount FROM orders)"
+CUSTOMERS = "(SELECT CASE WHEN c_custkey % 2 = 0 THEN c_custkey END AS key, c_name, c_acctbal AS amount FROM customer)"
 
 
 def _join(how):
     def run(spark, sf_dir):
-        orders = _t(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("amount"))
-        customers = _t(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), "c_name", F.col("c_acctbal").alias("amount"))
+        orders = _t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).alias("key"), F.col("o_totalprice").alias("amount"))
+        customers = _t(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey")).alias("key"), "c_name", F.col("c_acctbal").alias("amount"))
         return Frame(orders).join(Frame(customers), "key", how).df
 
     return run
@@ -243,16 +254,26 @@ def parquet_filter(spark, sf_dir):
     return parquet.read_parquet(spark, f"{sf_dir}/part.parquet", ["p_partkey", "p_brand", "p_size"], spec)
 
 
-@query("csv_lines")
+@query("csv_lines", "SELECT concat_ws(',', o_orderkey, o_custkey, o_orderstatus, regexp_replace(o_totalprice::VARCHAR, '\\.0$', ''), strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ'), o_orderpriority) AS line FROM orders")
 def csv_lines(spark, sf_dir):
     return _frame(spark, sf_dir, "orders").csv_lines()
 
 
-@query("json_rows")
+@query(
+    "json_rows",
+    """SELECT '{"c_custkey":"' || c_custkey || '","c_name":"' || c_name || '","c_nationkey":' || c_nationkey || ',"c_acctbal":' || c_acctbal || ',"c_mktsegment":"' || c_mktsegment || '"}' AS json FROM customer""",
+)
 def json_rows(spark, sf_dir):
     return _frame(spark, sf_dir, "customer").json_rows()
 
 
+@query("ordered_slice", "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 40 OFFSET 10")
+def ordered_slice(spark, sf_dir):
+    """A slice by the frame's own order, without a sort before."""
+    e = _t(spark, sf_dir, "events").select((-F.col("event_id")).alias("back"), "event_id", "event_type").repartition(7, "event_type")
+    return Frame(e, "back").slice(10, 60).limit(40).drop("back").df
+
+
 # --- datasets ---
 
 
@@ -279,10 +300,49 @@ def dataset_epochs(spark, sf_dir):
     return d.df.groupBy("epoch").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
-@query("dataset_shuffle")
+@query("dataset_shuffle", "SELECT event_id, md5('3:' || event_id) AS place, row_number() OVER (ORDER BY md5('3:' || event_id)) - 1 AS rank FROM events")
 def dataset_shuffle(spark, sf_dir):
     d = Dataset(_t(spark, sf_dir, "events").select("event_id"), "event_id").shuffle(seed=3)
-    return d.df.select("event_id", F.col(d.order)["h"].alias("place"))
+    return ranked(d.df, d.order).select("event_id", F.col(d.order)["h"].alias("place"), "rank")
+
+
+@query(
+    "dataset_shuffled_batches",
+    """SELECT r // 64 AS chunk, count(*)::INT AS n, list(event_id ORDER BY r) AS ids FROM
+       (SELECT event_id, row_number() OVER (ORDER BY epoch, md5((7 + epoch) || ':' || event_id)) - 1 AS r FROM events, (VALUES (0), (1)) e(epoch)) WHERE r >= 100 GROUP BY 1""".replace("r // 64", "(r - 100) // 64"),
+)
+def dataset_shuffled_batches(spark, sf_dir):
+    """Two reshuffled epochs without their first 100 rows, in batches."""
+    d = Dataset(_t(spark, sf_dir, "events").select("event_id"), "event_id").epochs(2, reshuffle_seed=7).drop(100)
+    made = d.batch(64, lambda items: F.transform(items, lambda x: x["event_id"]))
+    return made.select("chunk", F.size("batch").alias("n"), F.col("batch").alias("ids"))
+
+
+@query(
+    "dataset_buffered_shuffle",
+    "SELECT event_id, row_number() OVER (ORDER BY b, md5('5:' || event_id)) - 1 AS rank FROM (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 500 AS b FROM events)",
+)
+def dataset_buffered_shuffle(spark, sf_dir):
+    d = Dataset(_t(spark, sf_dir, "events").select("event_id"), "event_id").shuffle(seed=5, buffer_size=500)
+    return ranked(d.df, d.order).select("event_id", "rank")
+
+
+@query(
+    "dataset_steps",
+    """SELECT r // 50 AS chunk, list(value * 2 ORDER BY event_id) AS ys, list([event_id::DOUBLE, value] ORDER BY event_id) AS xs FROM
+       (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS r FROM events WHERE value > 20) GROUP BY 1""",
+)
+def dataset_steps(spark, sf_dir):
+    """``map``, ``filter`` and the Python steps before batches of inputs and targets."""
+    d = Dataset(_t(spark, sf_dir, "events").select("event_id", "value"), "event_id").filter(F.col("value") > 20)
+    d = d.map({"x": F.array(F.col("event_id").cast("double"), F.col("value"))}).map_concurrent(_doubled, "event_id long, x array<double>, y double", 4)
+    made = d.batch(50, collate_xy("x", "y")).join(d.batch(50, collate_vectors("x")).withColumnRenamed("batch", "matrix"), "chunk")
+    return made.select("chunk", F.col("batch.y").alias("ys"), F.when(F.col("matrix") == F.col("batch.x"), F.col("matrix")).alias("xs"))
+
+
+def _doubled(batches):
+    for pdf in batches:
+        yield pdf.assign(y=pdf["value"] * 2)[["event_id", "x", "y"]]
 
 
 @query("event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
@@ -338,8 +398,7 @@ def cells_gram(spark, sf_dir):
 )
 def cells_reductions(spark, sf_dir):
     cells = from_vectors(_t(spark, sf_dir, "embeddings"), "vec_id", "embedding", (0, 0))
-    parts = [cells.reduce(how, 0).df.withColumnRenamed("v", name) for how, name in (("sum", "total"), ("std", "sd"), ("max", "high"))]
-    return parts[0].join(parts[1], "i0").join(parts[2], "i0")
+    return cells.reduce_many({"total": "sum", "sd": "std", "high": "max"}, 0)
 
 
 @query(
@@ -372,7 +431,8 @@ def statistics(spark, sf_dir):
 @query("percentiles", "SELECT l_linestatus, quantile_cont(l_extendedprice, 0.1) AS p10, quantile_cont(l_extendedprice, 0.95) AS p95, corr(l_quantity, l_extendedprice) AS r FROM lineitem GROUP BY 1")
 def percentiles(spark, sf_dir):
     li = _t(spark, sf_dir, "lineitem")
-    return li.groupBy("l_linestatus").agg(stats.percentile("l_extendedprice", 0.1).alias("p10"), stats.percentile("l_extendedprice", 0.95).alias("p95"), stats.correlation("l_quantity", "l_extendedprice").alias("r"))
+    found = stats.percentiles(li, "l_extendedprice", {"p10": 0.1, "p95": 0.95}, "l_linestatus")
+    return found.join(li.groupBy("l_linestatus").agg(stats.correlation("l_quantity", "l_extendedprice").alias("r")), "l_linestatus")
 
 
 @query("regression", "SELECT l_returnflag, regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept, regr_r2(l_extendedprice, l_quantity) AS r2 FROM lineitem GROUP BY 1")
@@ -411,7 +471,16 @@ def moving_windows(spark, sf_dir):
     return parts.select("event_type", "segment", V.mean(F.col("x")).alias("mean"))
 
 
-@query("welch_power")
+SEGMENTS = """x AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i FROM events),
+       g AS (SELECT event_type, s, i - s * 16 AS k, value FROM x, (VALUES (0), (1)) d(d), LATERAL (SELECT i // 16 - d AS s) WHERE s >= 0),
+       m AS (SELECT event_type, s, avg(value) AS mean FROM g GROUP BY 1, 2 HAVING count(*) = 32),
+       w AS (SELECT g.event_type, g.s, k, (value - mean) * (0.5 - 0.5 * cos(2 * pi() * k / 32)) AS y FROM g JOIN m ON g.event_type = m.event_type AND g.s = m.s),
+       f AS (SELECT event_type, s, bin, sum(y * cos(2 * pi() * bin * k / 32)) AS re, -sum(y * sin(2 * pi() * bin * k / 32)) AS im FROM w, (SELECT unnest(range(0, 17))::INT AS bin) GROUP BY 1, 2, 3)"""
+#: Of the window 0.5 - 0.5 cos(2 pi k / 32): the sum of squares is 12, the sum 16.
+DENSITY = "(CASE WHEN bin IN (0, 16) THEN 1 ELSE 2 END / 12.0::DOUBLE)"
+
+
+@query("welch_power", f"WITH {SEGMENTS} SELECT event_type, bin, bin / 32.0::DOUBLE AS frequency, avg(re * re + im * im) * {DENSITY} AS power FROM f GROUP BY 1, 2")
 def welch_power(spark, sf_dir):
     return signal.welch(_t(spark, sf_dir, "events"), "event_type", "event_id", "value", width=32)
 
@@ -422,7 +491,14 @@ def filtered_series(spark, sf_dir):
     return series.select("user_id", F.size("x").alias("n"), signal.sos_filter(signal.butter(4, 0.2), F.col("x")).alias("low"), F.size(signal.find_peaks(F.col("x"))).alias("peaks"))
 
 
-@query("gradient_descent")
+@query(
+    "gradient_descent",
+    """WITH RECURSIVE d AS (SELECT l_quantity / 50 AS q, l_extendedprice / 50000 AS y FROM lineitem),
+       m AS (SELECT avg(q * q) AS qq, avg(q) AS q, avg(q * y) AS qy, avg(y) AS y FROM d),
+       w(k, a, b, u, v) AS (SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+         UNION ALL SELECT k + 1, a - 0.5 * nu, b - 0.5 * nv, nu, nv FROM (SELECT w.*, 0.5 * u + 2 * (a * qq + b * m.q - qy) AS nu, 0.5 * v + 2 * (a * m.q + b - m.y) AS nv FROM w, m WHERE k < 20))
+       SELECT avg((d.q * a + b - d.y) * (d.q * a + b - d.y)) AS loss, count(*) AS rows FROM d, (SELECT a, b FROM w WHERE k = 20)""",
+)
 def gradient_descent(spark, sf_dir):
     li = _t(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 50).alias("q"), (F.col("l_extendedprice") / 50_000).alias("y"))
     w = training.fit(li, ["q"], "y", training.SGD(0.5, momentum=0.5), rounds=20)
