@@ -77,6 +77,73 @@ def test_media_round_trip(docs):
             assert r.media_sha256 == hashlib.sha256(files[i]).hexdigest() and r.media_bytes == len(files[i])
 
 
+def plain_frame(samples):
+    """A frame of flat blocks, byte by byte and bit by bit: levels as differences, each ended by the one AC symbol."""
+    lengths, code, table = media.DC_COUNTS, 0, {}
+    size = iter(range(12))
+    for n, count in enumerate(lengths, 1):
+        for _ in range(count):
+            table[next(size)] = f"{code:0{n}b}"
+            code += 1
+        code *= 2
+    bits, last = "", 0
+    for level in (v - 128 for v in samples):
+        d = level - last
+        last = level
+        n = abs(d).bit_length()
+        bits += table[n] + (f"{d if d > 0 else d + 2**n - 1:0{n}b}" if n else "") + "0"
+    bits += "1" * (-len(bits) % 8)
+    coded = bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+    part = lambda marker, body: b"\xff" + bytes([marker]) + (len(body) + 2).to_bytes(2, "big") + body
+    head = b"\xff\xd8" + part(0xDB, b"\0" + b"\x08" * 64) + part(0xC0, bytes([8, 0, 24, 2, 0, 1, 1, 0x11, 0]))
+    head += part(0xC4, bytes([0, *lengths, *range(12)])) + part(0xC4, bytes([16, 1, *[0] * 16])) + part(0xDA, bytes([1, 1, 0, 0, 63, 0]))
+    return head + coded + b"\xff\xd9"
+
+
+def plain_file(frames):
+    word = lambda *v: b"".join(int(x).to_bytes(4, "little") for x in v)
+    half = lambda *v: b"".join(int(x).to_bytes(2, "little") for x in v)
+    box = lambda name, body: name + word(len(body)) + body + b"\0" * (len(body) % 2)
+    most, n = max(map(len, frames)), len(frames)
+    header = box(b"avih", word(40_000, most * 25, 0, 16, n, 0, 1, most, 512, 24, 0, 0, 0, 0))
+    stream = box(b"strh", b"vidsMJPG" + word(0) + half(0, 0) + word(0, 1, 25, 0, n, most, 2**32 - 1, 0) + half(0, 0, 512, 24))
+    stream += box(b"strf", word(40, 512, 24) + half(1, 24) + b"MJPG" + word(512 * 24 * 3, 0, 0, 0, 0))
+    movie, index = b"movi", b""
+    for f in frames:
+        index += b"00dc" + word(16, len(movie), len(f))
+        movie += box(b"00dc", f)
+    return box(b"RIFF", b"AVI " + box(b"LIST", b"hdrl" + header + box(b"LIST", b"strl" + stream)) + box(b"LIST", movie) + box(b"idx1", index))
+
+
+def plain_feature(frames):
+    """Shots by loops: half the L1 distance of histograms against the mean and deviation of up to 8 neighbours on either side."""
+    shares = [[sum(v // 8 == b for v in f) / len(f) for b in range(32)] for f in frames]
+    d = [0.0, *[sum(abs(x - y) for x, y in zip(p, q)) / 2 for p, q in zip(shares, shares[1:])]]
+    cuts = [0]
+    for i in range(1, len(d)):
+        near = [d[j] for j in range(max(1, i - 8), min(len(d), i + 9)) if j != i] or [0.0]
+        mean = sum(near) / len(near)
+        spread = max(0.0, sum(x * x for x in near) / len(near) - mean * mean) ** 0.5
+        if d[i] > mean + 3 * spread + 0.05 and all(d[i] >= d[j] for j in range(max(0, i - 2), min(len(d), i + 3))):
+            cuts.append(i)
+    return f"{len(frames)}:{','.join(map(str, cuts))}"
+
+
+def test_stored_files_against_a_plain_writer(docs, spark):
+    rng = random.Random(8)
+    scenes = ["".join(rng.choice(letters) for _ in range(192 * n)) for letters, n in (("abc ", 7), ("XYZ!", 5), ("0123", 1), ("éüß", 6), ("abc ", 4))]
+    rows = [*texts(docs), (1000, "".join(scenes)), (1001, "x" * 192 * 3), (1002, "a" * 191 + "é")]
+    got = {(r.doc_id, r.media_sha256): r for r in media.stored_features(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        raw = t.encode()
+        raw += b" " * (192 - len(raw) if len(raw) <= 192 else -len(raw) % 192)
+        pieces = [raw[k : k + 192] for k in range(0, len(raw), 192)]
+        file = plain_file([plain_frame(p) for p in pieces])
+        r = got[i, hashlib.sha256(file).hexdigest()]
+        assert r.media_bytes == len(file) and r.feature == plain_feature(pieces)
+    assert any("," in r.feature for r in got.values())
+
+
 def jpeg(coefficients, interval=0):
     """A plain baseline encoder for tests: bits as text, one component, code of 8 bits for every symbol."""
     symbols = [0x00, 0xF0, *[r << 4 | s for r in range(3) for s in range(1, 9)]]

@@ -479,6 +479,8 @@ def test_secrets(spark):
     got = {r.doc_id: [f"{s.kind}:{s.start}:{s.end}" for s in r.secrets] for r in secret_scan.scan(df, field).collect()}
     for i, t in rows:
         assert [s for s in got[i] if not s.startswith("crf")] == brute_base(t or "")
+    twice = secret_scan.scan(df.where("doc_id < 12").union(df.where("doc_id < 12")).repartition(3), field).collect()
+    assert len(twice) == 24 and all([f"{s.kind}:{s.start}:{s.end}" for s in r.secrets] == got[r.doc_id] for r in twice)
     clean = {r.doc_id: r for r in secret_scan.redact(df, field).collect()}
     assert clean[900].text is None and "[SECRET]" in clean[903].text and clean[903].n_chars == len(clean[903].text) and len(clean) == len(rows)
     assert not any(brute_base(r.text or "") for r in clean.values())
