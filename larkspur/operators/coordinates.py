@@ -326,6 +326,29 @@ class Cells:
         ends = np.cumsum(sizes).tolist()
         return [self.slice(axis, end - size, end) for end, size in zip(ends, sizes)]
 
+    def at(self, *index: int) -> float | None:
+        """Value of one cell, negative places from the end; None where there is no such cell."""
+        where = [range(n)[i] for n, i in zip(self.shape, index, strict=True)]
+        df = self.df
+        for a, i in zip(self.axes, where):
+            df = df.where(F.col(a) == i)
+        row = df.select("v").first()
+        return None if row is None else row["v"]
+
+    def item(self) -> float:
+        """The only value."""
+        if prod(self.shape) != 1:
+            raise ValueError(f"{prod(self.shape)} values")
+        return self.df.select("v").first()["v"]
+
+    def to_array(self, most: int = 1_000_000) -> np.ndarray:
+        """All values on the driver, absent cells as 0; more than ``most`` raise."""
+        if prod(self.shape) > most:
+            raise ValueError(f"{prod(self.shape)} cells; the most is {most}")
+        table, out = self.df.toArrow(), np.zeros(self.shape)
+        out[tuple(table[a].to_numpy() for a in self.axes)] = table["v"].to_numpy()
+        return out
+
     def frobenius(self) -> float:
         return self.df.agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0]
 

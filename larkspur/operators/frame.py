@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -249,6 +249,13 @@ class GroupBy:
         return Frame(self.frame.df.groupBy(*self.keys).agg(*made))
 
 
+def from_arrow(spark: SparkSession, table: pa.Table, order: str | None = None) -> Frame:
+    """A frame of an Arrow table; with ``order``, a column of that name numbers its rows."""
+    if order is not None:
+        table = table.append_column(order, pa.array(range(table.num_rows), pa.int64()))
+    return Frame(spark.createDataFrame(table), order)
+
+
 def concat(frames: Sequence[Frame]) -> Frame:
     """All rows of all frames; names must match in order, the first frame's types hold."""
     if not frames:

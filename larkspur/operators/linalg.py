@@ -6,9 +6,11 @@ solved where it lies.  What is large (the rows of a design matrix, the cells of
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .coordinates import Cells
@@ -43,18 +45,25 @@ def principal_axes(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.nd
     return np.sqrt(np.maximum(values[::-1], 0)), vectors[:, ::-1]
 
 
-def power_iteration(matrix: Cells, rounds: int = 1000, tolerance: float = 1e-10) -> tuple[float, DataFrame]:
-    """Dominant eigenvalue and vector ``(i0, v)``; each round is a join and a sum, cut by a checkpoint every ten."""
+def power_iteration(matrix: Cells | Callable[[DataFrame], DataFrame], rounds: int = 1000, tolerance: float = 1e-10, size: int | None = None) -> tuple[float, DataFrame]:
+    """Dominant eigenvalue and vector ``(i0, v)``; each round is a join and a sum, cut by a checkpoint every ten.
+
+    In place of a matrix there may be a function from a vector ``(i0, v)`` to its product, with the
+    vectors' ``size``.
+    """
     from pyspark import StorageLevel
 
-    n = matrix.shape[0]
-    spark = matrix.df.sparkSession
-    x = spark.range(n).select(F.col("id").alias("i0"), (1.0 / (F.col("id") + 1)).alias("v"))
+    if isinstance(matrix, Cells):
+        size, spark = matrix.shape[0], matrix.df.sparkSession
+        cells = matrix.df.persist(StorageLevel.MEMORY_AND_DISK)
+        product = lambda x: cells.join(x.select(F.col("i0").alias("i1"), F.col("v").alias("w")), "i1").groupBy("i0").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    else:
+        product, spark = matrix, SparkSession.active()
+    x = spark.range(size).select(F.col("id").alias("i0"), (1.0 / (F.col("id") + 1)).alias("v"))
     norm = x.agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0]
     x, value = x.withColumn("v", F.col("v") / norm), 0.0
-    cells = matrix.df.persist(StorageLevel.MEMORY_AND_DISK)
     for k in range(rounds):
-        y = cells.join(x.select(F.col("i0").alias("i1"), F.col("v").alias("w")), "i1").groupBy("i0").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+        y = product(x)
         y = y.checkpoint() if k % 10 == 9 and spark.sparkContext.getCheckpointDir() else y.persist(StorageLevel.MEMORY_AND_DISK)
         norm, new = y.join(x.withColumnRenamed("v", "w"), "i0", "left").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))), F.sum(F.col("v") * F.coalesce("w", F.lit(0.0)))).first()
         if not norm:

@@ -365,6 +365,11 @@ def coherence(df: DataFrame, key: str, time: str, one: str, two: str, *, width:
     return mean.select(key, "bin", (F.col("bin") * (rate / width)).alias("frequency"), (F.col("re") * scale).alias("cross_re"), (F.col("im") * scale).alias("cross_im"), F.expr("(re * re + im * im) / nullif(xx * yy, 0)").alias("coherence"))
 
 
+def csd(df: DataFrame, key: str, time: str, one: str, two: str, *, width: int = 256, overlap: int | None = None, rate: float = 1.0, window="hann") -> DataFrame:
+    """``(key, bin, frequency, cross_re, cross_im)``: mean of the conjugate of one column's spectrum times the other's."""
+    return coherence(df, key, time, one, two, width=width, overlap=overlap, rate=rate, window=window).drop("coherence")
+
+
 def unwrapped(angles: Column) -> Column:
     """Angles of a vector without jumps of more than half a turn."""
     turn = 2 * np.pi

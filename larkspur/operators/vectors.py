@@ -137,10 +137,10 @@ def roll(v: Column, shift: int) -> Column:
     return F.concat(F.slice(v, s + 1, F.size(v)), F.slice(v, F.lit(1), s))
 
 
-def unfold(v: Column, width: int) -> Column:
-    """All windows of ``width`` neighbours."""
-    last = F.size(v) - width
-    return F.when(last < 0, F.array().cast("array<array<double>>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice(v, i + 1, F.lit(width))))
+def unfold(v: Column, width: int, step: int = 1) -> Column:
+    """Windows of ``width`` neighbours, ``step`` apart."""
+    last = F.floor((F.size(v) - width) / step).cast("int")
+    return F.when(last < 0, F.array().cast("array<array<double>>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice(v, i * step + 1, F.lit(width))))
 
 
 def pad(v: Column, before: int, after: int, value: float = 0.0) -> Column:

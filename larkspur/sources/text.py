@@ -26,11 +26,12 @@ def find_types(cells: DataFrame) -> dict[str, str]:
 
 
 def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
-    """Files with a header; quoted cells may hold commas, line ends and doubled quotes.  A ragged row raises when it is read, an odd number of quotes before."""
-    quotes = spark.read.text(path).agg(F.sum(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))).first()[0] or 0
-    if quotes % 2:
+    """Files with a header; quoted cells may hold commas, line ends and doubled quotes.  A ragged row raises when it is read, an odd number of quotes before.  Files stay splittable unless a cell holds a line end."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    counted = spark.read.text(path).agg(F.coalesce(F.sum(quotes), F.lit(0)).alias("all"), F.count_if(quotes % 2 == 1).alias("open")).first()
+    if counted["all"] % 2:
         raise ValueError("a quote isn't closed")
-    cells = spark.read.csv(path, header=True, multiLine=quotes > 0, quote='"', escape='"', mode="FAILFAST", inferSchema=False)
+    cells = spark.read.csv(path, header=True, multiLine=counted["open"] > 0, quote='"', escape='"', mode="FAILFAST", inferSchema=False)
     if not infer:
         return cells
     kinds = find_types(cells)

@@ -10,6 +10,7 @@ from larkspur.functions.windows import ALIASES, FAMILIES, get_window
 from larkspur.operators import graph, image, linalg, signal, stats, training
 from larkspur.operators import vectors as V
 from larkspur.operators.coordinates import Cells, arange, concat, full, random_integers, random_normal, stack, to_vectors
+from larkspur.operators.frame import from_arrow
 from larkspur.operators.ranges import running
 from larkspur.sources import binary, lazy, parquet, text
 from larkspur.streaming.dataset import Dataset, collate_vectors, ranked
@@ -273,6 +274,31 @@ def test_more_cells(spark):
         c.split([1, 1], 1)
 
 
+def test_cells_to_the_driver(spark):
+    x = np.arange(12.0).reshape(3, 4)
+    c = cells(spark, x)
+    assert c.at(1, -1) == 7 and c.where(c, c).slice(0, 0, 2).at(1, 2) == 6 and (c.to_array() == x).all()
+    assert c.reduce("sum").item() == 66 and Cells(c.df.where("v > 5"), (3, 4)).at(0, 0) is None
+    with pytest.raises(ValueError):
+        c.item()
+    with pytest.raises(ValueError):
+        c.to_array(most=5)
+    assert one(vec(spark, range(7)), V.unfold(F.col("v"), 3, 2)) == [[0, 1, 2], [2, 3, 4], [4, 5, 6]]
+
+
+def test_power_iteration_of_a_function(spark):
+    scaled = lambda x: x.withColumn("v", F.col("v") * (F.col("i0") + 1))
+    value, vector = linalg.power_iteration(scaled, rounds=60, tolerance=1e-6, size=4)
+    assert value == pytest.approx(4, rel=1e-3) and vector.orderBy(F.desc(F.abs("v"))).first()["i0"] == 3
+
+
+def test_frames_of_arrow_tables(spark):
+    import pyarrow as pa
+
+    f = from_arrow(spark, pa.table({"name": ["b", None, "a"], "n": pa.array([3, None, 1], pa.int16())}), "row")
+    assert f.columns == ["name", "n", "row"] and [r.name for r in f.slice(1).df.collect()] == [None, "a"]
+
+
 def test_units_and_formulas_of_two(spark):
     assert units.unit("yd").factor == pytest.approx(0.9144) and units.unit("oz").factor * 16 == pytest.approx(units.unit("lb").factor)
     for text_ in ("kmin", "mft", "kyd", "nothing"):
