@@ -22,9 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranges import range_of, range_starts
 from .common import U64, mix64, seeds, slabs
 
 SAMPLES = 128
@@ -146,15 +147,6 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col), find(F.coalesce(F.col(text_col), F.lit(""))).alias("fingerprint"))
 
 
-def range_of(key: Column, starts: list[Column]) -> Column:
-    """How many of the sorted ``starts`` are not above ``key``: blocks of them first, then within one."""
-    side = max(1, math.isqrt(len(starts)))
-    blocks = [starts[i : i + side] for i in range(0, len(starts), side)]
-    block = F.size(F.filter(F.array(*[b[0] for b in blocks]), lambda c: c <= key))
-    inside = F.element_at(F.array(*[F.array(*b) for b in blocks]), F.greatest(block, F.lit(1)))
-    return F.when(block == 0, 0).otherwise((block - 1) * side + F.size(F.filter(inside, lambda c: c <= key)))
-
-
 def with_next(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """Rows ``(part, loan, id, text)`` in ranges of about ``size`` rows, such that the row after any row is in its own range.
 
@@ -165,23 +157,17 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.struct("id", F.xxhash64("text").alias("h")))
-    n = max(1, math.ceil(docs.count() / size))
-    ranged = rows.select("key").repartitionByRange(n, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("low"))
-    lows = [r["low"] for r in ranged.orderBy("low").collect()]
-    kind = rows.schema["key"].dataType.simpleString()
-    keys = [F.struct(F.lit(k["id"]).alias("id"), F.lit(k["h"]).alias("h")).cast(kind) for k in lows]
-    starts = keys[1:]
-    part = range_of(F.col("key"), starts) if starts else F.lit(0)
-    rows = rows.withColumn("part", part.cast("int"))
-    loans = [F.when(F.col("key").eqNullSafe(keys[0]), len(starts))] if keys else []
-    if starts:
-        first = F.col("key").eqNullSafe(F.element_at(F.array(*starts), F.greatest(F.col("part"), F.lit(1))))
+    starts = range_starts(rows, "key", math.ceil(docs.count() / size))
+    rows = rows.withColumn("part", range_of(F.col("key"), starts).cast("int"))
+    loans = [F.when(F.col("key").eqNullSafe(starts[0]), len(starts) - 1)] if starts else []
+    if len(starts) > 1:
+        first = F.col("key").eqNullSafe(F.element_at(F.array(*starts), F.col("part") + 1))
         loans.append(F.when(first & (F.col("part") > 0), F.col("part") - 1))
     before = F.coalesce(*loans, F.lit(None).cast("int"))
     own = F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("loan")))
     at = F.when(before.isNotNull(), F.concat(own, F.array(F.struct(before.cast("int").alias("part"), F.lit(1).alias("loan"))))).otherwise(own)
     each = rows.select("key", "text", F.explode(at).alias("at")).select("at.part", "at.loan", "key", "text")
-    dealt = each.repartitionById(len(starts) + 1, F.col("part")).sortWithinPartitions("part", "loan", "key", "text")
+    dealt = each.repartitionById(max(1, len(starts)), F.col("part")).sortWithinPartitions("part", "loan", "key", "text")
     return dealt.select("part", "loan", "key.id", "text")
 
 
