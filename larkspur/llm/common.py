@@ -7,6 +7,7 @@ import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 
@@ -32,6 +33,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``left`` joined to ``right``, which has a row a key and in ``weight`` how many rows of ``left`` have it.
+
+    Keys with more rows than a quarter of a fair partition (fewer than four times as many as there are
+    partitions) are sent to all tasks, so that their rows stay where they are; all others are shuffled on.
+    """
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    right = checkpointed(right)
+    least = max(1000, (right.agg(F.sum(weight)).first()[0] or 0) // (4 * parts))
+    hot, cold = right.where(F.col(weight) > least), right.where(F.col(weight) <= least)
+    if hot.isEmpty():
+        return left.join(right, keys)
+    hot = F.broadcast(hot)
+    return left.join(hot, keys).unionByName(left.join(hot, keys, "left_anti").join(cold, keys))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64: spreads every input bit over all output bits."""
     x = x.astype(U64, copy=True)

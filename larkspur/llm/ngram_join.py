@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, checkpointed, mix64, seeds, slabs
+from .common import U64, checkpointed, mix64, seeds, slabs, spread_join
 from .graph import components
 
 #: Members of a component, and n-grams of theirs, that one side of a verification task holds (a text of more n-grams is a side of its own).
@@ -235,9 +235,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, threshold:
         counted = counted.join(split.select("s1", F.lit(True).alias("several")).distinct(), "s1", "left").withColumn("several", F.coalesce("several", F.lit(False)))
         counted = counted.join(whole, "s1", "left").select("s1", "s2", "links", F.coalesce("class", alone).alias("root"), F.coalesce("whole_rep", "class_rep").alias("class_rep"))
     named_sets = sets.join(counted, ["s1", "s2"], "left").select(
-        "s1", "s2", F.coalesce("root", "s1").alias("class"), F.coalesce("class_rep", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "s1", "s2", "copies", F.coalesce("root", "s1").alias("class"), F.coalesce("class_rep", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    out = some.select("id", "twin", "s1", "s2").join(named_sets, ["s1", "s2"]).select("id", "twin", "class", "class_id", "n_links")
+    out = spread_join(some.select("id", "twin", "s1", "s2"), named_sets, ["s1", "s2"], "copies").select("id", "twin", "class", "class_id", "n_links")
     blank = sig.where("n = 0").select("id", "twin", F.lit(None).cast("long").alias("class"), F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.union(blank)
 
@@ -280,8 +280,8 @@ def keep_one(
     """
     found = checkpointed(_classes(docs, id_col, text_col, width, threshold, recall, hash_budget, block).where("class IS NOT NULL").select("id", "twin", "class"))
     place = F.struct(F.col("id").isNull().alias("nameless"), "id", "twin")
-    kept = found.groupBy("class").agg(F.min(place).alias("kept"))
-    rows = found.groupBy("class", "id", "twin").agg(F.count("*").alias("n")).join(kept, "class")
+    kept = found.groupBy("class").agg(F.min(place).alias("kept"), F.count("*").alias("size"))
+    rows = spread_join(found.groupBy("class", "id", "twin").agg(F.count("*").alias("n")), kept, ["class"], "size")
     # what to do with the rows of an id and text: 0 rows go, but one of them, or all of them
     known = rows.select(F.col("id").alias("__id"), F.col("twin").alias("__twin"), (place != F.col("kept")).alias("__gone"), "n").where("__gone OR n > 1").drop("n")
     twin = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))

@@ -10,6 +10,7 @@ import regex
 from pyspark.sql import functions as F
 
 from larkspur.llm import fingerprints, graph, langid, mixing, ngram_join, secret_scan, suffix_dedup, url_filter
+from larkspur.llm.common import spread_join
 
 
 def word_sets(rows):
@@ -88,6 +89,23 @@ def test_bands_reach_their_recall():
         assert bands * rows <= 256 and 1 - (1 - threshold**rows) ** bands >= recall
 
 
+def test_joins_of_hot_keys(spark):
+    left = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 500).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    got = spread_join(left, right, ["k"], "n").collect()
+    tops = {r.k: r.top for r in right.collect()}
+    assert sorted(r.id for r in got) == list(range(9000)) and all(r.top == tops[r.k] for r in got)
+
+
+def test_near_duplicates_of_a_hot_text(spark):
+    hot = "one text that a third of all rows have in common, again and again"
+    rows = [(i, hot if i % 2 else f"row {i} has words of its own, numbers {i * 7} and {i * 11} among them") for i in range(4400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(df).collect()}
+    assert all(got[i] == ((1, 2199) if i % 2 else (i, 0)) for i, _ in rows)
+    assert sorted(r.doc_id for r in ngram_join.keep_one(df).collect()) == sorted({1, *range(0, 4400, 2)})
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 101), (200, 200)]
     got = {r.node: r.comp for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
