@@ -266,7 +266,7 @@ def unwrapped_phase(spark, sf_dir):
 # --- graphs and running sums ---
 
 
-@query("graph_offsets", "SELECT src, degree, sum(degree) OVER (ORDER BY src) - degree AS \"offset\" FROM (SELECT l_partkey AS src, count(DISTINCT l_suppkey)::INT AS degree FROM lineitem GROUP BY 1)")
+@query("graph_offsets", "SELECT src, degree, (sum(degree) OVER (ORDER BY src) - degree)::BIGINT AS \"offset\" FROM (SELECT l_partkey AS src, count(DISTINCT l_suppkey)::INT AS degree FROM lineitem GROUP BY 1)")
 def graph_offsets(spark, sf_dir):
     edges = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).agg(F.sum("l_quantity").alias("weight"))
     return graph.with_offsets(graph.adjacency(edges).select("src", "degree"))
