@@ -148,12 +148,12 @@ def scalar_functions(spark, sf_dir):
 
 @query(
     "erf_gelu",
-    f"""SELECT event_id, {erf_sql("x")} AS erf, 1 - {erf_sql("x")} AS erfc, 0.5 * x * (1 + {erf_sql("x / sqrt(2)")}) AS gelu,
+    f"""SELECT event_id, {erf_sql("x")} AS erf, round(greatest(1 - {erf_sql("x")}, 0), 9) AS erfc, 0.5 * x * (1 + {erf_sql("x / sqrt(2)")}) AS gelu,
         0.5 * x * (1 + tanh(sqrt(2 / pi()) * (x + 0.044715 * x * x * x))) AS gelu_tanh FROM (SELECT event_id, (value - 50) / 25 AS x FROM events)""",
 )
 def erf_gelu(spark, sf_dir):
     x = (F.col("value") - 50) / 25
-    return _t(spark, sf_dir, "events").select("event_id", scalar.erf(x).alias("erf"), scalar.erfc(x).alias("erfc"), scalar.gelu(x).alias("gelu"), scalar.gelu_tanh(x).alias("gelu_tanh"))
+    return _t(spark, sf_dir, "events").select("event_id", scalar.erf(x).alias("erf"), F.round(scalar.erfc(x), 9).alias("erfc"), scalar.gelu(x).alias("gelu"), scalar.gelu_tanh(x).alias("gelu_tanh"))
 
 
 @query(
