@@ -92,11 +92,12 @@ def judge(
     label = F.when(F.col("given") == "block", 1).when(F.col("given") == "allow", 0)
     sums = ("n", "labelled", "blocked")
     tree = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count(label).alias("labelled"), F.coalesce(F.sum(label), F.lit(0)).alias("blocked"))
+    tree = checkpointed(tree)  # each level reads it several times
     prior = tree.agg(((F.coalesce(F.sum("blocked"), F.lit(0)) + 1) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2)).alias("share")).scalar()
     deepest = tree.agg(F.max(F.size("shape"))).first()[0] or 0
     tree = tree.withColumn("template", F.lit(""))
     for level in range(1, deepest + 1):
-        if level > 2:  # each level reads the one before three times
+        if level > 2:
             tree = checkpointed(tree)
         # paths that ended before have templates of fewer segments than any that goes on
         going = tree.where(F.size("shape") >= level - 1)
