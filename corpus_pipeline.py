@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import bpe_codec, langid, mixing, ngram_join, secret_scan
-from larkspur.llm.common import checkpoint_folder
+from larkspur.sources.shared import shared_folder
 
 #: SQL can express none of the first three stages and the last (models, MinHash, BPE): tests/llm hold them against plain versions.
 ORACLE_SQL = None
@@ -58,7 +58,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

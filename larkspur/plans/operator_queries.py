@@ -13,13 +13,12 @@ from ..operators import graph, signal, stats, training
 from ..operators.frame import Frame
 from ..operators.ranges import running
 from ..sources import binary, lazy, parquet, text
+from ..sources.shared import shared_folder
 from .registry import SEGMENTS, _frame, _t, query
 
 
 def _folder(spark) -> str:
-    """A new folder where all tasks can write: the session's checkpoint folder, or the warehouse."""
-    top = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top}/larkspur-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/larkspur-{uuid.uuid4().hex}"
 
 
 # --- series and expressions ---
@@ -41,7 +40,10 @@ def series_steps(spark, sf_dir):
     return out
 
 
-@query("series_values", "SELECT i0, v, v AS third FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i0, value AS v FROM events)".replace("v AS third", "(SELECT value FROM events ORDER BY event_id OFFSET 3 LIMIT 1) AS third"))
+@query(
+    "series_values",
+    "SELECT row_number() OVER (ORDER BY event_id) - 1 AS i0, value AS v, (SELECT value FROM events ORDER BY event_id OFFSET 3 LIMIT 1) AS third FROM events",
+)
 def series_values(spark, sf_dir):
     s = _frame(spark, sf_dir, "events", "event_id").get_series("value")
     return s.to_tensor().df.withColumn("third", F.lit(s.get(3)))
@@ -155,7 +157,7 @@ def fitted_models(spark, sf_dir):
 # --- files ---
 
 
-@query("parquet_round_trip", "SELECT o_orderkey, o_orderpriority, o_orderdate FROM orders WHERE o_totalprice > 250000 AND o_orderkey % 3 = o_orderkey % 3")
+@query("parquet_round_trip", "SELECT o_orderkey, o_orderpriority, o_orderdate FROM orders WHERE o_totalprice > 250000")
 def parquet_round_trip(spark, sf_dir):
     folder = _folder(spark)
     parquet.write_parquet(_t(spark, sf_dir, "orders"), folder, compression="zstd")
@@ -204,9 +206,6 @@ def _read_orders(file: str, wanted: list[str]):
 
 # --- signals ---
 
-PAIR_SQL = SEGMENTS.replace("x AS", "x1 AS").replace("FROM x,", "FROM x1,")
-
-
 @query(
     "cross_spectra",
     """WITH x AS (SELECT event_type, value AS p, value * value / 100 + event_id % 7 AS q, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i FROM events),

@@ -308,8 +308,8 @@ def dataset_shuffle(spark, sf_dir):
 
 @query(
     "dataset_shuffled_batches",
-    """SELECT r // 64 AS chunk, count(*)::INT AS n, list(event_id ORDER BY r) AS ids FROM
-       (SELECT event_id, row_number() OVER (ORDER BY epoch, md5((7 + epoch) || ':' || event_id)) - 1 AS r FROM events, (VALUES (0), (1)) e(epoch)) WHERE r >= 100 GROUP BY 1""".replace("r // 64", "(r - 100) // 64"),
+    """SELECT (r - 100) // 64 AS chunk, count(*)::INT AS n, list(event_id ORDER BY r) AS ids FROM
+       (SELECT event_id, row_number() OVER (ORDER BY epoch, md5((7 + epoch) || ':' || event_id)) - 1 AS r FROM events, (VALUES (0), (1)) e(epoch)) WHERE r >= 100 GROUP BY 1""",
 )
 def dataset_shuffled_batches(spark, sf_dir):
     """Two reshuffled epochs without their first 100 rows, in batches."""

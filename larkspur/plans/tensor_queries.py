@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -247,8 +248,6 @@ SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: e[i] * (i % 3 - 1
 
 @query("layers", LAYERS_SQL)
 def layers(spark, sf_dir):
-    import numpy as np
-
     e = F.col("e")
     placed = lambda v: V.total(F.transform(v, lambda x, i: x * (i + 1)))
     weight = np.array([[(i + 1) % 3 - 1.0 for i in range(64)]])
@@ -260,10 +259,10 @@ def layers(spark, sf_dir):
 
 @query(
     "image_resize",
-    """SELECT vec_id, [e[1 + y * 16 + x * 2] FOR y IN range(0, 4) FOR x IN range(0, 4)] IS NOT NULL AS whole,
+    """SELECT vec_id, len(e) = 64 AS whole,
        list_sum(list_transform(range(0, 16), lambda k: e[(2 * (k // 4) + 1) * 8 + 2 * (k % 4) + 1 + 1] * (k + 1))) AS nearest,
        list_sum(list_transform(range(0, 16), lambda k: (k + 1) * (e[16 * (k // 4) + 2 * (k % 4) + 1] + e[16 * (k // 4) + 2 * (k % 4) + 2] + e[16 * (k // 4) + 8 + 2 * (k % 4) + 1] + e[16 * (k // 4) + 8 + 2 * (k % 4) + 2]) / 4)) AS bilinear
-       FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)""".replace("[e[1 + y * 16 + x * 2] FOR y IN range(0, 4) FOR x IN range(0, 4)] IS NOT NULL", "len(e) = 64"),
+       FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)""",
 )
 def image_resize(spark, sf_dir):
     e = F.col("embedding").cast("array<double>")
