@@ -19,29 +19,41 @@ from larkspur.sources.shared import shared_folder
 #: SQL can express none of the first three stages and the last (models, MinHash, BPE): tests/llm hold them against plain versions.
 ORACLE_SQL = None
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sends texts to Python 4 MB at a time, so that the workers of small executors hold few of them (``run`` puts the setting back)."""
+    spark.conf.set(BATCH, 4 << 20)
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents without a letter, those whose best language has a score below one half, and those whose words are unlike that language's (``langid.checked``)."""
+    small_batches(spark)
     return langid.keep_known(docs, langid.fit(docs), least=0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, the one of least id, of each class of texts linked by a Jaccard similarity of 0.8 or more on five-word n-grams."""
+    small_batches(spark)
     return ngram_join.keep_one(docs, width=5, threshold=0.8, recall=0.9999)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts a mark in place of each secret; no document goes."""
+    small_batches(spark)
     return secret_scan.redact(docs, secret_scan.fit(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Returns each document as often as the mix takes it: up to three times, or not at all."""
+    small_batches(spark)
     return mixing.apply_mix(docs, weights=(5, 2, 1), max_epochs=3)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text (little-endian unsigned 32-bit), their number, and digests of ids and decoded text."""
+    small_batches(spark)
     coded = bpe_codec.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
     return coded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
@@ -58,9 +70,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", spark.conf.get(BATCH)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    try:
+        for name, stage in STAGES:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+    finally:
+        spark.conf.set(BATCH, before)
     return docs
