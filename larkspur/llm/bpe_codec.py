@@ -151,9 +151,10 @@ def _run(docs, path, id_col, text_col, columns, what) -> DataFrame:
         tool = codec(path)
         for pdf in batches:
             texts = pdf["text"].tolist()
-            for a, b in slabs(texts, 4_000_000):
+            for a, b in slabs(texts, 1_000_000):
                 got = [what(*tool.encode(t)) for t in texts[a:b]]
                 yield pd.DataFrame({"id": pdf["id"].iloc[a:b].reset_index(drop=True)} | dict(zip(names, map(list, zip(*got)))))
+        tool.store, tool.before = {}, {}  # a worker that goes on to other work holds no words
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInPandas(run, f"id {kind}, {columns}").withColumnRenamed("id", id_col)

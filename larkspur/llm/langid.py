@@ -131,7 +131,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         for pdf in batches:
             for lang, part in pdf.groupby("lang"):
                 texts = part["text"].tolist()
-                for a, b in slabs(texts, 10 * SLAB):
+                for a, b in slabs(texts, 4 * SLAB):
                     seen: Counter = Counter()
                     for found in words_of(texts[a:b]):
                         seen.update(found)

@@ -102,7 +102,7 @@ def test_encoding_stage_is_the_library(spark, docs):
 
 def test_run_applies_all_stages(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and got.count() > 10
-    assert got.where(F.col("n_tokens") == 0).isEmpty() and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+    assert got.where(F.col("n_tokens") == 0).isEmpty() and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == batch
