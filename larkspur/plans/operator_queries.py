@@ -215,12 +215,12 @@ def _read_orders(file: str, wanted: list[str]):
              sum((q - mq) * h * cos(2 * pi() * bin * k / 32)) AS c, -sum((q - mq) * h * sin(2 * pi() * bin * k / 32)) AS d
              FROM (SELECT *, 0.5 - 0.5 * cos(2 * pi() * k / 32) AS h FROM g) g JOIN m ON g.event_type = m.event_type AND g.s = m.s, (SELECT unnest(range(0, 17))::INT AS bin) GROUP BY 1, 2, 3),
        r AS (SELECT event_type, bin, avg(a * c + b * d) AS re, avg(a * d - b * c) AS im, avg(a * a + b * b) AS xx, avg(c * c + d * d) AS yy, CASE WHEN bin IN (0, 16) THEN 1 ELSE 2 END / 12.0::DOUBLE AS scale FROM f GROUP BY 1, 2)
-       SELECT event_type, bin, bin / 32.0::DOUBLE AS frequency, round(re * scale, 4) AS cross_re, round(im * scale, 4) AS cross_im, round((re * re + im * im) / (xx * yy), 6) AS coherence FROM r WHERE bin > 0""",
+       SELECT event_type, bin, bin / 32.0::DOUBLE AS frequency, round(re * scale, 4) + 0 AS cross_re, round(im * scale, 4) + 0 AS cross_im, round((re * re + im * im) / (xx * yy), 6) AS coherence FROM r WHERE bin > 0""",
 )
 def cross_spectra(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select("event_type", "event_id", F.col("value").alias("p"), (F.col("value") * F.col("value") / 100 + F.col("event_id") % 7).alias("q"))
     made = signal.coherence(e, "event_type", "event_id", "p", "q", width=32).where("bin > 0")
-    return made.select("event_type", "bin", "frequency", *[F.round(c, k).alias(c) for c, k in (("cross_re", 4), ("cross_im", 4), ("coherence", 6))])
+    return made.select("event_type", "bin", "frequency", *[(F.round(c, k) + 0.0).alias(c) for c, k in (("cross_re", 4), ("cross_im", 4), ("coherence", 6))])
 
 
 @query(
@@ -286,10 +286,10 @@ def graph_dense(spark, sf_dir):
     return graph.dense(graph.mirrored(edges), _t(spark, sf_dir, "nation").select("n_nationkey"), missing=-1.0)
 
 
-@query("running_totals", "SELECT o_orderkey, o_orderpriority, sum(o_totalprice) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - o_totalprice AS before FROM orders")
+@query("running_totals", "SELECT o_orderkey, o_orderpriority, (sum(cents) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - cents)::BIGINT AS before FROM (SELECT *, round(o_totalprice * 100)::BIGINT AS cents FROM orders)")
 def running_totals(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
-    return running(o, "o_orderkey", "before", keys=["o_orderpriority"], amount="o_totalprice").drop("o_totalprice")
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return running(o, "o_orderkey", "before", keys=["o_orderpriority"], amount="cents").drop("cents")
 
 
 @query("checkpoint_files", "SELECT 'w' AS name, 'F64' AS dtype, [2]::BIGINT[] AS shape, [regr_slope(l_extendedprice, l_quantity), regr_intercept(l_extendedprice, l_quantity)] AS \"values\" FROM lineitem")
