@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, fingerprints, langid, media, mixing, ngram_join, secret_scan, suffix_dedup, token_counts, url_filter
+from . import bpe_codec, fingerprints, importance, langid, line_dedup, media, mixing, ngram_join, secret_scan, suffix_dedup, token_counts, url_filter, whitening
 from .common import table
 
 
@@ -65,6 +65,19 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=2, buckets=10_000, seed=7, percent=25, least_words=20)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_lines(table(spark, sf_dir, "documents"), least=20, documents=3)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_store": op1_media_store,
     "op2_ngram_join": op2_ngram_join,
@@ -76,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_secret_scan": op9_secret_scan,
     "op10_bpe_codec": op10_bpe_codec,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -83,4 +99,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_source_mixing": mixing.SQL,
     "op7_suffix_dedup": suffix_dedup.SQL,
     "op8_url_filter": url_filter.sql(URL_RULES),
+    "op11_importance_resampling": importance.SQL,
+    "op12_line_dedup": line_dedup.SQL,
 }
