@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
+
 
 def literal(value) -> Column:
     return F.struct(*[literal(v).alias(n) for n, v in value.asDict(False).items()]) if isinstance(value, Row) else F.lit(value)
@@ -41,8 +43,9 @@ def running(df: DataFrame, order: str, name: str, *, keys: Sequence[str] = (), a
     """``df`` with the sum of ``amount`` (the number, where there is none) of the rows earlier in ``order`` among those of equal ``keys``.
 
     ``order`` is distinct among them.  A group of any size is spread over as many tasks as there are
-    shuffle partitions.
+    shuffle partitions.  ``df`` is made once, and written to the shared folder, before its ranges are found.
     """
+    df = checkpointed(df)
     own = "_".join(["", *df.columns])  # no column has a name that starts like this
     part, total, earlier, place = (f"{own}_{x}" for x in ("part", "total", "earlier", "place"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

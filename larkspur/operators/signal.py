@@ -287,7 +287,11 @@ def welch(
     if average not in ("mean", "median"):
         raise ValueError(f"no average {average!r}")
     overlap = width // 2 if overlap is None else overlap
-    spectra = segment_spectra(segments(df, key, time, value, width, overlap), window, detrend)
+    return _mean_power(segments(df, key, time, value, width, overlap), key, width, rate, window, detrend, scaling, average)
+
+
+def _mean_power(parts: DataFrame, key: str, width: int, rate: float, window, detrend, scaling: str, average: str = "mean") -> DataFrame:
+    spectra = segment_spectra(parts, window, detrend)
     scale = F.array(*map(F.lit, _density(width, window, rate, scaling).tolist()))
     power = F.zip_with("x.re", "x.im", lambda a, b: a * a + b * b)
     bins = spectra.select(key, F.posexplode(power).alias("bin", "p"))
@@ -303,8 +307,9 @@ def welch(
 
 
 def periodogram(df: DataFrame, key: str, time: str, value: str, *, size: int, rate: float = 1.0, window="boxcar", detrend="constant", scaling: str = "density") -> DataFrame:
-    """``welch`` of series of ``size`` samples each, in one stretch; longer ones count with their first stretch, shorter ones don't."""
-    return welch(df, key, time, value, width=size, overlap=0, rate=rate, window=window, detrend=detrend, scaling=scaling)
+    """``welch`` of the first ``size`` samples of each series, in one stretch; shorter series don't count.  ``spectrum.periodogram`` takes a whole series of any length."""
+    parts = segments(df, key, time, value, size, 0).where("segment = 0")
+    return _mean_power(parts, key, size, rate, window, detrend, scaling)
 
 
 def spectrogram(df: DataFrame, key: str, time: str, value: str, *, width: int = 256, overlap: int | None = None, rate: float = 1.0, window=("tukey", 0.25), mode: str = "psd") -> DataFrame:
@@ -378,15 +383,6 @@ def unwrapped(angles: Column) -> Column:
     return F.transform(angles, lambda v, i: v + F.aggregate(F.slice(steps, 1, i + 1), F.lit(0.0), lambda s, x: s + x))
 
 
-def unwrap(df: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """Phases without jumps of more than half a turn: a running sum of corrections."""
-    w = Window.partitionBy(key).orderBy(time)
-    turn = 2 * np.pi
-    d = F.col(value) - F.lag(value).over(w)
-    jumps = df.withColumn("__d", F.when(F.abs(d) > np.pi, -F.lit(turn) * F.round(d / turn)).otherwise(0.0))
-    return jumps.withColumn(value, F.col(value) + F.sum(F.coalesce("__d", F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__d")
-
-
 def check_overlap(window, width: int, overlap: int, squared: bool = False, tolerance: float = 1e-10) -> bool:
     """Whether shifted windows add up to a constant (or, squared, never to zero)."""
     w = get_window(window, width)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import traced, units
 from ..functions.expr import col
-from ..operators import graph, signal, stats, training
+from ..operators import graph, long_series, signal, stats, training
 from ..operators.frame import Frame
 from ..operators.ranges import running
 from ..sources import binary, lazy, parquet, text
@@ -225,12 +225,15 @@ def cross_spectra(spark, sf_dir):
 
 @query(
     "power_spectrogram",
-    f"""WITH {SEGMENTS}, p AS (SELECT event_type, s AS segment, bin, re * re + im * im AS p, sqrt(re * re + im * im) / 16 AS m FROM f)
-       SELECT event_type, segment, (segment * 16 + 16)::DOUBLE AS time_s, list(p * CASE WHEN bin IN (0, 16) THEN 1 ELSE 2 END / 12.0::DOUBLE ORDER BY bin) AS psd, list(m ORDER BY bin) AS magnitude FROM p GROUP BY 1, 2""",
+    f"""WITH {SEGMENTS} SELECT event_type, s AS segment, (s * 16 + 16)::DOUBLE AS time_s, bin, round((re * re + im * im) * CASE WHEN bin IN (0, 16) THEN 1 ELSE 2 END / 12.0::DOUBLE, 6) + 0 AS psd, round(sqrt(re * re + im * im) / 16, 6) + 0 AS magnitude FROM f""",
 )
 def power_spectrogram(spark, sf_dir):
-    made = [signal.spectrogram(_t(spark, sf_dir, "events"), "event_type", "event_id", "value", width=32, overlap=16, window="hann", mode=m).withColumnRenamed("values", m) for m in ("psd", "magnitude")]
-    return made[0].join(made[1], ["event_type", "segment", "time_s"])
+    """A row a stretch and bin, of both kinds of values."""
+    e = _t(spark, sf_dir, "events")
+    psd, magnitude = (signal.spectrogram(e, "event_type", "event_id", "value", width=32, overlap=16, window="hann", mode=m) for m in ("psd", "magnitude"))
+    both = psd.join(magnitude.withColumnRenamed("values", "m"), ["event_type", "segment", "time_s"])
+    bins = both.select("event_type", "segment", "time_s", F.posexplode(F.arrays_zip(F.col("values").alias("p"), "m")).alias("bin", "v"))
+    return bins.select("event_type", "segment", "time_s", "bin", (F.round("v.p", 6) + 0.0).alias("psd"), (F.round("v.m", 6) + 0.0).alias("magnitude"))
 
 
 @query(
@@ -259,7 +262,7 @@ def windows_there_and_back(spark, sf_dir):
        (SELECT *, CASE WHEN abs(a - lag(a) OVER w) > pi() THEN -2 * pi() * round((a - lag(a) OVER w) / (2 * pi())) ELSE 0 END AS j FROM (SELECT user_id, event_id, value % 6.25 - 3 AS a FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id))""",
 )
 def unwrapped_phase(spark, sf_dir):
-    return signal.unwrap(_t(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") % 6.25 - 3).alias("a")), "user_id", "event_id", "a")
+    return long_series.unwrap(_t(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") % 6.25 - 3).alias("a")), "user_id", "event_id", "a")
 
 
 # --- graphs and running sums ---
