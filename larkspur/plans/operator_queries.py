@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import traced, units
 from ..functions.expr import col
-from ..operators import graph, long_series, signal, stats, training
+from ..operators import graph, linalg, long_series, signal, stats, training
 from ..operators.frame import Frame
 from ..operators.ranges import running
-from ..sources import binary, lazy, parquet, text
+from ..sources import binary, lazy, parquet, tensors, text
 from ..sources.shared import shared_folder
 from .registry import SEGMENTS, _frame, _t, query
 
@@ -191,17 +191,23 @@ def lazy_source(spark, sf_dir):
     part = F.floor((F.col("o_orderkey") - low) * 4 / (high - low + 1)).cast("int")
     o.withColumn("part", part).repartition("part").write.partitionBy("part").parquet(folder)
     files = [r["file"] for r in spark.read.parquet(folder).select(F.input_file_name().alias("file")).distinct().collect()]
-    table = lazy.from_lazy_source(spark, f"orders_{uuid.uuid4().hex}", o.schema, files, _read_orders, ["o_totalprice", "o_orderkey"])
+    table = lazy.from_lazy_source(spark, f"orders_{uuid.uuid4().hex}", o.schema, files, _read_orders, ["o_totalprice", "o_orderkey"], filtered=True)
     return table.where("o_totalprice > 400000")
 
 
-def _read_orders(file: str, wanted: list[str]):
-    from urllib.parse import unquote, urlparse
+def _read_orders(file: str, wanted: list[str], tests: list[tuple[str, str, object]]):
+    """Arrow batches of a file in any store, without the row groups that the pushed comparisons rule out."""
+    from urllib.parse import unquote
 
-    import pyarrow.parquet as pq
+    import pyarrow.dataset as ds
 
-    for batch in pq.ParquetFile(unquote(urlparse(file).path)).iter_batches(columns=wanted):
-        yield from zip(*[batch.column(n).to_pylist() for n in wanted])
+    store, path = tensors.located(unquote(file))
+    keep = None
+    for name, operator, value in tests:
+        test = {"=": ds.field(name) == value, ">": ds.field(name) > value, ">=": ds.field(name) >= value, "<": ds.field(name) < value, "<=": ds.field(name) <= value}.get(operator)
+        if test is not None:
+            keep = test if keep is None else keep & test
+    yield from ds.dataset(path, filesystem=store, format="parquet").to_batches(columns=wanted, filter=keep)
 
 
 # --- signals ---
@@ -295,12 +301,25 @@ def running_totals(spark, sf_dir):
     return running(o, "o_orderkey", "before", keys=["o_orderpriority"], amount="cents").drop("cents")
 
 
-@query("checkpoint_files", "SELECT 'w' AS name, 'F64' AS dtype, [2]::BIGINT[] AS shape, [regr_slope(l_extendedprice, l_quantity), regr_intercept(l_extendedprice, l_quantity)] AS \"values\" FROM lineitem")
+@query("checkpoint_files", "SELECT 'w' AS name, 'F64' AS dtype, unnest(range(0, 2)) AS at, round(unnest([regr_slope(l_extendedprice, l_quantity), regr_intercept(l_extendedprice, l_quantity)]), 4) AS weight FROM lineitem")
 def checkpoint_files(spark, sf_dir):
-    """Fitted weights written as a safetensors file and read back."""
-    from ..operators import linalg
-
+    """Fitted weights written as a safetensors file in the shared folder and read back, a row a weight."""
     w = linalg.least_squares(_t(spark, sf_dir, "lineitem").withColumn("one", F.lit(1.0)), ["l_quantity", "one"], "l_extendedprice")
-    raw = binary.safetensors_bytes({"w": np.asarray(w, float)}, {"kind": "regression"})
-    stored = spark.createDataFrame([("w.safetensors", bytearray(raw))], "path string, content binary")
-    return binary.safetensors_rows(stored).select("name", "dtype", "shape", "values")
+    path = f"{_folder(spark)}/weights.safetensors"
+    tensors.write_tensors(path, {"step": np.zeros(1000), "w": np.asarray(w, float)}, {"kind": "regression"})
+    read = tensors.read_many(spark, path, ["w"])
+    return read.select("name", "dtype", "start", F.posexplode("values").alias("k", "v")).select("name", "dtype", (F.col("start") + F.col("k")).alias("at"), F.round("v", 4).alias("weight"))
+
+
+@query("tensor_shards", "SELECT vec_id, (generate_subscripts(embedding, 1) - 1)::BIGINT AS k, unnest(embedding)::DOUBLE AS v FROM embeddings")
+def tensor_shards(spark, sf_dir):
+    """All vectors as tensors in a file a task; ids and vectors are read back by their byte ranges, the norms beside them aren't."""
+    e = _t(spark, sf_dir, "embeddings")
+    folder = _folder(spark)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v))
+    tensors.write_shards(e.select("vec_id", norm.alias("norm"), "embedding"), folder, {"vec_id": "I64", "norm": "F64", "embedding": "F32"})
+    read = tensors.read_many(spark, folder, gap=4096, most=1 << 16)
+    ids = tensors.rows_of(read.where(F.col("name").startswith("vec_id/")), 1).select("path", "number", "row", F.col("values").cast("long").alias("vec_id"))
+    vectors = tensors.rows_of(read.where(F.col("name").startswith("embedding/")), 64)
+    both = ids.join(vectors, ["path", "number", "row"])
+    return both.select("vec_id", F.posexplode("values").alias("k", "v")).withColumn("k", F.col("k").cast("long"))

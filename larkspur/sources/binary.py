@@ -91,13 +91,19 @@ def safetensors_header(raw: bytes) -> tuple[dict, int]:
     if n > MOST_HEADER or 8 + n > len(raw):
         raise ValueError("header size out of range")
 
+    return tensors_of(raw[8 : 8 + n], len(raw) - 8 - n), 8 + n
+
+
+def tensors_of(text: bytes, size: int) -> dict:
+    """Tensors of a checked header of which ``size`` bytes of data follow."""
+
     def single(pairs):
         names = [k for k, _ in pairs]
         if len(set(names)) < len(names):
             raise ValueError("a name occurs twice")
         return dict(pairs)
 
-    head = json.loads(raw[8 : 8 + n], object_pairs_hook=single)
+    head = json.loads(text, object_pairs_hook=single)
     tensors = {k: v for k, v in head.items() if k != "__metadata__"}
     at = 0
     for name, t in sorted(tensors.items(), key=lambda x: tuple(x[1]["data_offsets"])):
@@ -107,9 +113,9 @@ def safetensors_header(raw: bytes) -> tuple[dict, int]:
         if a != at or b - a != WIDTHS[t["dtype"]] * int(np.prod(t["shape"], dtype=np.int64)):
             raise ValueError(f"{name}: offsets don't fit")
         at = b
-    if 8 + n + at != len(raw):
+    if at != size:
         raise ValueError("data size doesn't fit the offsets")
-    return tensors, 8 + n
+    return tensors
 
 
 def widened(dtype: str, raw: bytes) -> np.ndarray:
