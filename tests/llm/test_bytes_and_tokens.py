@@ -42,7 +42,7 @@ def test_codec_agrees_with_the_library(docs):
         want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tool.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
     got = bpe_codec.digests(docs, path).collect()
     assert sorted(map(tuple, got)) == sorted(want)
-    coder = bpe_codec.codec(path)
+    coder = bpe_codec.codec(path, bpe_codec.odd_points(path))
     full = {r.doc_id: r for r in bpe_codec.encode(docs, path).collect()}
     assert full[4]["decoded"] == coder.decode(np.frombuffer(full[4]["ids"], "<u4").tolist())
 
@@ -54,7 +54,7 @@ def test_empty_tables(docs):
 
 
 def test_long_words_have_the_same_parts():
-    coder = bpe_codec.codec(public_tokenizers.path("word_bpe_49k.json"))
+    coder = bpe_codec.codec(public_tokenizers.path("word_bpe_49k.json"), bpe_codec.odd_points(public_tokenizers.path("word_bpe_49k.json")))
     rng = random.Random(2)
     for _ in range(20):
         word = bytes(rng.choice(b"abcdefgh=-") for _ in range(rng.randint(2, 250)))
@@ -215,3 +215,12 @@ def test_clips_and_broken_files(spark):
         got.setdefault(r.k, []).append(r)
     assert [(r.start_s, r.end_s, r.first_frame, r.n_frames) for r in got[1]] == [(0.0, 1.2, 0, 30), (1.2, 2.0, 30, 20), (2.0, 3.0, 50, 25)]
     assert len(got[2]) == 1 and got[2][0].problem and got[3][0].problem == "no file" and len(got[4]) == 3
+
+
+def test_every_code_point_is_encoded_as_the_library_does():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tool, coder = Tokenizer.from_file(path), bpe_codec.codec(path, bpe_codec.odd_points(path))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for a in range(0, len(points), 2000):
+        text = "".join(f"a{c}b {c}1!{c} " for c in points[a : a + 2000])
+        assert coder.encode(text)[0] == bpe_codec.pack(tool.encode(text, add_special_tokens=False).ids), hex(ord(points[a]))

@@ -1,5 +1,7 @@
 import hashlib
+import itertools
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -505,13 +507,72 @@ def test_secrets(spark):
     assert secret_scan.scan(df.limit(0), secret_scan.fit(df.limit(0))).count() == 0
 
 
+def plain_likelihood(field, x, y):
+    """Log likelihood of one window's tags, over all paths."""
+    e, n = field.scores(x), len(y)
+    score = lambda tags: field.first[tags[0]] + sum(e[i, t] for i, t in enumerate(tags)) + sum(field.moves[a, b] for a, b in zip(tags, tags[1:]))
+    every = [score(tags) for tags in itertools.product(range(3), repeat=n)]
+    return score(y) - np.log(np.exp(np.array(every) - max(every)).sum()) - max(every)
+
+
+def test_field_follows_the_exact_gradient():
+    rng = np.random.default_rng(6)
+    x = np.stack([rng.integers(0, k, (3, 4)) for k in (5, 3, 4, 6, 6, 6, 2)], 2)
+    y = np.array([[0, 1, 2, 0], [1, 2, -1, -1], [0, 0, 1, 1]])
+    field = secret_scan.fit_field(x, y, rounds=1, rate=1e-6, decay=0.0)  # one step of rate * g / |g|: its sign is the gradient's
+    start = secret_scan.blank_field()
+    total = lambda: sum(plain_likelihood(start, a[b >= 0], b[b >= 0].tolist()) for a, b in zip(x, y))
+    before = total()
+    for k, (row, tag) in ((0, (int(x[0, 1, 0]), 1)), (2, (int(x[2, 3, 2]), 0)), (3, (int(x[1, 0, 3]), 2))):
+        start.tables[k][row, tag] += 1e-5
+        slope = (total() - before) / 1e-5
+        start.tables[k][row, tag] -= 1e-5
+        step = field.tables[k][row, tag]
+        assert abs(slope) < 1e-4 or np.sign(step) == np.sign(slope)
+    for move in ((0, 1), (1, 2), (2, 0)):
+        start.moves[move] += 1e-5
+        slope = (total() - before) / 1e-5
+        start.moves[move] -= 1e-5
+        assert abs(slope) < 1e-4 or np.sign(field.moves[move]) == np.sign(slope)
+
+
+def test_field_finds_what_the_patterns_miss(spark):
+    """Secrets of ten styles put into given documents at any place, none of which a base pattern matches; right spans count, and spans elsewhere."""
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no tables")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    field = secret_scan.fit(docs)
+    texts = [r.text for r in docs.where("text IS NOT NULL").orderBy("doc_id").limit(300).collect()]
+    rng = random.Random(99)
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    some = lambda n, letters=mixed: "".join(rng.choice(letters) for _ in range(n))
+    styles = [
+        lambda: ("credential = ", some(20)), lambda: ("the key ", some(32, "0123456789ABCDEF")), lambda: ("Authorization: Bearer ", some(36)), lambda: ("use ", "ghp_" + some(36)),
+        lambda: ("aws_key=", "ASIA" + some(16, mixed[:26])), lambda: ('private_key = "', some(44)), lambda: ("auth=", some(24)), lambda: ("pwd: ", some(10) + "7"),
+        lambda: ("password is ", some(12) + "9"), lambda: ("", "xoxb-" + some(11, "0123456789") + "-" + some(24)),
+    ]
+    rows, planted = [], {}
+    for k, text in enumerate(texts):
+        words = text[:2000].split(" ")
+        at = rng.randrange(len(words) + 1)
+        lead, secret = styles[k % 10]()
+        head = " ".join([*words[:at], lead])
+        planted[k] = (len(head), len(head) + len(secret))
+        rows.append((k, head + secret + " " + " ".join(words[at:])))
+    rows += [(1000 + k, t) for k, t in enumerate(texts)]
+    found = {r.doc_id: [(s.start, s.end) for s in r.secrets if s.kind == "crf"] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), field).collect()}
+    hits = sum(any(a <= p and q <= b for a, b in found[k]) for k, (p, q) in planted.items())
+    wrong = sum(not (k in planted and a < planted[k][1] and planted[k][0] < b) for k, spans in found.items() for a, b in spans)
+    assert hits >= 0.9 * len(planted) and hits >= 0.9 * (hits + wrong)
+
+
 def test_field_learns_and_decodes_exactly():
     rng = np.random.default_rng(11)
-    x = np.zeros((60, 12, 5), int)
+    x = np.zeros((60, 12, 7), int)
     x[..., 0] = rng.integers(0, 50, (60, 12))
     y = np.where(x[..., 0] > 44, 1, 0)
     field = secret_scan.fit_field(x, y)
-    tags = secret_scan.viterbi(field.scores(x.reshape(-1, 5)), np.arange(720) % 12 == 0, field)
+    tags = secret_scan.viterbi(field.scores(x.reshape(-1, 7)), np.arange(720) % 12 == 0, field)
     assert (tags == y.ravel()).mean() > 0.97
     e, first = rng.normal(size=(500, 3)), rng.random(500) < 0.1
     first[0] = True
