@@ -2,7 +2,7 @@
 
 This is the form for arrays that no task could hold.  Elementwise operators are joins on the axes
 that both sides span, reductions are groupings with partial sums, products are a join on the shared
-axis and a sum, scans are windows along one axis.
+axis and a sum, scans are windows along one axis, or ranges of it that carry their results on.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from .ranges import running
 
-
+#: Cells of a line that one task sorts or scans.
+LINE = 1 << 16
 #: Cells that an outer combination (no axis in common) may make.
 OUTER = 100_000_000
 
@@ -223,32 +225,58 @@ class Cells:
     def _along(self, axis: int) -> Window:
         return Window.partitionBy(*[a for k, a in enumerate(self.axes) if k != axis])
 
-    def scan(self, how: str, axis: int) -> Cells:
-        """cumsum or cumprod along an axis."""
+    def _long(self, axis: int, line: int) -> bool:
+        return self.shape[axis] > line
+
+    def _others(self, axis: int) -> list[str]:
+        return [a for k, a in enumerate(self.axes) if k != axis]
+
+    def scan(self, how: str, axis: int, line: int = LINE) -> Cells:
+        """cumsum or cumprod along an axis; lines of more than ``line`` cells are cut into ranges that carry sums or products on."""
         axis = self._axis(axis)
+        if self._long(axis, line):
+            before = running(self.df, f"i{axis}", "__before", keys=self._others(axis), amount="v", how={"cumsum": "sum", "cumprod": "product"}[how])
+            both = F.col("__before") + F.col("v") if how == "cumsum" else F.col("__before") * F.col("v")
+            return Cells(before.select(*self.axes, both.alias("v")), self.shape)
         w = self._along(axis).orderBy(f"i{axis}").rowsBetween(Window.unboundedPreceding, 0)
         f = {"cumsum": F.sum, "cumprod": F.product}[how]
         return Cells(self.df.withColumn("v", f("v").over(w)), self.shape)
 
-    def sort(self, axis: int, indices: bool = False) -> Cells:
-        """Ascending and stable along an axis: values, or where they stood."""
+    def sort(self, axis: int, indices: bool = False, line: int = LINE) -> Cells:
+        """Ascending and stable along an axis: values, or where they stood; places in long lines come from counts by range."""
         axis = self._axis(axis)
-        rank = F.row_number().over(self._along(axis).orderBy("v", f"i{axis}")) - 1
-        ranked = self.df.withColumn("__r", rank)
+        if self._long(axis, line):
+            ordered = self.df.withColumn("__order", F.struct("v", f"i{axis}"))
+            ranked = running(ordered, "__order", "__r", keys=self._others(axis)).drop("__order")
+        else:
+            ranked = self.df.withColumn("__r", F.row_number().over(self._along(axis).orderBy("v", f"i{axis}")) - 1)
         value = F.col(f"i{axis}").cast("double") if indices else F.col("v")
         cells = [F.col("__r").cast("long").alias(a) if k == axis else F.col(a) for k, a in enumerate(self.axes)]
         return Cells(ranked.select(*cells, value.alias("v")), self.shape)
 
-    def top_k(self, k: int, axis: int, largest: bool = True) -> DataFrame:
-        """The ``k`` first cells along an axis with their ``rank``; first index first on ties."""
+    def top_k(self, k: int, axis: int, largest: bool = True, line: int = LINE) -> DataFrame:
+        """The ``k`` first cells along an axis with their ``rank``; first index first on ties.  Stretches of a long line are cut to their own ``k`` first, then longer stretches of what is left."""
         axis = self._axis(axis)
         if not 0 < k <= self.shape[axis]:
             raise ValueError("k is out of range")
-        rank = F.row_number().over(self._along(axis).orderBy(F.desc("v") if largest else F.asc("v"), f"i{axis}"))
-        return self.df.withColumn("rank", rank).where(F.col("rank") <= k)
-
-    def softmax(self, axis: int) -> Cells:
-        w = self._along(self._axis(axis))
+        order = [F.desc("v") if largest else F.asc("v"), f"i{axis}"]
+        left, width = self.df, line
+        while width < self.shape[axis]:
+            stretch = Window.partitionBy(*self._others(axis), F.floor(F.col(f"i{axis}") / width)).orderBy(*order)
+            left = left.withColumn("rank", F.row_number().over(stretch)).where(F.col("rank") <= k).drop("rank")
+            width *= max(2, line // k)
+        return left.withColumn("rank", F.row_number().over(self._along(axis).orderBy(*order))).where(F.col("rank") <= k)
+
+    def softmax(self, axis: int, line: int = LINE) -> Cells:
+        """Exponentials over their sum along an axis; long lines meet their maximum and sum, which are partial aggregates, in a join."""
+        axis = self._axis(axis)
+        if self._long(axis, line):
+            keys, df = self._others(axis), self.df
+            fit = lambda rows, stats: rows.join(stats, keys) if keys else rows.crossJoin(F.broadcast(stats))  # noqa: E731  # without keys it is one row
+            shifted = fit(df, df.groupBy(*keys).agg(F.max("v").alias("__top"))).withColumn("v", F.exp(F.col("v") - F.col("__top"))).drop("__top")
+            whole = fit(shifted, shifted.groupBy(*keys).agg(F.sum("v").alias("__sum")))
+            return Cells(whole.select(*self.axes, (F.col("v") / F.col("__sum")).alias("v")), self.shape)
+        w = self._along(axis)
         shifted = self.df.withColumn("v", F.exp(F.col("v") - F.max("v").over(w)))
         return Cells(shifted.withColumn("v", F.col("v") / F.sum("v").over(w)), self.shape)
 

@@ -1,4 +1,4 @@
-"""Linear algebra: large products and normal equations as Spark aggregates, small matrices by numpy in their task.
+"""Linear algebra: tall matrices by trees of triangles, large products as Spark aggregates, small matrices by numpy in their task.
 
 A table of small matrices holds one a row, row-major in ``array<double>`` with its number of rows; each is
 solved where it lies.  What is large (the rows of a design matrix, the cells of a matrix) is only summed.
@@ -6,13 +6,15 @@ solved where it lies.  What is large (the rows of a design matrix, the cells of
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
 from .coordinates import Cells
 
 
@@ -28,21 +30,97 @@ def gram(df: DataFrame, columns: list[str], target: str | None = None) -> np.nda
     return out
 
 
+def _stacked(batch: pa.RecordBatch) -> np.ndarray:
+    """Rows of a batch as a matrix, those with a null left out; a column of vectors gives as many columns."""
+    parts = []
+    for col in batch.columns:
+        if pa.types.is_list(col.type):
+            held = col.to_pylist()
+            size = max((len(v) for v in held if v is not None), default=0)
+            parts.append(np.array([v if v is not None and len(v) == size else [None] * max(1, size) for v in held], float).reshape(len(col), max(1, size)))
+        else:
+            parts.append(col.cast(pa.float64()).to_numpy(zero_copy_only=False)[:, None])
+    rows = np.concatenate(parts, 1)
+    return rows[~np.isnan(rows).any(1)]
+
+
+def triangle(df: DataFrame, columns: list[str], fan: int = 16) -> np.ndarray:
+    """R of the QR decomposition of the tall matrix of these columns (numbers or vectors), its diagonal not negative.
+
+    Each task turns its rows, batch by batch, into a triangle; triangles of ``fan`` tasks are stacked
+    and turned into one, level by level.  Condition numbers aren't squared as by normal equations.
+    Rows with nulls or NaN are left out; without rows there is no triangle (0 x 0).
+    """
+
+    def fold(matrices: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        r = None
+        for m in matrices:
+            if len(m):
+                r = np.linalg.qr(m if r is None else np.concatenate([r, m]), "r")
+        if r is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([r.shape[1]], pa.int32()), pa.array([r.ravel()], pa.list_(pa.float64()))], ["width", "r"])
+
+    def merge(batches):
+        return fold(np.asarray(v, float).reshape(-1, w) for b in batches for w, v in zip(b["width"].to_pylist(), b["r"].to_pylist()))
+
+    parts = checkpointed(df.select(*columns).mapInArrow(lambda batches: fold(map(_stacked, batches)), "width int, r array<double>"))
+    n = parts.count()
+    while n > 1:
+        n = -(-n // fan)
+        parts = checkpointed(parts.repartition(n).mapInArrow(merge, "width int, r array<double>"))
+    row = parts.first()
+    if row is None:
+        return np.zeros((0, 0))
+    r = np.zeros((row["width"], row["width"]))
+    held = np.array(row["r"]).reshape(-1, row["width"])
+    r[: len(held)] = held
+    return r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
+
+
+def tall_qr(df: DataFrame, columns: list[str]) -> tuple[DataFrame, np.ndarray]:
+    """``df`` with ``q``, a row of the orthonormal factor, and R; twice over, so that Q keeps its columns orthogonal for any R of full rank.
+
+    Rows with nulls or NaN are left out.
+    """
+    r, out = None, df
+    for _ in range(2):
+        now = triangle(out, ["q"] if r is not None else columns)
+        if not now.size or np.abs(np.diag(now)).min() <= np.abs(np.diag(now)).max() * 1e-15:
+            raise ValueError("the columns are not independent")
+        out = _times_inverse(out, ["q"] if r is not None else columns, now)
+        r = now if r is None else now @ r
+    return out, r
+
+
+def _times_inverse(df: DataFrame, columns: list[str], r: np.ndarray) -> DataFrame:
+    inverse = np.linalg.inv(r)
+
+    @F.pandas_udf("array<double>")
+    def solve(*parts: pd.Series) -> pd.Series:
+        rows = np.concatenate([np.stack([np.asarray(v, float) for v in p]) if p.dtype == object else p.to_numpy(float)[:, None] for p in parts], 1)
+        return pd.Series(list(rows @ inverse))
+
+    whole = df
+    for c in columns:
+        whole = whole.where(F.col(c).isNotNull() & (F.lit(True) if df.schema[c].dataType.typeName() == "array" else ~F.isnan(F.col(c).cast("double"))))
+    return whole.withColumn("q", solve(*columns))
+
+
 def least_squares(df: DataFrame, columns: list[str], target: str) -> np.ndarray:
-    """Coefficients by the normal equations."""
-    g = gram(df, columns, target)
-    return np.linalg.solve(g[:-1, :-1], g[:-1, -1])
+    """Coefficients from the triangle of columns and target; the shortest ones where columns depend on each other."""
+    r = triangle(df, [*columns, target])
+    return np.linalg.lstsq(r[:-1, :-1], r[:-1, -1], rcond=None)[0] if r.size else np.zeros(len(columns))
 
 
 def singular_values(df: DataFrame, columns: list[str]) -> np.ndarray:
     """Of the tall matrix of these columns, largest first."""
-    return np.sqrt(np.maximum(np.linalg.eigvalsh(gram(df, columns))[::-1], 0))
+    return np.linalg.svd(triangle(df, columns), compute_uv=False)
 
 
 def principal_axes(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Singular values and right vectors (as columns)."""
-    values, vectors = np.linalg.eigh(gram(df, columns))
-    return np.sqrt(np.maximum(values[::-1], 0)), vectors[:, ::-1]
+    _, values, vectors = np.linalg.svd(triangle(df, columns))
+    return values, vectors.T
 
 
 def power_iteration(matrix: Cells | Callable[[DataFrame], DataFrame], rounds: int = 1000, tolerance: float = 1e-10, size: int | None = None) -> tuple[float, DataFrame]:

@@ -39,23 +39,35 @@ def range_of(key: Column, starts: list[Column]) -> Column:
     return F.when(key.isNull() | (block == 0), 0).otherwise((block - 1) * side + F.size(F.filter(inside, lambda c: c <= key)))
 
 
-def running(df: DataFrame, order: str, name: str, *, keys: Sequence[str] = (), amount: str | None = None) -> DataFrame:
+#: Aggregates that can be carried over ranges: the function, how two results meet, and the result of no rows.
+CARRIED = {
+    "sum": (F.sum, lambda a, b: a + b, 0),
+    "product": (F.product, lambda a, b: a * b, 1.0),
+    "max": (F.max, F.greatest, None),
+    "min": (F.min, F.least, None),
+}
+
+
+def running(df: DataFrame, order: str, name: str, *, keys: Sequence[str] = (), amount: str | None = None, how: str = "sum") -> DataFrame:
     """``df`` with the sum of ``amount`` (the number, where there is none) of the rows earlier in ``order`` among those of equal ``keys``.
 
-    ``order`` is distinct among them.  A group of any size is spread over as many tasks as there are
-    shuffle partitions.  ``df`` is made once, and written to the shared folder, before its ranges are found.
+    ``how`` may also be product, max or min.  ``order`` is distinct among rows of equal keys.  A group of
+    any size is spread over as many tasks as there are shuffle partitions.  ``df`` is made once, and
+    written to the shared folder, before its ranges are found.
     """
     df = checkpointed(df)
     own = "_".join(["", *df.columns])  # no column has a name that starts like this
     part, total, earlier, place = (f"{own}_{x}" for x in ("part", "total", "earlier", "place"))
+    gather, meet, nothing = CARRIED[how]
+    made = gather(amount) if amount else F.count("*")
+    filled = lambda c: c if nothing is None else F.coalesce(c, F.lit(nothing))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.withColumn(place, F.struct(*keys, order) if keys else F.col(order))
     rows = rows.withColumn(part, range_of(F.col(place), range_starts(rows, place, n))).drop(place)
-    sums = rows.groupBy(part, *keys).agg((F.sum(amount) if amount else F.count("*")).alias(total))
+    sums = rows.groupBy(part, *keys).agg(made.alias(total))
     ranges = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    sums = sums.withColumn(earlier, F.coalesce(F.sum(total).over(ranges), F.lit(0)))
+    sums = sums.withColumn(earlier, filled(gather(total).over(ranges)))
     sums = sums.select(*[F.col(c).alias(f"{own}_of_{c}") for c in (part, *keys)], earlier)
     within = Window.partitionBy(part, *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    mine = F.coalesce((F.sum(amount) if amount else F.count("*")).over(within), F.lit(0))
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{own}_of_{c}")) for c in (part, *keys)])
-    return rows.withColumn(total, mine).join(sums, same).select(*df.columns, (F.col(earlier) + F.col(total)).alias(name))
+    return rows.withColumn(total, filled(made.over(within))).join(sums, same).select(*df.columns, meet(F.col(earlier), F.col(total)).alias(name))

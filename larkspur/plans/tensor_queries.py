@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import image, training
+from ..operators import image, linalg, training
 from ..operators import vectors as V
 from ..operators.coordinates import Cells, arange, concat, from_vectors, full, random_cells, random_integers, random_normal, stack, to_vectors
 from .registry import SCALAR_SQL, SHIFTS, _t, erf_sql, query
@@ -182,8 +182,63 @@ def cells_made(spark, sf_dir):
 
 @query("frobenius_norm", f"WITH {CELLS} SELECT sqrt(sum(v * v)) AS norm FROM c")
 def frobenius_norm(spark, sf_dir):
+    return spark.createDataFrame([(_matrix(spark, sf_dir).frobenius(),)], "norm double")
+
+
+@query(
+    "one_long_line",
+    _digests_sql(
+        {
+            "cumsum": "SELECT 0 AS i0, f AS i1, sum(v) OVER (ORDER BY f) AS v FROM l",
+            "cumprod": "SELECT 0 AS i0, f AS i1, product(1 + v / 1000) OVER (ORDER BY f) AS v FROM l",
+            "sort": "SELECT 0 AS i0, row_number() OVER (ORDER BY v, f) - 1 AS i1, v FROM l",
+            "argsort": "SELECT 0 AS i0, row_number() OVER (ORDER BY v, f) - 1 AS i1, f::DOUBLE AS v FROM l",
+            "softmax": "SELECT 0 AS i0, f AS i1, exp(v * 5) / sum(exp(v * 5)) OVER () AS v FROM l",
+            "top": "SELECT k AS i0, f AS i1, v FROM (SELECT f, v, row_number() OVER (ORDER BY v DESC, f) AS k FROM l) WHERE k <= 7",
+        },
+        ", l AS (SELECT i0 * 64 + i1 AS f, v FROM c)",
+    ),
+)
+def one_long_line(spark, sf_dir):
+    """All cells as one line, in ranges and stretches of a thousand."""
     m = _matrix(spark, sf_dir)
-    return m.combine("mul", m).reduce("sum").apply("sqrt").df.withColumnRenamed("v", "norm")
+    n = m.shape[0] * 64
+    wide, flat = m.reshape(1, n), m.reshape(n)
+    top = flat.top_k(7, 0, line=1000).select(F.col("rank").alias("i0"), F.col("i0").alias("i1"), "v")
+    ahead = lambda c: Cells(c.df.select(F.lit(0).alias("i0"), F.col("i0").alias("i1"), "v"), (1, n))
+    made = {
+        "cumsum": wide.scan("cumsum", 1, line=1000), "cumprod": ahead(flat.combine("mul", 0.001).combine("add", 1.0).scan("cumprod", 0, line=1000)), "sort": wide.sort(1, line=1000),
+        "argsort": ahead(flat.sort(0, indices=True, line=1000)), "softmax": ahead(flat.combine("mul", 5.0).softmax(0, line=1000)), "top": Cells(top, (7, n)),
+    }
+    return _union([_digest(op, cells) for op, cells in made.items()])
+
+
+@query(
+    "tall_triangle",
+    """WITH g AS (SELECT sqrt(count(*)) AS a, sum(l_quantity) / sqrt(count(*)) AS b, sum(l_extendedprice) / sqrt(count(*)) AS c FROM lineitem),
+       h AS (SELECT *, (SELECT regr_sxx(l_quantity, l_quantity) FROM lineitem) AS qq, (SELECT regr_sxy(l_extendedprice, l_quantity) FROM lineitem) AS qp, (SELECT regr_sxx(l_extendedprice, l_extendedprice) FROM lineitem) AS pp FROM g)
+       SELECT * FROM (SELECT 0 AS i, 0 AS j, round(a, 6) AS r FROM h UNION ALL SELECT 0, 1, round(b, 5) FROM h UNION ALL SELECT 0, 2, round(c, 3) FROM h
+       UNION ALL SELECT 1, 1, round(sqrt(qq), 5) FROM h UNION ALL SELECT 1, 2, round(qp / sqrt(qq), 3) FROM h UNION ALL SELECT 2, 2, round(sqrt(pp - qp * qp / qq), 3) FROM h)""",
+)
+def tall_triangle(spark, sf_dir):
+    """R of all rows (1, quantity, price), a row an entry."""
+    digits = [[6, 5, 3], [5, 5, 3], [3, 3, 3]]
+    r = linalg.triangle(_t(spark, sf_dir, "lineitem").select(F.lit(1.0).alias("one"), "l_quantity", "l_extendedprice"), ["one", "l_quantity", "l_extendedprice"])
+    rows = [(i, j, round(float(r[i, j]), digits[i][j])) for i in range(len(r)) for j in range(i, len(r))]
+    return spark.createDataFrame(rows, "i int, j int, r double")
+
+
+@query(
+    "orthonormal_rows",
+    """WITH m AS (SELECT avg(l_quantity) AS q, avg(l_extendedprice) AS p, regr_sxx(l_quantity, l_quantity) AS qq, regr_sxy(l_extendedprice, l_quantity) / regr_sxx(l_quantity, l_quantity) AS slope, count(*) AS n FROM lineitem),
+       u AS (SELECT l_orderkey, l_linenumber, 1 / sqrt(n) AS a, (l_quantity - q) / sqrt(qq) AS b, (l_extendedprice - p) - slope * (l_quantity - q) AS c FROM lineitem, m)
+       SELECT l_orderkey, l_linenumber, round(a, 9) AS a, round(b, 9) + 0 AS b, round(c / sqrt((SELECT sum(c * c) FROM u)), 9) + 0 AS c FROM u""",
+)
+def orthonormal_rows(spark, sf_dir):
+    """Q of the same rows."""
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lit(1.0).alias("one"), "l_quantity", "l_extendedprice")
+    made, _ = linalg.tall_qr(li, ["one", "l_quantity", "l_extendedprice"])
+    return made.select("l_orderkey", "l_linenumber", *[(F.round(F.col("q")[k], 9) + 0.0).alias(c) for k, c in enumerate("abc")])
 
 
 @query(
