@@ -31,8 +31,8 @@ from .common import U64, mix64, seeds, slabs
 SAMPLES = 128
 #: (term, weight) pairs whose draws a task keeps, pairs drawn at a time, and characters looked at together.
 STORE, DRAWN, SLAB = 98_304, 128, 100_000
-#: Rows that a range of ids holds.
-RANGE = 4096
+#: Rows that a range of ids holds, and ranges a shuffle partition that the plan names at most.
+RANGE, PARTS = 4096, 16
 TERMS = re.compile(r"\w+|[^\w\s]")
 
 #: Terms of weight 1 as they are, others with their weight.
@@ -134,8 +134,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """Return ``(id_col, fingerprint)``, one row per row of ``docs``; no shuffle.
 
     Terms are words (runs of letters, digits and underscores, as written) and single other marks.
-    Defined cases: a null, empty or blank text has the empty fingerprint; equal texts have equal
-    fingerprints; other columns are ignored.
+    Defined cases: a null, empty or blank text has the empty fingerprint; repeated rows and equal texts
+    have equal fingerprints; an empty table gives no rows; other columns are ignored.
     """
 
     @F.pandas_udf("string")
@@ -148,7 +148,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Rows ``(part, loan, id, text)`` in ranges of about ``size`` rows, such that the row after any row is in its own range.
+    """Rows ``(part, loan, id, text)`` in ranges of about ``size`` rows (more, where that would be over ``PARTS`` ranges a shuffle partition), such that the row after any row is in its own range.
 
     The order is that of ids, and among rows of one id that of their texts' hashes, so that rows
     without an id make ranges too.  A range is known by its first row's id and hash (an entry a range
@@ -157,7 +157,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.struct("id", F.xxhash64("text").alias("h")))
-    starts = range_starts(rows, "key", math.ceil(docs.count() / size))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    starts = range_starts(rows, "key", min(math.ceil(docs.count() / size), PARTS * parts))
     rows = rows.withColumn("part", range_of(F.col("key"), starts).cast("int"))
     loans = [F.when(F.col("key").eqNullSafe(starts[0]), len(starts) - 1)] if starts else []
     if len(starts) > 1:
