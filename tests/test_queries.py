@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from larkspur.plans import operator_queries, series_queries, tensor_queries  # noqa: F401
+from larkspur.plans import operator_queries, series_queries, statistics_queries, tensor_queries  # noqa: F401
 from larkspur.plans.registry import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
