@@ -14,6 +14,7 @@ from ..operators.frame import Frame
 from ..operators.ranges import running
 from ..sources import binary, lazy, parquet, tensors, text
 from ..sources.shared import shared_folder
+from ..streaming import telemetry
 from .registry import SEGMENTS, _frame, _t, query
 
 
@@ -323,3 +324,18 @@ def tensor_shards(spark, sf_dir):
     vectors = tensors.rows_of(read.where(F.col("name").startswith("embedding/")), 64)
     both = ids.join(vectors, ["path", "number", "row"])
     return both.select("vec_id", F.posexplode("values").alias("k", "v")).withColumn("k", F.col("k").cast("long"))
+
+
+@query(
+    "observed_orders",
+    """WITH s AS (SELECT count(*)::DOUBLE AS n, min(o_totalprice) AS low, max(o_totalprice) AS high, avg(o_totalprice) AS mean, stddev_pop(o_totalprice) AS std FROM orders)
+       SELECT 'rows' AS name, n AS value FROM s UNION ALL SELECT 'o_totalprice.min', low FROM s UNION ALL SELECT 'o_totalprice.max', high FROM s UNION ALL SELECT 'o_totalprice.mean', mean FROM s
+       UNION ALL SELECT 'o_totalprice.std', std FROM s UNION ALL SELECT 'o_totalprice.finite', 1.0::DOUBLE""",
+)
+def observed_orders(spark, sf_dir):
+    """Metrics that are gathered while the orders are written as a file."""
+    run = telemetry.Run(spark)
+    orders, pending = run.observe(_t(spark, sf_dir, "orders"), 1, {"rows": F.count("*"), **telemetry.summary("o_totalprice")})
+    orders.write.parquet(_folder(spark))
+    pending.emit()
+    return run.events().where("kind = 'metric'").select("name", "value")
