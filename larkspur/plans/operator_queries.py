@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import traced, units
 from ..functions.expr import col
-from ..operators import graph, linalg, long_series, signal, stats, training
+from ..operators import graph, layers, linalg, long_series, signal, stats, training
 from ..operators.frame import Frame
 from ..operators.ranges import running
 from ..sources import binary, lazy, parquet, tensors, text
@@ -339,3 +339,13 @@ def observed_orders(spark, sf_dir):
     orders.write.parquet(_folder(spark))
     pending.emit()
     return run.events().where("kind = 'metric'").select("name", "value")
+
+
+@query("layered_model")
+def layered_model(spark, sf_dir):
+    """Two layers fitted to all line items in mini-batches, a row a weight; a test holds such a fit against a plain loop."""
+    li = _t(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("key"), (F.col("l_quantity") / 50).alias("q"), (F.col("l_discount") * 10).alias("d"), (F.col("l_extendedprice") / 50_000).alias("y")
+    )
+    model = layers.fit_layers(li, "key", ["q", "d"], ["y"], layers.Layers.drawn([2, 4, 1], ["tanh", "linear"], 1), training.Adam(0.05), batches=4, seed=2)
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(model.flat())], "place int, weight double")
