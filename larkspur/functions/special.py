@@ -90,8 +90,7 @@ def _gamma_ratio(a: Column, x: Column, lower: bool) -> Column:
 
     def step(s: Column, k: Column) -> dict[str, Column]:  # Lentz: f = c / d, level by level
         n, b = k * (a - k), x + 2 * k + 1 - a
-        d, c = b + n * s["d"], b + n / s["c"]
-        d, c = (F.when(F.abs(v) < TINY, TINY).otherwise(v) for v in (d, c))
+        d, c = b + n * s["d"] + TINY, b + n / s["c"] + TINY  # never 0; each is named twice below, so no condition on them
         return {"f": s["f"] * (c / d), "c": c, "d": 1 / d}
 
     b0 = x + 1 - a
@@ -111,9 +110,7 @@ def _beta_ratio(x: Column, a: Column, b: Column) -> Column:
         def step(s: Column, m: Column) -> dict[str, Column]:
             f, c, d = s["f"], s["c"], s["d"]
             for n in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d, c = 1 + n * d, 1 + n / c
-                d, c = (F.when(F.abs(v) < TINY, TINY).otherwise(v) for v in (d, c))
-                d = 1 / d
+                d, c = 1 / (1 + n * d + TINY), 1 + n / c + TINY
                 f = f * d * c
             return {"f": f, "c": c, "d": d}
 
@@ -167,13 +164,13 @@ class Distribution:
         else:
             at = lambda y: self.low + y * (self.high - self.low)
 
-        def half(s: Column, k: Column) -> dict[str, Column]:
-            middle = (s["a"] + s["b"]) / 2
+        def half(s: Column, k: Column) -> dict[str, Column]:  # a step up or none, so that the distribution function is evaluated once
+            middle = s["a"] + s["step"]
             under = let(self.below, F.floor(at(middle)).cast("double") if self.whole else at(middle)) < p
-            return {"a": F.when(under, middle).otherwise(s["a"]), "b": F.when(under, s["b"]).otherwise(middle)}
+            return {"a": s["a"] + F.when(under, s["step"]).otherwise(0.0), "step": s["step"] / 2}
 
-        found = _fold({"a": F.lit(0.0), "b": F.lit(1.0)}, half, HALVINGS)
-        value = let(lambda b: F.floor(at(b) + 1e-9).cast("double"), found["b"]) if self.whole else let(at, F.aggregate(F.array(found["a"], found["b"]), F.lit(0.0), lambda s, v: s + v / 2))
+        found = _fold({"a": F.lit(0.0), "step": F.lit(0.5)}, half, HALVINGS)["a"]
+        value = let(lambda a: F.floor(at(a + 2.0**-HALVINGS) + 1e-9).cast("double"), found) if self.whole else let(lambda a: at(a + 2.0 ** -(HALVINGS + 1)), found)
         return F.when(p == 0, self.low).when(p == 1, self.high).when((p > 0) & (p < 1), value).when(p.isNotNull(), F.lit(NAN))
 
 
