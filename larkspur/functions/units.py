@@ -72,9 +72,13 @@ def unit(text: str) -> Unit:
 
 
 def convert(c: Column, source: str, target: str) -> Column:
-    a, b = unit(source), unit(target)
+    return converted(c, unit(source), unit(target))
+
+
+def converted(c: Column, a: Unit, b: Unit) -> Column:
+    """A column in unit ``a`` as one in ``b``."""
     if a.dimension != b.dimension:
-        raise ValueError(f"{source} and {target} measure different things")
+        raise ValueError(f"{a.text} and {b.text} measure different things")
     return (c * a.factor + (a.offset - b.offset)) / b.factor
 
 

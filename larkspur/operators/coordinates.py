@@ -219,6 +219,17 @@ class Cells:
         made = self._reductions(axis, ddof)
         return self.df.groupBy(*[F.col(f"i{k}").alias(f"i{n}") for n, k in enumerate(self._kept(axis))]).agg(*[made[how].alias(name) for name, how in hows.items()])
 
+    def sum_to_shape(self, *shape: int) -> Cells:
+        """Sums over what broadcasting ``shape`` to this shape has repeated: leading axes that it lacks, and axes where it has size 1.  One grouping, whatever the number of axes."""
+        extra = len(self.shape) - len(shape)
+        if extra < 0 or any(n not in (1, m) for n, m in zip(shape, self.shape[extra:])):
+            raise ValueError(f"{self.shape} doesn't come from {shape}")
+        if tuple(shape) == self.shape:
+            return self
+        kept = {f"i{k}": F.col(f"i{k + extra}") for k, (n, m) in enumerate(zip(shape, self.shape[extra:])) if n == m}
+        sums = self.df.select(*[c.alias(name) for name, c in kept.items()], "v").groupBy(*kept).agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("v"))
+        return Cells(sums.select(*[F.col(a) if a in kept else F.lit(0).cast("long").alias(a) for a in axis_names(len(shape))], "v"), tuple(shape))
+
     def _kept(self, axis: int | None) -> list[int]:
         return [] if axis is None else [k for k in range(len(self.shape)) if k != self._axis(axis)]
 

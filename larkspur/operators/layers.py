@@ -65,18 +65,34 @@ class Layers:
             out.append(ACTIVATIONS[f][0](out[-1] @ w + b))
         return out
 
-    def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-        """Sum of squared errors of all rows, and its gradient by ``flat``."""
-        out = self.outputs(x)
-        miss = out[-1] - y
+    def gradient(self, x: np.ndarray, y: np.ndarray, masks: Sequence[np.ndarray | None] | None = None) -> tuple[float, np.ndarray]:
+        """Sum of squared errors of all rows, and its gradient by ``flat``; ``masks`` are what each layer's outputs are multiplied with (None: nothing)."""
+        masks = masks or [None] * len(self.weights)
+        into, out = [x], []
+        for w, b, f, m in zip(self.weights, self.biases, self.functions, masks):
+            out.append(ACTIVATIONS[f][0](into[-1] @ w + b))
+            into.append(out[-1] if m is None else out[-1] * m)
+        miss = into[-1] - y
         back, parts = 2 * miss, []
-        for w, a, before, f in zip(self.weights[::-1], out[:0:-1], out[-2::-1], self.functions[::-1]):
-            back = back * ACTIVATIONS[f][1](a)
+        for w, a, before, f, m in zip(self.weights[::-1], out[::-1], into[-2::-1], self.functions[::-1], masks[::-1]):
+            back = (back if m is None else back * m) * ACTIVATIONS[f][1](a)
             parts = [before.T @ back, back.sum(0), *parts]
             back = back @ w.T
         return float((miss * miss).sum()), np.concatenate([p.ravel() for p in parts])
 
 
+def dropped(rows: np.ndarray, width: int, share: float, seed: int) -> np.ndarray | None:
+    """What ``width`` outputs of each row are multiplied with: 0 for a share of them, drawn by a mixed hash of row, place and seed (so the same in any task), and what keeps the mean for the rest."""
+    if not share:
+        return None
+    places = np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        z = (rows.astype(np.int64).view(np.uint64) ^ np.uint64(seed * 0xD1342543DE82EF95 % (1 << 64)))[:, None] + places
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return (((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53 >= share) / (1 - share)
+
+
 def batch_of(key: Column, batches: int, seed: int) -> Column:
     """Number of the batch of a row."""
     digest = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 8)
@@ -96,19 +112,20 @@ def _matrices(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
     return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], 1).astype(float)
 
 
-def step_gradient(rows: DataFrame, model: Layers, columns: list[str], targets: list[str]) -> tuple[int, float, np.ndarray]:
-    """Number of rows, mean squared error and its gradient over ``rows``."""
+def step_gradient(rows: DataFrame, model: Layers, columns: list[str], targets: list[str], drops: Sequence[float] = (), draw: int = 0) -> tuple[int, float, np.ndarray]:
+    """Number of rows, mean squared error and its gradient over ``rows``; shares of outputs to drop need a column ``_row`` of long."""
 
     def sums(batches):
         n, loss, total = 0, 0.0, np.zeros(model.flat().size)
         for batch in batches:
             if batch.num_rows:
-                part, gradient = model.gradient(_matrices(batch, columns), _matrices(batch, targets))
+                masks = [dropped(batch.column("_row").to_numpy(), b.size, p, draw * len(drops) + k) for k, (b, p) in enumerate(zip(model.biases, drops))]
+                part, gradient = model.gradient(_matrices(batch, columns), _matrices(batch, targets), masks)
                 n, loss, total = n + batch.num_rows, loss + part, total + gradient
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[n, loss], total])], pa.list_(pa.float64()))], ["sums"])
 
-    parts = rows.select(*columns, *targets).mapInArrow(sums, "sums array<double>").select(F.posexplode("sums").alias("k", "v"))
+    parts = rows.select(*columns, *targets, *(["_row"] if drops else [])).mapInArrow(sums, "sums array<double>").select(F.posexplode("sums").alias("k", "v"))
     found = [r["v"] for r in parts.groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()]
     if not found:
         return 0, 0.0, np.zeros(model.flat().size)
@@ -117,21 +134,25 @@ def step_gradient(rows: DataFrame, model: Layers, columns: list[str], targets: l
 
 
 def fit_layers(
-    df: DataFrame, key: str, columns: list[str], targets: list[str], model: Layers, optimizer, *, batches: int = 8, epochs: int = 1, seed: int = 0, report: Callable[[dict], None] | None = None
+    df: DataFrame, key: str, columns: list[str], targets: list[str], model: Layers, optimizer, *, batches: int = 8, epochs: int = 1, seed: int = 0, drops: Sequence[float] = (), report: Callable[[dict], None] | None = None
 ) -> Layers:
     """``model`` after ``epochs`` passes over the rows, a step of ``optimizer`` for each of ``batches`` mini-batches.
 
     Batches are the same in all epochs, their order is drawn anew.  Rows with a null are left out; a
-    batch without rows makes no step; ``report`` gets an event a step.
+    batch without rows makes no step; ``report`` gets an event a step.  ``drops`` are shares of each
+    layer's outputs that a step leaves out, drawn anew for each step by seed and key.
     """
+    if drops and (len(drops) != len(model.weights) or not all(0 <= p < 1 for p in drops)):
+        raise ValueError("a share from 0 to below 1 for each layer is needed")
     known = df.select(F.col(key).alias("_key"), *[F.col(c).cast("double") for c in (*columns, *targets)]).dropna()
     path = f"{shared_folder(df.sparkSession)}/batches-{uuid.uuid4().hex}"
     known = known.withColumn("_batch", batch_of(F.col("_key"), batches, seed))
+    known = known.withColumn("_row", F.xxhash64("_key")) if drops else known
     known.write.partitionBy("_batch").parquet(path)
     rows, w = df.sparkSession.read.schema(known.schema).parquet(path), model.flat()
     for epoch in range(epochs):
         for k, batch in enumerate(order_of(batches, epoch, seed)):
-            n, loss, gradient = step_gradient(rows.where(F.col("_batch") == batch), model.filled(w), columns, targets)
+            n, loss, gradient = step_gradient(rows.where(F.col("_batch") == batch), model.filled(w), columns, targets, drops, (seed * epochs + epoch) * batches + k)
             if n:
                 w = optimizer.step(w, gradient)
                 if report:

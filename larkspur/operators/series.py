@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,14 @@ class Series:
         df = self.df.orderBy(self.order) if self.order else self.df
         return [r[0] for r in df.select(self.name).collect()]
 
+    def to_vector(self, most: int = 10_000_000) -> pa.ChunkedArray:
+        """The column as an Arrow array on the driver, in the series' order, nulls and NaN as they are; more than ``most`` rows raise."""
+        df = self.df.orderBy(self.order) if self.order else self.df
+        table = df.select(self.name).limit(most + 1).toArrow()
+        if table.num_rows > most:
+            raise ValueError(f"more than {most} rows")
+        return table.column(0)
+
     def to_tensor(self) -> Cells:
         """The column as a tensor of one axis, by the rank of its rows; a null or what isn't a number raises."""
         if self.order is None:

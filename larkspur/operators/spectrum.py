@@ -71,6 +71,28 @@ def transform(rows: DataFrame, n: int, *, inverse: bool = False, most: int = MOS
     return _lines(first.select(F.floor(i / n2).cast("long").alias("k"), (i % n2).alias("b"), "re", "im"), "k", "b", n2, lines, group)
 
 
+def transform_lines(rows: DataFrame, n: int, *, inverse: bool = False, most: int = MOST, group: int = GROUP) -> DataFrame:
+    """``(i, re, im)`` of many lines ``rows(line, place, re, im)`` of ``n`` places, ``i`` being line * n + place: one shuffle where a line fits a group, else the four steps."""
+    f, sign = (np.fft.ifft, 2j) if inverse else (np.fft.fft, -2j)
+    if n <= group:
+        return _lines(rows, "line", "place", n, lambda held, z: (held[:, None] * n + np.arange(n), f(z, axis=1)), group)
+    found = factors(n, most)
+    if found is None:
+        raise ValueError(f"{n} has no two factors of up to {most}")
+    n1, n2 = found
+
+    def columns(held: np.ndarray, z: np.ndarray):
+        line, b, k = held // n2, held % n2, np.arange(n1)
+        return (line * n + b)[:, None] + n2 * k, f(z, axis=1) * np.exp(sign * np.pi * ((b[:, None] * k) % n) / n)
+
+    def across(held: np.ndarray, z: np.ndarray):
+        return (held // n1 * n + held % n1)[:, None] + n1 * np.arange(n2), f(z, axis=1)
+
+    i, place = F.col("i"), F.col("place")
+    first = _lines(rows.select((F.col("line") * n2 + place % n2).alias("b"), F.floor(place / n2).cast("long").alias("a"), "re", "im"), "b", "a", n1, columns, group)
+    return _lines(first.select((F.floor(i / n) * n1 + F.floor(i % n / n2)).cast("long").alias("k"), (i % n2).alias("b"), "re", "im"), "k", "b", n2, across, group)
+
+
 def _times(a: tuple[Column, Column], b: tuple[Column, Column]) -> list[Column]:
     return [(a[0] * b[0] - a[1] * b[1]).alias("re"), (a[0] * b[1] + a[1] * b[0]).alias("im")]
 

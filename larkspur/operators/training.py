@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from . import vectors as V
-from .coordinates import Cells
+from .coordinates import Cells, unit_random
 
 # --- losses, as aggregates ---
 
@@ -75,11 +76,22 @@ def attention(query: Cells, key: Cells, value: Cells) -> Cells:
 
 
 def dropout(x: Column, share: float, seed: int, row: Column) -> Column:
-    """Zeroes a share of elements, chosen by a hash of seed, row and place, and scales the rest."""
-    keep = lambda i: F.pmod(F.xxhash64(F.lit(seed), row, i), F.lit(1 << 30)) >= int(share * (1 << 30))
+    """Zeroes a share (0 to below 1) of elements, chosen by the digest of seed, row and place, and scales the rest."""
+    if not 0 <= share < 1:
+        raise ValueError("the share is from 0 to below 1")
+    keep = lambda i: unit_random(seed, F.concat_ws(":", row.cast("string"), i.cast("string"))) >= share
     return F.transform(x, lambda v, i: F.when(keep(i), v / (1 - share)).otherwise(F.lit(0.0)))
 
 
+def sequential(*layers: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """Functions of vector columns one after the other; what each gives is evaluated once."""
+
+    def bound(layer: Callable[[Column], Column], x: Column) -> Column:
+        return V.let({"x": x}, lambda t: layer(t["x"]))
+
+    return lambda x: reduce(lambda made, layer: bound(layer, made), layers, x)
+
+
 # --- optimizers ---
 
 

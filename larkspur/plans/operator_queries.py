@@ -165,6 +165,43 @@ def parquet_round_trip(spark, sf_dir):
     return parquet.read_parquet(spark, folder, ["o_orderkey", "o_orderpriority", "o_orderdate"], {"o_totalprice": {"$gt": 250_000}})
 
 
+@query(
+    "ipc_round_trip",
+    """SELECT event_id, ts, CASE WHEN event_id % 5 = 0 THEN 'null' WHEN event_id % 7 = 0 THEN 'nan' ELSE 'number' END AS kind, CASE WHEN event_id % 5 <> 0 AND event_id % 7 <> 0 THEN value END AS value FROM events""",
+)
+def ipc_round_trip(spark, sf_dir):
+    """Rows as Arrow streams and back: what is null and what is NaN stay apart."""
+    value = F.when(F.col("event_id") % 5 == 0, F.lit(None)).when(F.col("event_id") % 7 == 0, float("nan")).otherwise(F.col("value"))
+    rows = _t(spark, sf_dir, "events").select("event_id", "ts", value.cast("double").alias("value"))
+    folder = _folder(spark)
+    binary.ipc_rows(rows).write.parquet(folder)
+    back = binary.from_ipc_rows(spark.read.parquet(folder), rows.schema)
+    kind = F.when(F.col("value").isNull(), "null").when(F.isnan("value"), "nan").otherwise("number")
+    return back.select("event_id", "ts", kind.alias("kind"), F.when(~F.isnan("value"), F.col("value")).alias("value"))
+
+
+@query("nested_files", "SELECT l_orderkey, l_linenumber, l_quantity AS first, l_tax AS last, 3 AS size, l_shipdate AS shipped, l_linestatus AS status FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_quantity >= 10")
+def nested_files(spark, sf_dir):
+    """Lists and structs written as Parquet, a folder a flag, and two of the folders read by a glob, with a filter on an entry of the struct."""
+    folder = _folder(spark)
+    rows = _t(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_returnflag", F.array("l_quantity", "l_discount", "l_tax").alias("amounts"), F.struct("l_quantity", F.col("l_shipdate").alias("shipped"), F.col("l_linestatus").alias("status")).alias("state")
+    )
+    rows.write.partitionBy("l_returnflag").parquet(folder)
+    back = parquet.read_parquet(spark, f"{folder}/l_returnflag=[AR]", ["l_orderkey", "l_linenumber", "amounts", "state"], {"state.l_quantity": {"$gte": 10}})
+    return back.select("l_orderkey", "l_linenumber", F.get("amounts", 0).alias("first"), F.get("amounts", F.size("amounts") - 1).alias("last"), F.size("amounts").alias("size"), "state.shipped", "state.status")
+
+
+@query(
+    "unit_powers",
+    "SELECT p_partkey, p_size * 1e4 AS cm2, p_size / 1e9 AS km3, p_size / 1e6 AS per_mm2, p_size * 1000.0 AS newton_grams FROM part",
+)
+def unit_powers(spark, sf_dir):
+    size = F.col("p_size").cast("double")
+    pairs = {"cm2": (units.unit("m") ** 2, units.unit("cm") ** 2), "km3": (units.unit("m") ** 3, units.unit("km") ** 3), "per_mm2": (units.unit("m") ** -2, units.unit("mm") ** -2), "newton_grams": (units.unit("N"), units.unit("g*m/s^2"))}
+    return _t(spark, sf_dir, "part").select("p_partkey", *[units.converted(size, a, b).alias(n) for n, (a, b) in pairs.items()])
+
+
 @query("csv_round_trip", "SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment || ', \"' || c_nationkey || '\"' END AS note FROM customer")
 def csv_round_trip(spark, sf_dir):
     note = F.when(F.col("c_custkey") % 5 != 0, F.concat("c_mktsegment", F.lit(', "'), F.col("c_nationkey").cast("string"), F.lit('"')))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import image, linalg, training
+from ..operators import complex_cells, image, linalg, training
 from ..operators import vectors as V
 from ..operators.coordinates import Cells, arange, concat, from_vectors, full, random_cells, random_integers, random_normal, stack, to_vectors
 from .registry import SCALAR_SQL, SHIFTS, _t, erf_sql, query
@@ -312,6 +312,86 @@ def layers(spark, sf_dir):
     return rows.select("vec_id", *[c.alias(n) for n, c in made.items()]).join(looked.select("vec_id", F.get("embedding", 0).alias("looked_up")), "vec_id")
 
 
+def _drawn_sql(place: str) -> str:
+    """A number in [0, 1) by the digest of seed 5, draw 0 and the place."""
+    return f"(('0x' || substr(md5('5:0:' || {place}), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+@query(
+    "sequential_layers",
+    f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+       h AS (SELECT vec_id, list_transform(range(0, 4), lambda k: greatest(0, list_sum(list_transform(range(0, 64), lambda i: e[i + 1] * cos(k * 64.0 + i))) + 0.25 * k)) AS h FROM e),
+       d AS (SELECT vec_id, h, list_transform(range(0, 4), lambda k: CASE WHEN {_drawn_sql("vec_id || ':' || k")} >= 0.25 THEN h[k + 1] / 0.75 ELSE 0 END) AS d FROM h)
+       SELECT vec_id, h[1] - h[2] + 2 * h[3] - h[4] AS whole, d[1] - d[2] + 2 * d[3] - d[4] AS thinned, len(list_filter(d, lambda x: x = 0)) AS zeros FROM d""",
+)
+def sequential_layers(spark, sf_dir):
+    """A linear layer, its positive part, dropout (in training only), and a linear layer."""
+    first, bias, last = np.cos(np.arange(256.0)).reshape(4, 64), 0.25 * np.arange(4), np.array([[1.0, -1.0, 2.0, -1.0]])
+    hidden = [lambda x: training.linear(x, first, bias), lambda x: F.transform(x, lambda v: F.greatest(F.lit(0.0), v))]
+    drop, out = lambda x: training.dropout(x, 0.25, 5, F.col("vec_id")), lambda x: F.get(training.linear(x, last), 0)
+    e = F.col("embedding").cast("array<double>")
+    zeros = lambda x: F.size(F.filter(x, lambda v: v == 0)).cast("long")
+    made = {"whole": [*hidden, out], "thinned": [*hidden, drop, out], "zeros": [*hidden, drop, zeros]}
+    return _t(spark, sf_dir, "embeddings").select("vec_id", *[training.sequential(*steps)(e).alias(n) for n, steps in made.items()])
+
+
+@query(
+    "sums_to_shape",
+    _digests_sql(
+        {
+            "columns": "SELECT 0 AS i0, i1, sum(v) AS v FROM c GROUP BY i1",
+            "rows": "SELECT i0, 0 AS i1, sum(v) AS v FROM c GROUP BY i0",
+            "all": "SELECT 0 AS i0, 0 AS i1, sum(v) AS v FROM c",
+            "leading": "SELECT i1 AS i0, 0 AS i1, sum(v) AS v FROM c GROUP BY i1",
+            "same": "SELECT i0, i1, v FROM c",
+        }
+    ),
+)
+def sums_to_shape(spark, sf_dir):
+    m = _matrix(spark, sf_dir)
+    n = m.shape[0]
+    made = {"columns": m.sum_to_shape(1, 64), "rows": m.sum_to_shape(n, 1), "all": m.sum_to_shape(1, 1), "leading": m.sum_to_shape(64).unsqueeze(1), "same": m.sum_to_shape(n, 64)}
+    return _union([_digest(op, cells) for op, cells in made.items()])
+
+
+COMPLEX = f"WITH {CELLS}, z AS (SELECT a.i0, a.i1, a.v AS re, b.v AS im FROM c a JOIN c b ON a.i0 = b.i0 AND b.i1 = 63 - a.i1)"
+
+
+def _complex(spark, sf_dir) -> complex_cells.ComplexCells:
+    m = _matrix(spark, sf_dir)
+    return complex_cells.from_parts(m, m.flip(1))
+
+
+@query(
+    "complex_arithmetic",
+    f"""{COMPLEX}, w AS (SELECT i1, avg(re) AS a, avg(im) AS b FROM z GROUP BY 1),
+       p AS (SELECT i0, re, im, re * a + im * b AS x, re * b - im * a AS y, re + 2 AS c, im - 1 AS d FROM z JOIN w ON z.i1 = w.i1),
+       q AS (SELECT i0, re, im, (x * c + y * d) / (c * c + d * d) AS x, (y * c - x * d) / (c * c + d * d) AS y FROM p)
+       SELECT i0, round(sum(x), 9) + 0 AS re, round(sum(y), 9) + 0 AS im, round(sum(sqrt(x * x + y * y)), 9) AS "size", round(sum(im) * 0.1, 9) + 0 AS angle, round(sum(exp(re * 0.1) * cos(im * 0.1)), 9) AS grown FROM q GROUP BY 1""",
+)
+def complex_arithmetic(spark, sf_dir):
+    """conj(z) w / (z + 2 - i) with the mean w of each column, and exp(z / 10); sums by row."""
+    z = _complex(spark, sf_dir)
+    mean = z.reduce("mean", 0)
+    w = complex_cells.ComplexCells(mean.df.select(F.lit(0).cast("long").alias("i0"), F.col("i0").alias("i1"), "re", "im"), (1, z.shape[1]))
+    q = z.apply("conj").combine("mul", w).combine("div", z.combine("add", 2 - 1j))
+    grown = z.combine("mul", 0.1).apply("exp")
+    made = {"re": q.part("re"), "im": q.part("im"), "size": q.part("abs"), "angle": grown.part("arg"), "grown": grown.part("re")}
+    sums = [cells.reduce("sum", 1).df.select("i0", (F.round("v", 9) + 0.0).alias(name)) for name, cells in made.items()]
+    return reduce(lambda a, b: a.join(b, "i0"), sums)
+
+
+@query(
+    "complex_transform",
+    f"""{COMPLEX} SELECT i0, (k + 32) % 64 AS i1, round(sum(re * cos(2 * pi() * ((k * i1) % 64) / 64) + im * sin(2 * pi() * ((k * i1) % 64) / 64)), 9) + 0 AS re,
+       round(sum(im * cos(2 * pi() * ((k * i1) % 64) / 64) - re * sin(2 * pi() * ((k * i1) % 64) / 64)), 9) + 0 AS im FROM z, (SELECT unnest(range(0, 64)) AS k) GROUP BY i0, k""",
+)
+def complex_transform(spark, sf_dir):
+    """Rows transformed, by four steps (lines of more than 16 numbers are long here), with the zero frequency in the middle."""
+    made = _complex(spark, sf_dir).fft(1, group=16).shift([1])
+    return made.df.select("i0", "i1", *[(F.round(c, 9) + 0.0).alias(c) for c in ("re", "im")])
+
+
 @query(
     "image_resize",
     """SELECT vec_id, len(e) = 64 AS whole,

@@ -25,28 +25,47 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
+def _ipc(raw):
+    try:
+        return pa.ipc.open_file(raw)
+    except pa.ArrowInvalid:
+        return pa.ipc.open_stream(raw)
+
+
 def read_ipc(spark: SparkSession, path: str) -> DataFrame:
     """Arrow files or streams of one schema."""
     first = _files(spark, path).limit(1).collect()
     if not first:
         raise FileNotFoundError(path)
 
-    def batches_of(raw: bytes):
-        try:
-            return pa.ipc.open_file(raw)
-        except pa.ArrowInvalid:
-            return pa.ipc.open_stream(raw)
-
     from pyspark.sql.pandas.types import from_arrow_schema
 
-    schema = from_arrow_schema(batches_of(bytes(first[0]["content"])).schema, prefer_timestamp_ntz=True)
+    schema = from_arrow_schema(_ipc(bytes(first[0]["content"])).schema, prefer_timestamp_ntz=True)
+    return from_ipc_rows(_files(spark, path), schema)
+
+
+def ipc_rows(df: DataFrame) -> DataFrame:
+    """``(rows, content)``: an Arrow stream for each batch of a task, made where the rows are; NaN stays NaN and null null."""
+
+    def run(batches):
+        for batch in batches:
+            sink = io.BytesIO()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64()), pa.array([sink.getvalue()], pa.binary())], ["rows", "content"])
+
+    return df.mapInArrow(run, "rows long, content binary")
+
+
+def from_ipc_rows(files: DataFrame, schema) -> DataFrame:
+    """The rows of a column ``content`` of Arrow files or streams of this schema."""
 
     def run(batches):
         for batch in batches:
             for raw in batch.column("content"):
-                yield from batches_of(raw.as_buffer()).read_all().to_batches()
+                yield from _ipc(raw.as_buffer()).read_all().to_batches()
 
-    return _files(spark, path).mapInArrow(run, schema)
+    return files.mapInArrow(run, schema)
 
 
 def read_npy(spark: SparkSession, path: str) -> DataFrame:
