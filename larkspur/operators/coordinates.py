@@ -12,6 +12,7 @@ from math import prod
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,29 @@ LINE = 1 << 16
 OUTER = 100_000_000
 
 
+#: Cells of a matrix that is sent to all tasks, and the size of the axis it shares with the other one.
+SMALL, SHARED = 1 << 20, 4096
+
+
+def _dense(index, k, v, shape) -> tuple[np.ndarray, np.ndarray]:
+    """Values of cells, and whether there is one (1 or 0)."""
+    values, there = np.zeros(shape), np.zeros(shape)
+    values[index, k], there[index, k] = v, 1
+    return values, there
+
+
+def _product(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """How many terms each cell of x y' has, and their sum; what isn't finite meets only what is there."""
+    (x, has_x), (y, has_y) = one, two
+    with np.errstate(invalid="ignore"):
+        sums = x @ y.T
+        for i in np.flatnonzero(~np.isfinite(x).all(1)):
+            sums[i] = np.where((has_x[i] > 0) & (has_y > 0), x[i] * y, 0).sum(1)
+        for j in np.flatnonzero(~np.isfinite(y).all(1)):
+            sums[:, j] = np.where((has_x > 0) & (has_y[j] > 0), x * y[j], 0).sum(1)
+    return has_x @ has_y.T, sums
+
+
 def axis_names(n: int) -> list[str]:
     return [f"i{k}" for k in range(n)]
 
@@ -291,16 +315,22 @@ class Cells:
         shifted = self.df.withColumn("v", F.exp(F.col("v") - F.max("v").over(w)))
         return Cells(shifted.withColumn("v", F.col("v") / F.sum("v").over(w)), self.shape)
 
-    def matmul(self, other: Cells, block: int = 512) -> Cells:
+    def matmul(self, other: Cells, block: int = 512, small: int = SMALL) -> Cells:
         """Matrix product, batched where both have leading axes of equal size.
 
-        Cells meet in square blocks: a task multiplies two and returns a sum for each cell of their
-        product, so that what is shuffled on is ``block`` times less than the products.  Cells that
-        have no term are left out.
+        A matrix of up to ``small`` cells by its shape is sent to the tasks, which multiply what they read of the
+        other one by it.  Else cells meet in square blocks: a task multiplies two and returns a sum for each
+        cell of their product, so that what is shuffled on is ``block`` times less than the products.  Cells
+        that have no term are left out.
         """
         n, m = len(self.shape), len(other.shape)
         if n != m or n < 2 or self.shape[-1] != other.shape[-2] or self.shape[:-2] != other.shape[:-2]:
             raise ValueError(f"{self.shape} doesn't fit {other.shape}")
+        if n == 2 and self.shape[1] <= SHARED:
+            if prod(other.shape) <= small:
+                return self._times_small(other)
+            if prod(self.shape) <= small:
+                return other.transpose()._times_small(self.transpose()).transpose()
         batch = axis_names(n - 2)
         blocks = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, (size - 1) // block)).cast("long")))
         part = lambda axis: F.floor(F.col(axis) / block).alias(f"b_{axis}")
@@ -317,20 +347,8 @@ class Cells:
             rows, r = np.unique(a["r"].to_numpy(), return_inverse=True)
             columns, c = np.unique(b["c"].to_numpy(), return_inverse=True)
             low = int(a["k"].iloc[0]) // block * block
-            sides = []
-            for index, k, v, size in ((r, a["k"], a["x"], len(rows)), (c, b["k"], b["y"], len(columns))):
-                values, there = np.zeros((size, block)), np.zeros((size, block))
-                values[index, k.to_numpy() - low], there[index, k.to_numpy() - low] = v, 1
-                sides.append((values, there))
-            (x, has_x), (y, has_y) = sides
-            terms = has_x @ has_y.T
-            with np.errstate(invalid="ignore"):
-                sums = x @ y.T
-                for i in np.flatnonzero(~np.isfinite(x).all(1)):  # what isn't finite meets only what is there
-                    sums[i] = np.where((has_x[i] > 0) & (has_y > 0), x[i] * y, 0).sum(1)
-                for j in np.flatnonzero(~np.isfinite(y).all(1)):
-                    sums[:, j] = np.where((has_x > 0) & (has_y[j] > 0), x * y[j], 0).sum(1)
-            i, j = np.nonzero(terms)
+            there, sums = _product(_dense(r, a["k"].to_numpy() - low, a["x"], (len(rows), block)), _dense(c, b["k"].to_numpy() - low, b["y"], (len(columns), block)))
+            i, j = np.nonzero(there)
             return pd.DataFrame({**{c: a[c].iloc[0] for c in batch}, "r": rows[i], "c": columns[j], "v": sums[i, j]}, columns=names)
 
         shape = ", ".join([*[f"{c} long" for c in batch], "r long", "c long", "v double"])
@@ -338,6 +356,29 @@ class Cells:
         made = parts.groupBy(*batch, F.col("r").alias(f"i{n - 2}"), F.col("c").alias(f"i{n - 1}")).agg(F.sum(F.coalesce("v", F.lit(float("nan")))).alias("v"))  # NaN comes back as null
         return Cells(made, (*self.shape[:-1], other.shape[-1]))
 
+    def _times_small(self, other: Cells) -> Cells:
+        """Matrix product by one that the driver sends to the tasks: no cell of this one is shuffled, only sums of what a task read of a row."""
+        table = other.df.select("i0", "i1", F.col("v").cast("double").alias("v")).toArrow()
+        width = self.shape[1]
+        right = _dense(table["i1"].to_numpy(), table["i0"].to_numpy(), table["v"].to_numpy(), (other.shape[1], width))
+        right = self.df.sparkSession.sparkContext.broadcast(right)
+        each = max(1, (1 << 21) // max(1, *other.shape))
+
+        def run(batches):
+            for batch in batches:
+                rows, r = np.unique(batch.column("r").to_numpy(), return_inverse=True)
+                k, x = batch.column("k").to_numpy(), batch.column("x").to_numpy(zero_copy_only=False)
+                for low in range(0, len(rows), each):
+                    mine = (r >= low) & (r < low + each)
+                    held = rows[low : low + each]
+                    there, sums = _product(_dense(r[mine] - low, k[mine], x[mine], (len(held), width)), right.value)
+                    i, j = np.nonzero(there)
+                    yield pa.RecordBatch.from_arrays([pa.array(held[i]), pa.array(j.astype(np.int64)), pa.array(sums[i, j])], ["i0", "i1", "v"])
+
+        cells = self.df.select(F.col("i0").cast("long").alias("r"), F.col("i1").cast("long").alias("k"), F.col("v").cast("double").alias("x"))
+        made = cells.mapInArrow(run, "i0 long, i1 long, v double").groupBy("i0", "i1").agg(F.sum("v").alias("v"))
+        return Cells(made, (self.shape[0], other.shape[1]))
+
     def cast(self, dtype: str) -> Cells:
         """Values as the type has them: bool is 0 or 1, whole numbers are cut towards 0 and wrap around."""
         v = F.col("v")

@@ -30,6 +30,30 @@ def gram(df: DataFrame, columns: list[str], target: str | None = None) -> np.nda
     return out
 
 
+def gram_of_vectors(df: DataFrame, vector: str, size: int) -> Cells:
+    """X'X of the rows of a column of vectors: a matrix product an Arrow batch, added up in its task, and a row a cell and task shuffled.
+
+    Null vectors are left out; one of another size, or with a null entry, raises.
+    """
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            held = batch.column(0).drop_null()
+            flat = held.flatten()
+            if len(flat) != size * len(held) or flat.null_count or (len(held) and set(held.value_lengths().to_pylist()) != {size}):
+                raise ValueError(f"a vector hasn't {size} numbers")
+            x = flat.to_numpy(zero_copy_only=False).reshape(-1, size)
+            if len(x):
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.divmod(np.arange(size * size), size)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], ["i0", "i1", "v"])
+
+    parts = df.select(F.col(vector).cast("array<double>").alias("x")).mapInArrow(run, "i0 long, i1 long, v double")
+    return Cells(parts.groupBy("i0", "i1").agg(F.sum("v").alias("v")), (size, size))
+
+
 def _stacked(batch: pa.RecordBatch) -> np.ndarray:
     """Rows of a batch as a matrix, those with a null left out; a column of vectors gives as many columns."""
     parts = []

@@ -388,8 +388,7 @@ def vector_softmax(spark, sf_dir):
 def cells_gram(spark, sf_dir):
     e = _t(spark, sf_dir, "embeddings")
     n = e.select(F.size("embedding")).first()[0]
-    cells = from_vectors(e, "vec_id", "embedding", (e.count(), n))
-    return cells.transpose().matmul(cells).df
+    return linalg.gram_of_vectors(e, "embedding", n).df
 
 
 @query(

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.operators import linalg
-from larkspur.operators.coordinates import from_vectors
+from larkspur.operators.coordinates import Cells, from_vectors
 from larkspur.operators.ranges import running
 
 
@@ -89,3 +89,28 @@ def test_results_carried_over_ranges(spark, how, f):
         carried = f.accumulate(x[g::2])
         assert got[g] == {"product": 1, "sum": 0}.get(how)
         assert np.allclose([got[t] for t in range(g + 2, 50, 2)], carried[:-1])
+
+
+def test_gram_of_vectors(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 5))
+    df = spark.createDataFrame([(v.tolist(),) for v in x] + [(None,)], "v array<double>").repartition(7)
+    assert np.allclose(linalg.gram_of_vectors(df, "v", 5).to_array(), x.T @ x)
+    assert linalg.gram_of_vectors(df.limit(0), "v", 5).df.count() == 0
+    for wrong in ([1.0] * 4, [1.0, None, 1.0, 1.0, 1.0]):
+        with pytest.raises(Exception, match="a vector hasn't 5 numbers"):
+            linalg.gram_of_vectors(df.union(spark.createDataFrame([(wrong,)], df.schema)), "v", 5).df.collect()
+
+
+@pytest.mark.parametrize("small", [0, 200, 1 << 20])
+def test_products_by_blocks_and_by_a_small_side(spark, small):
+    """Absent cells have no term; what isn't finite meets only what is there; with 200 cells one side or none is small."""
+    rng = np.random.default_rng(2)
+    for n, k, m in ((40, 7, 9), (9, 7, 40), (6, 5, 4)):
+        a, b = rng.normal(size=(n, k)), rng.normal(size=(k, m))
+        a[1, 2], b[3, 1] = np.inf, np.nan
+        has_a, has_b = rng.random((n, k)) < 0.5, rng.random((k, m)) < 0.5
+        left, right = (Cells(spark.createDataFrame([(int(i), int(j), float(v[i, j])) for i, j in np.argwhere(h)], "i0 long, i1 long, v double").repartition(5), v.shape) for v, h in ((a, has_a), (b, has_b)))
+        got = {(r.i0, r.i1): r.v for r in left.matmul(right, block=4, small=small).df.collect()}
+        want = {(i, j): sum(a[i, t] * b[t, j] for t in range(k) if has_a[i, t] and has_b[t, j]) for i in range(n) for j in range(m) if (has_a[i] & has_b[:, j]).any()}
+        assert got.keys() == want.keys() and all(np.isclose(got[c], v, equal_nan=True) for c, v in want.items())
