@@ -194,7 +194,7 @@ def nested_files(spark, sf_dir):
 
 @query(
     "unit_powers",
-    "SELECT p_partkey, p_size * 1e4 AS cm2, p_size / 1e9 AS km3, p_size / 1e6 AS per_mm2, p_size * 1000.0 AS newton_grams FROM part",
+    "SELECT p_partkey, p_size * 1e4 AS cm2, p_size / 1e9 AS km3, p_size / 1e6 AS per_mm2, p_size * 1e3 AS newton_grams FROM part",
 )
 def unit_powers(spark, sf_dir):
     size = F.col("p_size").cast("double")
