@@ -367,7 +367,7 @@ def _complex(spark, sf_dir) -> complex_cells.ComplexCells:
     f"""{COMPLEX}, w AS (SELECT i1, avg(re) AS a, avg(im) AS b FROM z GROUP BY 1),
        p AS (SELECT i0, re, im, re * a + im * b AS x, re * b - im * a AS y, re + 2 AS c, im - 1 AS d FROM z JOIN w ON z.i1 = w.i1),
        q AS (SELECT i0, re, im, (x * c + y * d) / (c * c + d * d) AS x, (y * c - x * d) / (c * c + d * d) AS y FROM p)
-       SELECT i0, round(sum(x), 9) + 0 AS re, round(sum(y), 9) + 0 AS im, round(sum(sqrt(x * x + y * y)), 9) AS "size", round(sum(im) * 0.1, 9) + 0 AS angle, round(sum(exp(re * 0.1) * cos(im * 0.1)), 9) AS grown FROM q GROUP BY 1""",
+       SELECT i0, round(sum(x), 6) + 0 AS re, round(sum(y), 6) + 0 AS im, round(sum(sqrt(x * x + y * y)), 6) AS "size", round(sum(im) * 0.1, 6) + 0 AS angle, round(sum(exp(re * 0.1) * cos(im * 0.1)), 6) AS grown FROM q GROUP BY 1""",
 )
 def complex_arithmetic(spark, sf_dir):
     """conj(z) w / (z + 2 - i) with the mean w of each column, and exp(z / 10); sums by row."""
@@ -377,19 +377,19 @@ def complex_arithmetic(spark, sf_dir):
     q = z.apply("conj").combine("mul", w).combine("div", z.combine("add", 2 - 1j))
     grown = z.combine("mul", 0.1).apply("exp")
     made = {"re": q.part("re"), "im": q.part("im"), "size": q.part("abs"), "angle": grown.part("arg"), "grown": grown.part("re")}
-    sums = [cells.reduce("sum", 1).df.select("i0", (F.round("v", 9) + 0.0).alias(name)) for name, cells in made.items()]
+    sums = [cells.reduce("sum", 1).df.select("i0", (F.round("v", 6) + 0.0).alias(name)) for name, cells in made.items()]
     return reduce(lambda a, b: a.join(b, "i0"), sums)
 
 
 @query(
     "complex_transform",
-    f"""{COMPLEX} SELECT i0, (k + 32) % 64 AS i1, round(sum(re * cos(2 * pi() * ((k * i1) % 64) / 64) + im * sin(2 * pi() * ((k * i1) % 64) / 64)), 9) + 0 AS re,
-       round(sum(im * cos(2 * pi() * ((k * i1) % 64) / 64) - re * sin(2 * pi() * ((k * i1) % 64) / 64)), 9) + 0 AS im FROM z, (SELECT unnest(range(0, 64)) AS k) GROUP BY i0, k""",
+    f"""{COMPLEX} SELECT i0, (k + 32) % 64 AS i1, round(sum(re * cos(2 * pi() * ((k * i1) % 64) / 64) + im * sin(2 * pi() * ((k * i1) % 64) / 64)), 6) + 0 AS re,
+       round(sum(im * cos(2 * pi() * ((k * i1) % 64) / 64) - re * sin(2 * pi() * ((k * i1) % 64) / 64)), 6) + 0 AS im FROM z, (SELECT unnest(range(0, 64)) AS k) GROUP BY i0, k""",
 )
 def complex_transform(spark, sf_dir):
     """Rows transformed, by four steps (lines of more than 16 numbers are long here), with the zero frequency in the middle."""
     made = _complex(spark, sf_dir).fft(1, group=16).shift([1])
-    return made.df.select("i0", "i1", *[(F.round(c, 9) + 0.0).alias(c) for c in ("re", "im")])
+    return made.df.select("i0", "i1", *[(F.round(c, 6) + 0.0).alias(c) for c in ("re", "im")])
 
 
 @query(
