@@ -206,11 +206,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, threshold:
     sets = some.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("grams"))
     banded = some.groupBy("s1", "s2").agg(F.first("bands").alias("bands")).select("s1", F.explode("bands").alias("h"))
     buckets = banded.groupBy("h").agg(F.min("s1").alias("v"), F.max("s1").alias("top")).where("v <> top").select("h", "v")
-    ties = banded.join(buckets, "h").where("s1 <> v").select(F.col("s1").alias("u"), "v").distinct()
-    comps = checkpointed(components(ties))
-    members = sets.join(comps, sets["s1"] == comps["node"]).drop("node")
+    ties = banded.join(buckets, "h").where("s1 <> v").select(F.col("s1").alias("u"), "v")
+    comps = components(ties)
+    members = checkpointed(sets.join(comps, sets["s1"] == comps["node"]).drop("node"))
     blocks = F.ceil(F.greatest(F.count("*") / block, F.sum("grams") / BLOCK_GRAMS)).cast("int")
-    sizes = members.groupBy("comp").agg(blocks.alias("blocks"), F.count("*").alias("size"))
+    sizes = checkpointed(members.groupBy("comp").agg(blocks.alias("blocks"), F.count("*").alias("size")))
     work = sizes.agg(F.sum(F.col("blocks") * F.col("size"))).first()[0] or 0
     members = members.join(sizes.drop("size"), "comp").withColumn("block", F.pmod(F.xxhash64("s2", "s1"), F.col("blocks")).cast("int"))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -223,17 +223,16 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, threshold:
     dealt = dealt.repartition(max(parts, math.ceil(work / DEALT)), "comp", "low", "high")
     shape = f"comp long, blocks int, s1 long, s2 long, rep {kind}, links long, root long, class_rep {kind}"
     seen = checkpointed(dealt.groupBy("comp", "low", "high").applyInPandas(lambda pdf: verify(pdf, threshold, width), shape))
-    counted = seen.groupBy("s1", "s2").agg(F.sum("links").alias("links"), F.min("class_rep").alias("class_rep"), F.min("root").alias("root"))
+    # a set of one block has one row
+    counted = seen.where("blocks = 1").select("s1", "s2", "links", "class_rep", "root")
     split = seen.where("blocks > 1")
     if not split.isEmpty():
         joined = components(split.select(F.col("s1").alias("u"), F.col("root").alias("v")))
-        named = split.select("s1", "rep").distinct().join(joined.withColumnRenamed("node", "s1").withColumnRenamed("comp", "class"), "s1")
-        least = named.groupBy("class").agg(F.min("rep").alias("whole_rep"))
-        whole = named.join(least, "class").select("s1", "class", "whole_rep").distinct()
+        added = split.groupBy("s1", "s2").agg(F.sum("links").alias("links"), F.min("class_rep").alias("class_rep"))
         # a set of several blocks that is linked to none is a class by itself
-        alone = F.when(~F.col("several"), F.col("root")).otherwise(F.col("s1"))
-        counted = counted.join(split.select("s1", F.lit(True).alias("several")).distinct(), "s1", "left").withColumn("several", F.coalesce("several", F.lit(False)))
-        counted = counted.join(whole, "s1", "left").select("s1", "s2", "links", F.coalesce("class", alone).alias("root"), F.coalesce("whole_rep", "class_rep").alias("class_rep"))
+        added = checkpointed(added.join(joined, added["s1"] == joined["node"], "left").select("s1", "s2", "links", "class_rep", F.coalesce("comp", "s1").alias("root")))
+        least = added.groupBy("root").agg(F.min("class_rep").alias("class_rep"), F.count("*").alias("size"))
+        counted = counted.union(spread_join(added.drop("class_rep"), least, ["root"], "size").select("s1", "s2", "links", "class_rep", "root"))
     named_sets = sets.join(counted, ["s1", "s2"], "left").select(
         "s1", "s2", "copies", F.coalesce("root", "s1").alias("class"), F.coalesce("class_rep", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
@@ -280,10 +279,10 @@ def keep_one(
     """
     found = checkpointed(_classes(docs, id_col, text_col, width, threshold, recall, hash_budget, block).where("class IS NOT NULL").select("id", "twin", "class"))
     place = F.struct(F.col("id").isNull().alias("nameless"), "id", "twin")
-    kept = found.groupBy("class").agg(F.min(place).alias("kept"), F.count("*").alias("size"))
+    kept = found.groupBy("class").agg(F.min(place).alias("kept"), F.count("*").alias("size")).where("size > 1")
     rows = spread_join(found.groupBy("class", "id", "twin").agg(F.count("*").alias("n")), kept, ["class"], "size")
     # what to do with the rows of an id and text: 0 rows go, but one of them, or all of them
-    known = rows.select(F.col("id").alias("__id"), F.col("twin").alias("__twin"), (place != F.col("kept")).alias("__gone"), "n").where("__gone OR n > 1").drop("n")
+    known = checkpointed(rows.select(F.col("id").alias("__id"), F.col("twin").alias("__twin"), (place != F.col("kept")).alias("__gone"), "n").where("__gone OR n > 1").drop("n"))
     twin = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
     match = lambda other: docs[id_col].eqNullSafe(other["__id"]) & (twin == other["__twin"])
     stay = docs.join(known, match(known), "left_anti")

@@ -114,6 +114,16 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(41)) and got[100] == got[101] == got[102] == 100 and 200 not in got
 
 
+def test_components_of_stars_take_no_round(spark):
+    """Stars are seen to be done: no joins, and few jobs for the driver to keep."""
+    edges = spark.createDataFrame([(i, i % 5) for i in range(5, 60)], "u long, v long").repartition(3)
+    spark.sparkContext.setJobGroup("stars", "stars")
+    got = {r.node: r.comp for r in graph.components(edges).collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("stars")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {i: i % 5 for i in range(60)} and len(jobs) <= 10
+
+
 def plain_samples(text, samples):
     """The samples of a text drawn one by one, in double precision."""
     s64 = fingerprints.seeds(21, 2 * samples).tolist()
