@@ -106,8 +106,8 @@ class ComplexCells:
     def fft(self, axis: int, *, inverse: bool = False, most: int = spectrum.MOST, group: int = spectrum.GROUP) -> ComplexCells:
         """Transform along an axis; absent cells count as zero, lines without cells stay absent.
 
-        A line of up to ``group`` cells is one task's; longer ones go by four steps, for which the size needs
-        two factors of up to ``most``.
+        A line of up to ``group`` cells is one task's; longer ones go by four steps or more, for which the size
+        needs factors of up to ``most``.
         """
         axis = self._axis(axis)
         n, line = self.shape[axis], F.lit(0).cast("long")

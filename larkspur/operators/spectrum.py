@@ -1,13 +1,15 @@
-"""Fourier transforms of series and matrices that no task holds, by four steps.
+"""Fourier transforms of series and matrices that no task holds, by four steps or more.
 
 n = n1 * n2 numbers are seen as a matrix of n1 rows: its columns are transformed, a group of columns a
 task; each entry is turned by a power of the n-th root of unity; and after a shuffle by row the rows
-are transformed.  Lengths without such factors go through a convolution with a chirp, three
-transforms of a power of two.  Tables are ``(i, re, im)``; numbers that are absent count as zero.
+are transformed.  Longer series take more factors in the same way, a shuffle each.  Lengths with a
+prime factor that is too large go through a convolution with a chirp, three transforms of a power of
+two.  Tables are ``(i, re, im)``; numbers that are absent count as zero.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -32,6 +34,29 @@ def factors(n: int, most: int = MOST) -> tuple[int, int] | None:
     return None
 
 
+@functools.lru_cache(256)
+def split(n: int, most: int = MOST) -> tuple[int, ...] | None:
+    """``n`` as a product of as few numbers of up to ``most`` as can be, but two at least; None where a prime factor is above ``most``."""
+    if n <= most * most and (pair := factors(n, most)):
+        return pair
+    divisors, rest = [a for a in range(2, min(n, most) + 1) if n % a == 0], n
+    for a in divisors:
+        while rest % a == 0:
+            rest //= a
+    if rest > 1:
+        return None
+
+    @functools.cache
+    def parted(n: int, count: int) -> tuple[int, ...] | None:
+        if n > most**count:
+            return None
+        if count == 2:
+            return factors(n, most)
+        return next(((a, *others) for a in divisors if a**count >= n and n % a == 0 and (others := parted(n // a, count - 1))), None)
+
+    return next(found for count in range(3, n.bit_length() + 1) if (found := parted(n, count)))
+
+
 def _lines(rows: DataFrame, line: str, place: str, n: int, make, group: int) -> DataFrame:
     """Transforms of lines: ``rows(line, place, re, im)``, the places of a line in one group; ``make(lines, matrix)`` returns columns."""
     each = max(1, group // n)
@@ -48,49 +73,48 @@ def _lines(rows: DataFrame, line: str, place: str, n: int, make, group: int) ->
     return grouped.groupBy("g").applyInArrow(run, SCHEMA)
 
 
+def _steps(rows: DataFrame, n: int, parts: Sequence[int], inverse: bool, group: int) -> DataFrame:
+    """``(i, re, im)``, ``i`` being line * n + place: transforms of lines ``rows(line, place, re, im)`` of ``n`` places, a shuffle for each of ``parts``, whose product is ``n``."""
+    f, sign, i, place, rest = np.fft.ifft if inverse else np.fft.fft, 2j if inverse else -2j, F.col("i"), F.col("place"), n
+    for part in parts[:-1]:
+        rest //= part
+
+        def columns(held: np.ndarray, z: np.ndarray, part=part, rest=rest):
+            line, b, k, size = held // rest, held % rest, np.arange(part), part * rest
+            turn = np.exp(sign * np.pi * ((b[:, None] * k) % size) / size)
+            return (line * size + b)[:, None] + rest * k, f(z, axis=1) * turn
+
+        apart = rows.select((F.col("line") * rest + place % rest).alias("line"), F.floor(place / rest).cast("long").alias("place"), "re", "im")
+        made = _lines(apart, "line", "place", part, columns, group)
+        rows = made.select(F.floor(i / rest).cast("long").alias("line"), (i % rest).alias("place"), "re", "im")
+
+    def lines(held: np.ndarray, z: np.ndarray):
+        first, step = 0, n // rest
+        for part in reversed(parts[:-1]):  # the line's number has the places in all former parts as digits, the first one foremost; the result has it last
+            step //= part
+            held, k = np.divmod(held, part)
+            first = first + k * step
+        return (held * n + first)[:, None] + n // rest * np.arange(rest), f(z, axis=1)
+
+    return _lines(rows, "line", "place", rest, lines, group)
+
+
 def transform(rows: DataFrame, n: int, *, inverse: bool = False, most: int = MOST, group: int = GROUP) -> DataFrame:
-    """``(i, re, im)``: the discrete Fourier transform (or its inverse) of ``rows(i, re, im)``, ``i`` from 0 to n - 1.  Two shuffles."""
+    """``(i, re, im)``: the discrete Fourier transform (or its inverse) of ``rows(i, re, im)``, ``i`` from 0 to n - 1.  Two shuffles for lengths of up to ``most`` squared."""
     if n < 1:
         return rows.select("i", "re", "im").limit(0)
-    found = factors(n, most)
-    if found is None:
+    parts = split(n, most)
+    if parts is None:
         return _chirped(rows, n, inverse, most, group)
-    n1, n2 = found
-    f, sign = (np.fft.ifft, 2j) if inverse else (np.fft.fft, -2j)
-
-    def columns(b: np.ndarray, z: np.ndarray):
-        k = np.arange(n1)
-        turn = np.exp(sign * np.pi * ((b[:, None] * k) % n) / n)
-        return b[:, None] + n2 * k, f(z, axis=1) * turn
-
-    def lines(k: np.ndarray, z: np.ndarray):
-        return k[:, None] + n1 * np.arange(n2), f(z, axis=1)
-
-    i = F.col("i")
-    first = _lines(rows.select((i % n2).alias("b"), F.floor(i / n2).cast("long").alias("a"), "re", "im"), "b", "a", n1, columns, group)
-    return _lines(first.select(F.floor(i / n2).cast("long").alias("k"), (i % n2).alias("b"), "re", "im"), "k", "b", n2, lines, group)
+    return _steps(rows.select(F.lit(0).cast("long").alias("line"), F.col("i").alias("place"), "re", "im"), n, parts, inverse, group)
 
 
 def transform_lines(rows: DataFrame, n: int, *, inverse: bool = False, most: int = MOST, group: int = GROUP) -> DataFrame:
-    """``(i, re, im)`` of many lines ``rows(line, place, re, im)`` of ``n`` places, ``i`` being line * n + place: one shuffle where a line fits a group, else the four steps."""
-    f, sign = (np.fft.ifft, 2j) if inverse else (np.fft.fft, -2j)
-    if n <= group:
-        return _lines(rows, "line", "place", n, lambda held, z: (held[:, None] * n + np.arange(n), f(z, axis=1)), group)
-    found = factors(n, most)
-    if found is None:
-        raise ValueError(f"{n} has no two factors of up to {most}")
-    n1, n2 = found
-
-    def columns(held: np.ndarray, z: np.ndarray):
-        line, b, k = held // n2, held % n2, np.arange(n1)
-        return (line * n + b)[:, None] + n2 * k, f(z, axis=1) * np.exp(sign * np.pi * ((b[:, None] * k) % n) / n)
-
-    def across(held: np.ndarray, z: np.ndarray):
-        return (held // n1 * n + held % n1)[:, None] + n1 * np.arange(n2), f(z, axis=1)
-
-    i, place = F.col("i"), F.col("place")
-    first = _lines(rows.select((F.col("line") * n2 + place % n2).alias("b"), F.floor(place / n2).cast("long").alias("a"), "re", "im"), "b", "a", n1, columns, group)
-    return _lines(first.select((F.floor(i / n) * n1 + F.floor(i % n / n2)).cast("long").alias("k"), (i % n2).alias("b"), "re", "im"), "k", "b", n2, across, group)
+    """``(i, re, im)`` of many lines ``rows(line, place, re, im)`` of ``n`` places, ``i`` being line * n + place: one shuffle where a line fits a group, else the steps."""
+    parts = (n,) if n <= group else split(n, most)
+    if parts is None:
+        raise ValueError(f"{n} is no product of numbers of up to {most}")
+    return _steps(rows, n, parts, inverse, group)
 
 
 def _times(a: tuple[Column, Column], b: tuple[Column, Column]) -> list[Column]:

@@ -214,3 +214,13 @@ def test_periodogram_of_a_whole_series(spark, window, detrend):
     want[1:-1] *= 2
     got = spectrum.periodogram(table(spark, {"a": x}), "t", "x", rate=2.0, window=window, detrend=detrend, most=12).orderBy("bin").collect()
     assert np.allclose([r["power"] for r in got], want) and np.allclose([r["frequency"] for r in got], np.fft.rfftfreq(84, 0.5))
+
+
+@pytest.mark.parametrize("n", [84, 89])
+def test_periodogram_longer_than_two_factors(spark, n):
+    x, t = np.random.default_rng(7).normal(size=n) + 0.1 * np.arange(n), np.arange(n)
+    w = 0.5 - 0.5 * np.cos(2 * np.pi * t / n)
+    want = np.abs(np.fft.rfft((x - np.polyval(np.polyfit(t, x, 1), t)) * w)) ** 2 / (w * w).sum()
+    want[1 : (n + 1) // 2] *= 2
+    got = spectrum.periodogram(table(spark, {"a": x}), "t", "x", window="hann", detrend="linear", most=7).orderBy("bin").collect()  # above 7 * 7
+    assert [r["bin"] for r in got] == list(range(n // 2 + 1)) and np.allclose([r["power"] for r in got], want)
