@@ -224,3 +224,21 @@ def test_periodogram_longer_than_two_factors(spark, n):
     want[1 : (n + 1) // 2] *= 2
     got = spectrum.periodogram(table(spark, {"a": x}), "t", "x", window="hann", detrend="linear", most=7).orderBy("bin").collect()  # above 7 * 7
     assert [r["bin"] for r in got] == list(range(n // 2 + 1)) and np.allclose([r["power"] for r in got], want)
+
+
+@pytest.mark.parametrize("n, most", [(210, 8), (128, 4), (67, 5)])
+def test_spectrum_longer_than_two_factors(spark, n, most):
+    x = np.random.default_rng(n).normal(size=n)
+    there = spectrum.fft(table(spark, {"a": x}), "t", "x", most=most)  # n is above most * most
+    got = there.orderBy("i").collect()
+    assert [r["i"] for r in got] == list(range(n))
+    assert np.allclose([r["re"] + 1j * r["im"] for r in got], np.fft.fft(x))
+    back = spectrum.inverse(there, n, most=most).orderBy("i").collect()
+    assert np.allclose([r["re"] for r in back], x) and max(abs(r["im"]) for r in back) < 1e-12
+
+
+def test_lines_longer_than_two_factors(spark):
+    z = np.random.default_rng(8).normal(size=(3, 60)) + 1j
+    rows = spark.createDataFrame([(5 * k, j, float(v.real), float(v.imag)) for k, line in enumerate(z) for j, v in enumerate(line)], "line long, place long, re double, im double")
+    got = {r["i"]: r["re"] + 1j * r["im"] for r in spectrum.transform_lines(rows, 60, most=6, group=6).collect()}
+    assert np.allclose([[got[5 * 60 * k + j] for j in range(60)] for k in range(3)], np.fft.fft(z)) and len(got) == 180
