@@ -56,8 +56,8 @@ def _look(elements: DataFrame, looks: DataFrame) -> DataFrame:
         at, least, limit = np.searchsorted(i, mine["at"].to_numpy()), mine["low"].to_numpy().copy(), mine["height"].to_numpy()
         for k in range(len(high) - 1, -1, -1) if len(i) else ():
             start = np.maximum(at - (1 << k), 0)
-            go = (at >= 1 << k) & (high[k][np.minimum(start, len(high[k]) - 1)] <= limit)
-            least[go] = np.minimum(least[go], low[k][start[go]])
+            go = (at >= 1 << k) & ((high[k][np.minimum(start, len(high[k]) - 1)] <= limit) | np.isnan(limit))
+            least[go] = np.fmin(least[go], low[k][start[go]])
             at = np.where(go, start, at)
         found = pd.array(np.where(at > 0, i[np.maximum(at - 1, 0)] if len(i) else 0, 0), dtype="Int64")
         found[at == 0] = pd.NA
@@ -115,7 +115,7 @@ def apart(peaks: DataFrame, distance: float, size: int = SIZE) -> DataFrame:
         at, height = pdf["i"].to_numpy(), pdf["height"].to_numpy()
         own = (at // size == pdf["block"].to_numpy()).astype(bool)
         kept = np.array([2 if k is None or k != k else int(k) for k in pdf["kept"]])  # 2: not decided yet
-        order = np.lexsort((at, -height))
+        order = np.lexsort((at, -np.where(np.isnan(height), np.inf, height)))
         rank = np.empty(len(at), np.int64)
         rank[order] = np.arange(len(at))
         low, high = np.searchsorted(at, at - distance, "right"), np.searchsorted(at, at + distance, "left")
@@ -137,17 +137,19 @@ def apart(peaks: DataFrame, distance: float, size: int = SIZE) -> DataFrame:
     return _joined(peaks, narrow.where("kept").select("key", "i"), {"key": "key", "at": "i"})
 
 
-def find_peaks(df: DataFrame, key: str, time: str, value: str, *, height: float | None = None, prominence: float | None = None, distance: float | None = None, fan: int = FAN, size: int = SIZE) -> DataFrame:
+def find_peaks(df: DataFrame, key: str, time: str, value: str, *, height: float | None = None, prominence: float | None = None, distance: float | None = None, plateaus: bool = True, fan: int = FAN, size: int = SIZE) -> DataFrame:
     """``(key, at, height, prominence)`` of the peaks of each series, filtered by height, then prominence, then distance; ``at`` counts samples from 0.
 
-    Nulls and NaN are left out before samples are counted; a plateau at either end is no peak.
+    Nulls and NaN are left out before samples are counted; a plateau at either end is no peak.  Without
+    ``plateaus`` a peak is one sample above the two beside it: all samples count, NaN is above all numbers,
+    and neither a plateau nor a sample beside a null is a peak.
     """
     if distance is not None and distance < 1:
         raise ValueError("a distance is at least 1")
-    rows = checkpointed(runs(df, key, time, value))
+    rows = checkpointed(runs(df, key, time, value) if plateaus else numbered(df, key, time, value).select("key", "i", "x", F.col("i").alias("r")))
     found = maxima(rows, size)
     found = checkpointed(found if height is None else found.where(F.col("height") >= height))
-    made = with_prominence(found, rows.select("key", "r", "x"), fan)
+    made = with_prominence(found, rows.where(F.col("x").isNotNull()).select("key", "r", "x"), fan)
     made = made if prominence is None else made.where(F.col("prominence") >= prominence)
     made = made if distance is None else apart(checkpointed(made), distance, size)
     return made.select(F.col("key").alias(key), "at", "height", "prominence")

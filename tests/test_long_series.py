@@ -1,11 +1,13 @@
 """Series cut over several tasks against plain loops over whole arrays."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.operators import long_series, peaks, spectrum
 from larkspur.operators.signal import butter
+from larkspur.plans import registry, series_queries
 
 
 def table(spark, series):
@@ -161,6 +163,18 @@ def test_many_looks_into_one_node(spark, monkeypatch):
     assert sorted(tuple(r)[1:] for r in got.collect()) == plain_peaks(x, None, None, None)
 
 
+@pytest.mark.parametrize("name, values", [("plateau", [1, 70, 70, 1, 90, 2, 80.0]), ("null", [1, 70, None, 75, 3, 90, 2, None, 1, 85, 4.0]), ("nan", [1, 70, float("nan"), 75, 3, 90, 2, 99, 1.0])])
+def test_peaks_of_events_by_its_sql(spark, tmp_path, name, values):
+    rows = [(3 * t, "flat" if name == "plateau" else "odd", v and float(v)) for t, v in enumerate(values)]
+    rows += [(3 * t + 1, None, float(v)) for t, v in enumerate([1, 95, 1])] + [(3 * t + 2, "wave", 100 * float(np.sin(t) * np.cos(3 * t))) for t in range(300)]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(registry.ORACLE_SQL["peaks_of_events"]).fetchall()
+    got = series_queries.peaks_of_events(spark, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and {"wave"} < {r[0] for r in got}
+
+
 # --- transforms ---
 
 
