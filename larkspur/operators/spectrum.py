@@ -216,4 +216,4 @@ def periodogram(df: DataFrame, time: str, value: str, *, rate: float = 1.0, wind
     scale = 1 / (rate * squares) if scaling == "density" else 1 / height**2
     made = transform(rows.select("i", (x * weight).alias("re"), "im"), n, most=most).where(i <= n // 2)
     twice = F.when((i == 0) | (2 * i == n), 1.0).otherwise(2.0)
-    return made.select(i.alias("bin"), (i * (rate / n)).alias("frequency"), ((F.col("re") * F.col("re") + F.col("im") * F.col("im")) * twice * scale).alias("power"))
+    return made.select(i.alias("bin"), (i * rate / n).alias("frequency"), ((F.col("re") * F.col("re") + F.col("im") * F.col("im")) * twice * scale).alias("power"))

@@ -238,6 +238,7 @@ def test_periodogram_longer_than_two_factors(spark, n):
     want[1 : (n + 1) // 2] *= 2
     got = spectrum.periodogram(table(spark, {"a": x}), "t", "x", window="hann", detrend="linear", most=7).orderBy("bin").collect()  # above 7 * 7
     assert [r["bin"] for r in got] == list(range(n // 2 + 1)) and np.allclose([r["power"] for r in got], want)
+    assert [r["frequency"] for r in got] == [k / n for k in range(n // 2 + 1)]
 
 
 @pytest.mark.parametrize("n, most", [(210, 8), (128, 4), (67, 5)])
